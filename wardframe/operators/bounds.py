@@ -1,0 +1,25 @@
+"""Request size limit, the proof that a request's rows may be gathered into one group."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Fixed value: largest accepted request body in bytes.
+MAX_REQUEST_BYTES = 1 << 20
+# Least number of bytes a list element takes in a JSON body ("{},").
+ELEMENT_BYTES = 3
+
+
+def split_oversize(df: DataFrame, key: str, columns, limit=MAX_REQUEST_BYTES):
+    """(rows of acceptable requests, one row per refused request).
+
+    A request whose strings alone exceed the body limit can never have been accepted. Sizes are
+    summed with map-side combine, so a hot key costs a few bytes per task, and only keys over the
+    limit leave the aggregation. The anti join is left to the adaptive planner: it broadcasts the
+    refused keys when they are few and splits a hot key when they are not.
+    """
+    size = F.lit(ELEMENT_BYTES)
+    for c in columns:
+        size = size + F.coalesce(F.octet_length(F.col(c)), F.lit(0))
+    refused = (df.groupBy(key).agg(F.sum(size.cast("long")).alias("body_bytes"))
+               .filter(F.col("body_bytes") > limit))
+    return df.join(refused.select(key), key, "left_anti"), refused
