@@ -1,5 +1,7 @@
 """Audit analytics over the event tables."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,11 +84,15 @@ def posture_summary(posture_rows: DataFrame) -> DataFrame:
         F.count_if(status == "REVOKED").alias("revoked"))
 
 
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """One row from several one-row frames with distinct columns, as a union and one aggregate."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return rows.agg(*[F.first(c, ignorenulls=True).alias(c) for c in rows.columns])
+
+
 def overview(stats: DataFrame, report: DataFrame, summary: DataFrame) -> DataFrame:
-    """One row from three one-row frames."""
-    for frame in (report, summary):
-        stats = stats.join(frame, F.lit(True), "inner")
-    return stats
+    """Request statistics, latest evaluation and key posture in one row."""
+    return side_by_side(stats, report, summary)
 
 
 def search(events: DataFrame, text: str) -> DataFrame:

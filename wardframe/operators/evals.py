@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import risk
 from . import retrieval, scan
+from .audit import side_by_side
 from .scan import _with
 
 
@@ -104,13 +105,10 @@ def _zero(c):
 
 
 def regression(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """One row of flags; without a previous report nothing regressed.
-
-    Both are one-row frames, so the join is one row by one row.
-    """
+    """One row of flags; without a previous report nothing regressed."""
     c = current.select(*[F.col(s).alias(f"c_{s}") for s in SUITES])
     p = previous.select(*[F.col(s).alias(f"p_{s}") for s in SUITES], F.lit(True).alias("_has"))
-    df = c.join(p, F.lit(True), "left")
+    df = side_by_side(c, p)
 
     def flag(cond):
         return F.coalesce(F.col("_has") & cond, F.lit(False))
