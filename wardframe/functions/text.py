@@ -1,4 +1,11 @@
-"""Text normalization and prompt-injection detection as Spark columns."""
+"""Text normalization and prompt-injection detection as Spark SQL expressions.
+
+The scans are large expressions, so they are composed as SQL text and parsed once per use. The
+`*_sql` functions take and return SQL text and also back the SQL functions of `functions.sql`; the
+others return columns.
+"""
+
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,148 +20,173 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def literal(value: str) -> str:
+    """A SQL string literal without escapes; quotes and control characters become regex escapes."""
+    return 'r"' + value.replace('"', r"\x22") + '"'
+
+
+def plain(value: str) -> str:
+    """A SQL string literal of plain text."""
+    return "'" + "".join(
+        c if c.isalnum() or c in " .,:;<>_-" else f"\\u{ord(c):04x}" for c in value) + "'"
+
+
+def name(column: str) -> str:
+    return f"`{column}`"
+
+
+# --- normalization ---------------------------------------------------------------------------
+
+def clean_sql(x: str) -> str:
+    return f"coalesce({x}, '')"
+
+
+def visible_sql(x: str) -> str:
+    raw = clean_sql(x)
+    ascii_text = raw
+    for ch in P.ASCII_SPACES:
+        ascii_text = f"replace({ascii_text}, {plain(ch)}, ' ')"
+    other = (f"regexp_replace(translate(regexp_replace({raw}, {literal(P.FORMAT_CHARS)}, ''), "
+             f"{plain(P.HOMOGLYPHS)}, {plain(P.HOMOGLYPH_LETTERS)}), {literal(P.OTHER_SPACE)}, ' ')")
+    return f"IF(octet_length({raw}) = char_length({raw}), {ascii_text}, {other})"
+
+
+def normalize_sql(x: str) -> str:
+    return f"trim(regexp_replace({visible_sql(x)}, ' {{2,}}', ' '))"
+
+
+def lowered_sql(n: str) -> str:
+    return f"lower(translate({n}, 'ſ', 's'))"
+
+
 def clean(c) -> Column:
     """The text, with a missing value read as empty."""
     return F.coalesce(_col(c), F.lit(""))
 
 
-def visible(c) -> Column:
+def visible(column: str) -> Column:
     """Drop format characters, replace look-alikes, turn every white space into a plain space.
 
     Plain ASCII text holds neither format characters nor look-alikes, so it takes a path of plain
     byte replacements.
     """
-    raw = clean(c)
-    ascii_text = raw
-    for ch in P.ASCII_SPACES:
-        ascii_text = F.replace(ascii_text, F.lit(ch), F.lit(" "))
-    other = F.regexp_replace(
-        F.translate(F.regexp_replace(raw, P.FORMAT_CHARS, ""), P.HOMOGLYPHS, P.HOMOGLYPH_LETTERS),
-        P.OTHER_SPACE, " ")
-    return F.when(F.octet_length(raw) == F.char_length(raw), ascii_text).otherwise(other)
+    return F.expr(visible_sql(name(column)))
 
 
-def collapse(vis) -> Column:
+def collapse(vis: str) -> Column:
     """Second half of the normalization: one space between words, none at the ends."""
-    vis = _col(vis)
-    return F.trim(F.when(vis.contains("  "), F.regexp_replace(vis, " {2,}", " ")).otherwise(vis))
+    v = name(vis)
+    return F.expr(f"trim(IF(contains({v}, '  '), regexp_replace({v}, ' {{2,}}', ' '), {v}))")
 
 
-def normalize(c) -> Column:
-    """Both halves in one expression, for array elements and SQL functions."""
-    return F.trim(F.regexp_replace(visible(c), " {2,}", " "))
+def normalize(column: str) -> Column:
+    """Both halves in one expression."""
+    return F.expr(normalize_sql(name(column)))
 
 
-def lowered(norm) -> Column:
+def lowered(norm: str) -> Column:
     """Lower-case view of normalized text, used only to rule rules out cheaply."""
-    return F.lower(F.translate(_col(norm), "ſ", "s"))
+    return F.expr(lowered_sql(name(norm)))
+
+
+def strip(c) -> Column:
+    """Trim every kind of white space at both ends."""
+    return F.btrim(clean(c), F.lit(P.SPACES))
+
 
+# --- rules -----------------------------------------------------------------------------------
 
-def _may_match(low: Column, rule: P.Rule) -> Column:
-    """Necessary condition: some stem of every group occurs. Rarer (later) groups come first."""
-    cond = None
-    for words in reversed(rule.groups):
-        some = None
-        for stem in P.word_stems(words):
-            hit = low.contains(stem)
-            some = hit if some is None else some | hit
-        cond = some if cond is None else cond & some
-    return cond
+def _any(parts) -> str:
+    return "(" + " OR ".join(parts) + ")"
 
 
-def _rule_hit(norm: Column, low: Column, rule: P.Rule) -> Column:
-    return _may_match(low, rule) & norm.rlike(P.RULE_PATTERNS[rule.rule_id])
+def _rule_hit_sql(n: str, low: str, rule: P.Rule) -> str:
+    """A rule: some stem of every word group occurs (rarer groups first), then the pattern."""
+    stems = [_any(f"contains({low}, {plain(s)})" for s in P.word_stems(words))
+             for words in reversed(rule.groups)]
+    return "(" + " AND ".join([*stems, f"{n} rlike {literal(P.RULE_PATTERNS[rule.rule_id])}"]) + ")"
 
 
-def any_rule(norm, low) -> Column:
-    """True when at least one rule matches normalized text."""
-    norm, low = _col(norm), _col(low)
-    cond = None
-    for rule in P.RULES:
-        hit = _rule_hit(norm, low, rule)
-        cond = hit if cond is None else cond | hit
-    return cond
+@lru_cache(maxsize=None)
+def any_rule_sql(n: str, low: str) -> str:
+    return _any(_rule_hit_sql(n, low, r) for r in P.RULES)
 
 
-def any_rule_in(c) -> Column:
-    """`any_rule` for text that is not normalized yet; binds the normalized value once."""
-    return F.exists(
-        F.transform(F.array(normalize(c)), lambda n: F.struct(n.alias("n"), lowered(n).alias("l"))),
-        lambda s: any_rule(s["n"], s["l"]))
+def any_rule_in_sql(x: str) -> str:
+    """Rules over text that is not normalized yet; both derived texts are bound once."""
+    return (f"exists(transform(array({normalize_sql(x)}), nrm -> named_struct('n', nrm, 'l', "
+            f"{lowered_sql('nrm')})), bnd -> {any_rule_sql('bnd.n', 'bnd.l')})")
 
 
-def _finding(rule: P.Rule, matched: Column) -> Column:
-    return F.struct(
-        F.lit(rule.rule_id).alias("rule_id"),
-        F.lit(rule.type).alias("type"),
-        F.lit(rule.severity).alias("severity"),
-        F.lit(rule.confidence).alias("confidence"),
-        F.lit("BLOCK").alias("action"),
-        matched.alias("matched"),
-    )
+def _finding_sql(rule: P.Rule, matched: str) -> str:
+    return (f"named_struct('rule_id', {rule.rule_id}, 'type', '{rule.type}', 'severity', "
+            f"'{rule.severity}', 'confidence', {rule.confidence}, 'action', 'BLOCK', "
+            f"'matched', {matched})")
 
 
 def no_findings() -> Column:
     return F.array().cast(FINDING_TYPE)
 
 
-def rule_findings(norm, low) -> Column:
+def rule_findings(norm: str, low: str) -> Column:
     """One finding per matching rule, in rule order, with the first matched text."""
-    norm, low = _col(norm), _col(low)
-    return F.array_compact(F.array(*[
-        F.when(_rule_hit(norm, low, r),
-               _finding(r, F.regexp_extract(norm, P.RULE_PATTERNS[r.rule_id], 0)))
-        for r in P.RULES
-    ]))
+    n, low = name(norm), name(low)
+    arms = ", ".join(
+        f"IF({_rule_hit_sql(n, low, r)}, "
+        + _finding_sql(r, f"regexp_extract({n}, {literal(P.RULE_PATTERNS[r.rule_id])}, 0)")
+        + ", NULL)" for r in P.RULES)
+    return F.expr(f"array_compact(array({arms}))")
 
 
-def _decoded(candidate: Column) -> Column:
-    """Decoded text of a padded-length candidate; NULL when it is not valid base64."""
-    return F.when(
-        F.length(candidate) % 4 == 0,
-        F.make_valid_utf8(F.try_to_binary(candidate, F.lit("base64")).cast("string")))
+# --- encoded payloads ------------------------------------------------------------------------
 
+def payload_sql(x: str) -> str:
+    raw = clean_sql(x)
+    decoded = "make_valid_utf8(CAST(try_to_binary(cand, 'base64') AS STRING))"
+    attack = f"length(cand) % 4 = 0 AND coalesce({any_rule_in_sql(decoded)}, FALSE)"
+    found = (f"try_element_at(filter(regexp_extract_all({raw}, {literal(P.BASE64_RUN)}, 0), "
+             f"cand -> {attack}), 1)")
+    return f"IF({raw} rlike {literal(P.BASE64_HINT)}, {found}, NULL)"
 
-def encoded_payload(c) -> Column:
-    """First base64 candidate of the raw text whose decoded text trips a rule, else NULL."""
-    raw = clean(c)
-    candidates = F.regexp_extract_all(raw, F.lit(P.BASE64_RUN), F.lit(0))
-    attacks = F.filter(candidates, lambda x: F.coalesce(any_rule_in(_decoded(x)), F.lit(False)))
-    return F.when(raw.rlike(P.BASE64_HINT), F.try_element_at(attacks, F.lit(1)))
 
+def encoded_payload(column: str) -> Column:
+    """First base64 candidate of the raw text whose decoded text trips a rule, else NULL.
 
-def encoded_findings(payload) -> Column:
+    Only candidates of a padded length are decoded; decoding never recurses.
+    """
+    return F.expr(payload_sql(name(column)))
+
+
+def encoded_findings(payload: str) -> Column:
     """Zero or one finding for a payload found by `encoded_payload`."""
-    payload = _col(payload)
-    return F.when(payload.isNotNull(), F.array(_finding(P.ENCODED_RULE, payload))).otherwise(
-        no_findings())
+    p = name(payload)
+    return F.expr(f"IF({p} IS NULL, CAST(array() AS {FINDING_TYPE}), "
+                  f"array({_finding_sql(P.ENCODED_RULE, p)}))")
 
 
-def has_marker(c) -> Column:
-    low = F.lower(clean(c))
-    cond = None
-    for marker in P.DISCUSSION_MARKERS:
-        # a marker that contains a shorter one adds nothing to the test
-        if any(o != marker and o in marker for o in P.DISCUSSION_MARKERS):
-            continue
-        hit = low.contains(marker)
-        cond = hit if cond is None else cond | hit
-    return cond
+# --- exemption and the full scan -------------------------------------------------------------
 
+def benign_sql(x: str) -> str:
+    raw = clean_sql(x)
+    # a marker that contains a shorter one adds nothing to the test
+    markers = [m for m in P.DISCUSSION_MARKERS
+               if not any(o != m and o in m for o in P.DISCUSSION_MARKERS)]
+    framed = _any(f"contains(lower({raw}), {plain(m)})" for m in markers)
+    quotes = f"regexp_extract_all({raw}, {literal(P.QUOTED)}, 0)"
+    outside = f"regexp_replace({raw}, {literal(P.QUOTED)}, ' ')"
+    return (f"({framed} AND exists({quotes}, quo -> {any_rule_in_sql('quo')}) "
+            f"AND NOT {any_rule_in_sql(outside)})")
 
-def is_benign_discussion(c) -> Column:
+
+def is_benign_discussion(column: str) -> Column:
     """Framed discussion: a marker, an attack inside quotes, and none outside them."""
-    raw = clean(c)
-    quotes = F.regexp_extract_all(raw, F.lit(P.QUOTED), F.lit(0))
-    outside = F.regexp_replace(raw, P.QUOTED, " ")
-    return has_marker(raw) & F.exists(quotes, any_rule_in) & ~any_rule_in(outside)
+    return F.expr(benign_sql(name(column)))
 
 
-def injection_hit(c) -> Column:
-    """True when the full scan reports at least one finding. For use on array elements."""
-    raw = clean(c)
-    suspicious = any_rule_in(raw) | encoded_payload(raw).isNotNull()
-    return F.when(suspicious, ~is_benign_discussion(raw)).otherwise(F.lit(False))
+def hit_sql(x: str) -> str:
+    """Whether the full scan reports anything; the exemption is only tried on suspicion."""
+    return (f"IF({any_rule_in_sql(clean_sql(x))} OR {payload_sql(x)} IS NOT NULL, "
+            f"NOT {benign_sql(x)}, FALSE)")
 
 
 def max_confidence(findings) -> Column:
@@ -162,12 +194,11 @@ def max_confidence(findings) -> Column:
     return F.coalesce(F.array_max(F.transform(_col(findings), lambda f: f["confidence"])), F.lit(0))
 
 
-def keep_safe_lines(c) -> Column:
-    """Drop the lines that carry a finding, rejoin the rest and trim."""
-    lines = F.filter(F.split(clean(c), "\n", -1), lambda line: ~injection_hit(line))
-    return strip(F.array_join(lines, "\n"))
+def safe_lines_sql(x: str) -> str:
+    kept = f"filter(split({clean_sql(x)}, '\\n', -1), ln -> NOT {hit_sql('ln')})"
+    return f"btrim(array_join({kept}, '\\n'), {plain(P.SPACES)})"
 
 
-def strip(c) -> Column:
-    """Trim every kind of white space at both ends."""
-    return F.btrim(clean(c), F.lit(P.SPACES))
+def keep_safe_lines(column: str) -> Column:
+    """Drop the lines that carry a finding, rejoin the rest and trim."""
+    return F.expr(safe_lines_sql(name(column)))

@@ -11,9 +11,8 @@ from ..functions import sensitive, text
 
 
 def _with(df: DataFrame, **cols) -> DataFrame:
-    """Append columns in one projection (replacing columns of the same name)."""
-    keep = [F.col(f"`{c}`") for c in df.columns if c not in cols]
-    return df.select(*keep, *[c.alias(n) for n, c in cols.items()])
+    """Append columns in one projection (replacing columns of the same name in place)."""
+    return df.withColumns({n: F.col(c) if isinstance(c, str) else c for n, c in cols.items()})
 
 
 def _once(df: DataFrame, **cols) -> DataFrame:
@@ -23,9 +22,8 @@ def _once(df: DataFrame, **cols) -> DataFrame:
     expression, and copies of copies through several scan stages make both planning and the run
     explode. Predicates do not move through a generator, so the values stay as they are.
     """
-    keep = [F.col(f"`{c}`") for c in df.columns if c not in cols]
-    return df.select(*keep, F.inline_outer(F.array(F.struct(
-        *[c.alias(n) for n, c in cols.items()]))))
+    once = F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
+    return df.drop(*cols).select("*", once)
 
 
 def normalize(df: DataFrame, column="text", out="text_norm") -> DataFrame:

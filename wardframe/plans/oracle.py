@@ -337,7 +337,7 @@ _SECONDS = "((us - {r}) // 1000000 + ((us - {r}) % 1000000) * 1000 / 1e9)"
 _REFILL = ("CASE WHEN us > {r} THEN least({t} + " + _SECONDS
            + f" * {X.BUCKET_RATE!r}, {float(X.BUCKET_CAPACITY)}) ELSE {{t}} END")
 _RETRY = (f"greatest(CAST(trunc((1 - {{t}}) / {X.BUCKET_RATE!r} * 1e9) AS BIGINT), 1000000)")
-_SECS = "greatest(({ns} + 500000000) // 1000000000, 1)"
+_SECS = "CASE WHEN {ns} IS NOT NULL THEN greatest(({ns} + 500000000) // 1000000000, 1) END"
 
 BUCKET = X.REQUESTS_SQL + "," + _RANKED + f""",
 fold AS (
@@ -395,7 +395,7 @@ fold AS (
       FROM fold f JOIN ranked r ON r.key_id = f.key_id AND r.rn = f.rn + 1)))))"""
 GUARD_ROWS = GUARD + f""",
 guarded AS (
-  SELECT key_id, us, seq, path, outcome, CAST(status AS INTEGER) AS status,
+  SELECT key_id, us, seq, rn, path, outcome, CAST(status AS INTEGER) AS status,
          {_SECS.format(ns='wait_ns')} AS retry_after_seconds, tokens,
          CAST(points AS INTEGER) AS points,
          CASE WHEN points = 1 THEN 'rate_limit_violation'
@@ -519,7 +519,7 @@ state AS (
          s.updated_us + (({AT_US} - s.updated_us) // {_D}) * {_D} AS last_updated_us,
          s.cooldown_until_us AS cooldown_until_us
   FROM (SELECT key_id, arg_max({{'score': score, 'updated_us': updated_us,
-                                'cooldown_until_us': cooldown_until_us}}, us * 1000000 + seq) AS s
+                                'cooldown_until_us': cooldown_until_us}}, rn) AS s
         FROM guarded WHERE us <= {AT_US} AND updated_us IS NOT NULL GROUP BY key_id))"""
 POSTURE = STATE + "," + X.API_KEYS_SQL + f""",
 posture AS (

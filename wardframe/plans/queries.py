@@ -743,13 +743,13 @@ def _history(spark, current):
 
 
 @register("eval_regression", f"""WITH {O.EVAL},
-one AS (SELECT max(recall) FILTER (WHERE suite = 'prompt_injection') AS recall,
+now AS (SELECT max(recall) FILTER (WHERE suite = 'prompt_injection') AS recall,
                max(false_negatives) FILTER (WHERE suite = 'prompt_injection') AS fn,
                max(accuracy) FILTER (WHERE suite = 'rag') AS acc, sum(failed)::BIGINT AS failed
         FROM metric)
 SELECT recall < 1 AS recall_down, fn > 0 AS false_negatives_up, acc < 1 AS retrieval_accuracy_down,
        failed AS failed_cases, recall < 1 OR fn > 0 OR acc < 1 AS regressed,
-       recall < 1 OR fn > 0 OR acc < 1 OR failed > 0 AS failed FROM one""")
+       recall < 1 OR fn > 0 OR acc < 1 OR failed > 0 AS failed FROM now""")
 def eval_regression(spark, sf):
     current = evals.report(evals.metrics(_eval_rows(spark, sf)), "2024-01-03T00:00:00Z")
     return evals.regression(current, evals.previous_report(_history(spark, current)))
