@@ -2,10 +2,12 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import common
+from .replay import MAX_GROUP_ROWS, Fold
+from .replay import replay as replay_fold
 from .scan import _once, _with
-from .sequence import DAY_US, carry, with_chunk
 
 ADMIN = "admin"
 
@@ -40,65 +42,78 @@ def create_approvals(evaluated: DataFrame, id="call_id", ts="ts"):
     return approvals, events
 
 
-def classify_attempts(approvals: DataFrame, attempts: DataFrame, order, ts="ts",
-                      chunk_us=DAY_US) -> DataFrame:
-    """Append known, prior_status, accepted, conflict and new_status to every attempt.
+def transition(status, action, valid):
+    """Status after an attempt. Attempts that the current status does not admit change nothing."""
+    if not valid:
+        return status
+    if status == "PENDING" and action in ("approve", "reject"):
+        return NEXT_STATUS[action]
+    if status == "APPROVED" and action == "claim":
+        return "EXECUTING"
+    if status == "EXECUTING" and action in ("finish", "fail"):
+        return NEXT_STATUS[action]
+    return status
 
-    attempts(approval_id, action, actor_role, actor_scopes as comma text, and the order columns,
-    the first of which is the time). The status before an attempt follows from three running
-    values: the first valid resolution, the last claim or failure since it, and the first finish
-    of a running execution. All three are carried over chunks of time, so a single approval may
-    hold any number of attempts.
-    """
-    order = list(order)
-    known = approvals.select("approval_id", F.lit(True).alias("known"))
-    df = attempts.join(known, "approval_id", "left")
-    df = _with(df, known=F.coalesce("known", F.lit(False)), _us=common.micros_of(attempts, ts))
-    action = F.col("action")
-    need = _lookup(action, ATTEMPT_SCOPES)
+
+def life_cycle_fold() -> Fold:
+    def step(state, action, valid):
+        prior = state[0] if state else "PENDING"
+        after = transition(prior, action, valid)
+        return (after,), (prior, after)
+
+    return Fold(("action", "_valid"), T.StructType([
+        T.StructField("prior_status", T.StringType()),
+        T.StructField("new_status", T.StringType())]), step, "status string")
+
+
+def with_validity(attempts: DataFrame) -> DataFrame:
+    """Append _scoped, _admin and _valid: may this actor make this attempt at all."""
+    need = _lookup(F.col("action"), ATTEMPT_SCOPES)
     scoped = need.isNull() | common.has_scope(common.split_scopes("actor_scopes"), need)
-    admin = need.isNull() | F.coalesce(F.col("actor_role") == ADMIN, F.lit(False))
-    df = _once(df, _scoped=F.coalesce(scoped, F.lit(False)), _admin=admin)
-    valid = F.col("_scoped") & F.col("_admin") & F.col("known")
-    df = with_chunk(df, "_us", chunk_us)
-    place = F.struct(*order)
-
-    df = carry(df, "approval_id", order, _resolved=("min", F.when(
-        valid & action.isin("approve", "reject"),
-        F.struct(*order, action.alias("_action")))))
-    approved = F.col("_resolved").isNotNull() & (F.col("_resolved._action") == "approve")
-    df = carry(df, "approval_id", order, _mode=("last", F.when(
-        approved & valid & action.isin("claim", "fail"), action)))
-    running = approved & (F.coalesce("_mode", F.lit("")) == "claim")
-    df = carry(df, "approval_id", order, _done=("min", F.when(
-        running & valid & (action == "finish"), place)))
-
-    prior = (F.when(F.col("_resolved").isNull(), "PENDING")
-             .when(~approved, "REJECTED")
-             .when(F.col("_done").isNotNull(), "EXECUTED")
-             .when(running, "EXECUTING").otherwise("APPROVED"))
-    df = _with(df, prior_status=F.when(F.col("known"), prior))
-    status = F.col("prior_status")
-    resolving = action.isin("approve", "reject")
-    missing = F.concat(F.lit("required scope: "), need)
-    df = _once(df, conflict=(
-        F.when(~F.col("_scoped"), missing)
+    admin = need.isNull() | (F.col("actor_role") == ADMIN)
+    df = _once(attempts, _scoped=F.coalesce(scoped, F.lit(False)),
+               _admin=F.coalesce(admin, F.lit(False)))
+    return _with(df, _valid=F.col("_scoped") & F.col("_admin"))
+
+
+def conflict_reason() -> Column:
+    """Why an attempt is refused, in the order of the checks; NULL when it is accepted."""
+    action, status, known = F.col("action"), F.col("prior_status"), F.col("known")
+    resolving, ending = action.isin("approve", "reject"), action.isin("finish", "fail")
+    need = _lookup(action, ATTEMPT_SCOPES)
+    return (
+        F.when(~F.col("_scoped"), F.concat(F.lit("required scope: "), need))
         .when(~F.col("_admin"), "admin role required")
-        .when(resolving & (~F.col("known") | (status != "PENDING")),
+        .when(resolving & (~known | (status != "PENDING")),
               "approval not found or already resolved")
-        .when(~F.col("known"), "approval not found")
+        .when(~known, "approval not found")
         .when((action == "claim") & (status == "EXECUTED"), "approval already executed")
         .when((action == "claim") & (status == "EXECUTING"),
               "approval execution already in progress")
         .when((action == "claim") & (status != "APPROVED"),
               "approval must be APPROVED before execution")
-        .when(action.isin("finish", "fail") & (status != "EXECUTING"),
-              "no execution in progress")))
-    ok = F.col("conflict").isNull()
-    df = _with(df, accepted=ok, new_status=F.when(ok, _lookup(action, NEXT_STATUS))
-               .otherwise(F.col("prior_status")))
-    return df.select(*[F.col(c) for c in attempts.columns], "known", "prior_status", "accepted",
-                     "conflict", "new_status")
+        .when(ending & (status != "EXECUTING"), "no execution in progress"))
+
+
+def classify_attempts(approvals: DataFrame, attempts: DataFrame, order,
+                      max_group_rows=MAX_GROUP_ROWS, slices=None) -> DataFrame:
+    """Append known, prior_status, accepted, conflict and new_status to every attempt.
+
+    attempts(approval_id, action, actor_role, actor_scopes as comma text, and the order columns).
+    One ordered pass per approval over one exchange; an approval with very many attempts is
+    spread over slices (see `operators.replay`).
+    """
+    known = approvals.select("approval_id", F.lit(True).alias("known"))
+    df = with_validity(attempts).join(known, "approval_id", "left")
+    df = _with(df, known=F.coalesce("known", F.lit(False)))
+    df = replay_fold(df, life_cycle_fold(), "approval_id", order, max_group_rows, slices,
+                     counted=attempts)
+    df = _with(df, prior_status=F.when(F.col("known"), F.col("prior_status")),
+               new_status=F.when(F.col("known"), F.col("new_status")))
+    df = _with(df, conflict=conflict_reason())
+    df = _with(df, accepted=F.col("conflict").isNull())
+    return df.select(*attempts.columns, "known", "prior_status", "accepted", "conflict",
+                     "new_status")
 
 
 def replay(approvals: DataFrame, classified: DataFrame, order, ts="ts") -> DataFrame:

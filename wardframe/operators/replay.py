@@ -32,12 +32,14 @@ class Fold:
     """A state machine: `step(state, *values) -> (state, outputs)`, started with state None.
 
     `inputs` are the columns passed to `step`; `outputs` is the schema of what it returns. States
-    are tuples of plain values, so they can be compared and shipped.
+    are tuples of plain values, so they can be compared and shipped; `state` is their schema, for
+    use in a stream.
     """
 
     inputs: tuple
     outputs: T.StructType
     step: Callable
+    state: str = ""
 
 
 def _arrow_type(t: T.DataType) -> pa.DataType:
@@ -80,11 +82,14 @@ class _Run:
 
 
 def replay(df: DataFrame, fold: Fold, key: str, order, max_group_rows=MAX_GROUP_ROWS,
-           slices=None) -> DataFrame:
-    """Append the fold's outputs to every row. `order` must be unique within a key."""
+           slices=None, counted: DataFrame = None) -> DataFrame:
+    """Append the fold's outputs to every row. `order` must be unique within a key.
+
+    `counted` may name a cheaper frame with the same number of rows per key.
+    """
     order = list(order)
     schema = T.StructType(df.schema.fields + fold.outputs.fields)
-    hot = (df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot = ((df if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
            .filter(F.col("n") > max_group_rows).limit(1).count() > 0)
     if not hot:
         run = _Run(fold, key)

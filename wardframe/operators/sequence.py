@@ -1,10 +1,10 @@
-"""Running aggregates per key that never gather a key into one task.
+"""Chunks of time for running aggregates that never gather a key into one task.
 
-Time is cut into chunks. Windows run per (key, chunk); one summary row per (key, chunk) is scanned
-over the chunks of a key, whose number is bounded by the covered time and not by the traffic.
+Windows run per (key, chunk); one summary row per (key, chunk) is scanned over the chunks of a
+key, whose number is bounded by the covered time and not by the traffic.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scan import _with
@@ -14,42 +14,3 @@ DAY_US = 86_400_000_000
 
 def with_chunk(df: DataFrame, us="us", chunk_us=DAY_US) -> DataFrame:
     return _with(df, _chunk=F.floor(F.col(us) / F.lit(chunk_us)).cast("long"))
-
-
-def carry(df: DataFrame, key: str, order, chunk="_chunk", **running) -> DataFrame:
-    """Append running aggregates over the rows strictly before each row of its key.
-
-    Each is (kind, expression), kind one of sum, min, max, last. `last` skips NULLs, `sum` starts
-    from zero. `order` must be unique within a key, and chunks must follow it.
-    """
-    local = Window.partitionBy(key, chunk).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, -1)
-    before = Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    place = F.struct(*order)
-    inner, totals, scans, merged = {}, [], {}, {}
-    for name, (kind, expr) in running.items():
-        v, t, p, q = f"_v_{name}", f"_t_{name}", f"_p_{name}", f"_q_{name}"
-        inner[v] = expr
-        if kind == "last":
-            totals.append(F.max_by(F.col(v), F.when(F.col(v).isNotNull(), place)).alias(t))
-            scans[p] = F.last(t, ignorenulls=True).over(before)
-            local_value = F.last(v, ignorenulls=True).over(local)
-            merged[name] = F.coalesce(q, p)
-        else:
-            agg = getattr(F, kind)
-            totals.append(agg(v).alias(t))
-            scans[p] = agg(t).over(before)
-            local_value = agg(v).over(local)
-            if kind == "sum":
-                merged[name] = F.coalesce(q, F.lit(0)) + F.coalesce(p, F.lit(0))
-            else:
-                pick = F.least if kind == "min" else F.greatest
-                merged[name] = pick(F.col(q), F.col(p))
-        inner[q] = (v, local_value)
-    rows = _with(df, **{n: e for n, e in inner.items() if not isinstance(e, tuple)})
-    heads = rows.groupBy(key, chunk).agg(*totals)
-    heads = heads.select(key, chunk, *[e.alias(n) for n, e in scans.items()])
-    rows = _with(rows, **{n: e[1] for n, e in inner.items() if isinstance(e, tuple)})
-    out = rows.join(heads, [key, chunk], "left")
-    return out.select(*[F.col(c) for c in df.columns],
-                      *[e.alias(n) for n, e in merged.items()])

@@ -62,7 +62,8 @@ def bucket_fold(capacity=CAPACITY, rate=RATE) -> Fold:
         return (tokens, refilled), (allowed, tokens, seconds)
 
     return Fold(("us",), _fields(("allowed", "bool"), ("tokens", "double"),
-                                 ("retry_after_seconds", "long")), step)
+                                 ("retry_after_seconds", "long")), step,
+                "tokens double, refilled bigint")
 
 
 def rate_limit(requests: DataFrame, capacity=CAPACITY, refill_per_second=RATE,
@@ -149,7 +150,7 @@ def cooldown_fold(threshold=THRESHOLD, cooldown_us=COOLDOWN_US) -> Fold:
         return (until,), (entered, until)
 
     return Fold(("us", "score"), _fields(("entered", "bool"), ("cooldown_until_us", "long")),
-                step)
+                step, "until bigint")
 
 
 def cooldowns(scored: DataFrame, threshold=THRESHOLD, cooldown_us=COOLDOWN_US,
@@ -206,7 +207,7 @@ def gate_fold(threshold=THRESHOLD, cooldown_us=COOLDOWN_US, decay_us=DECAY_US) -
 
     return Fold(("us", "points"), _fields(
         ("blocked", "bool"), ("retry_after_seconds", "long"), ("score", "int"),
-        ("cooldown_until_us", "long")), step)
+        ("cooldown_until_us", "long")), step, "score int, updated bigint, until bigint")
 
 
 def gate(requests: DataFrame, threshold=THRESHOLD, cooldown_us=COOLDOWN_US, decay_us=DECAY_US,
@@ -251,7 +252,8 @@ def guard_fold(capacity=CAPACITY, rate=RATE, threshold=THRESHOLD, cooldown_us=CO
     return Fold(("us", "path", "handler_status"), _fields(
         ("outcome", "string"), ("status", "int"), ("retry_after_seconds", "long"),
         ("tokens", "double"), ("points", "int"), ("reason", "string"), ("score", "int"),
-        ("entered", "bool"), ("cooldown_until_us", "long"), ("updated_us", "long")), step)
+        ("entered", "bool"), ("cooldown_until_us", "long"), ("updated_us", "long")), step,
+        "tokens double, refilled bigint, score int, updated bigint, until bigint")
 
 
 def traffic_guard(requests: DataFrame, capacity=CAPACITY, refill_per_second=RATE,

@@ -69,8 +69,12 @@ def _payload_sql(k: str) -> str:
 
 def attacked(spark, sf_dir) -> DataFrame:
     """conversations with payloads appended: conv_id, turn, role, text, k."""
+    return attacked_of(table(spark, sf_dir, "conversations"))
+
+
+def attacked_of(conversations: DataFrame) -> DataFrame:
     k = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(MODULUS))
-    df = table(spark, sf_dir, "conversations").select("*", k.cast("int").alias("k"))
+    df = conversations.select("*", k.cast("int").alias("k"))
     extra = _payload(F.col("k"))
     return df.select("conv_id", "turn", "role", F.when(
         extra.isNotNull(), F.concat(F.coalesce("text", F.lit("")), F.lit(" "), extra)
@@ -88,7 +92,11 @@ attacked AS (
 
 def attacked_documents(spark, sf_dir) -> DataFrame:
     """documents with payloads on a line of their own: doc_id, text, lang, source, k."""
-    df = table(spark, sf_dir, "documents").select(
+    return attacked_documents_of(table(spark, sf_dir, "documents"))
+
+
+def attacked_documents_of(documents: DataFrame) -> DataFrame:
+    df = documents.select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source",
         F.pmod("doc_id", F.lit(MODULUS)).cast("int").alias("k"))
     extra = _payload(F.col("k"))
@@ -134,7 +142,11 @@ _DOC_COLUMNS = """
 
 def retrieval_requests(spark, sf_dir) -> DataFrame:
     """documents as retrieval requests of four, with split and line-spanning attacks."""
-    df = attacked_documents(spark, sf_dir).select(
+    return retrieval_of(table(spark, sf_dir, "documents"))
+
+
+def retrieval_of(documents: DataFrame) -> DataFrame:
+    df = attacked_documents_of(documents).select(
         "*", F.expr("doc_id div 4").alias("request_id"),
         F.expr("CAST(doc_id % 4 AS INT)").alias("pos"))
     df = df.selectExpr("*", *[c.strip() for c in _split_columns(_DOC_COLUMNS)])
@@ -222,7 +234,11 @@ _EVENT_COLUMNS = """
 
 def requests(spark, sf_dir) -> DataFrame:
     """events as guarded requests: key_id, seq, raw_key, ts, us, method, path, handler_status."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return requests_of(table(spark, sf_dir, "events"))
+
+
+def requests_of(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         *_split_columns(_EVENT_COLUMNS), "'POST' AS method", "ts",
         f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'{EPOCH}', ts) AS us")
 
@@ -270,7 +286,11 @@ _ATTEMPT_COLUMNS = """
 
 def attempts(spark, sf_dir) -> DataFrame:
     """lineitem as approval attempts: call_id, ts, o1..o4, action, actor_role, actor_scopes."""
-    return table(spark, sf_dir, "lineitem").selectExpr(*_split_columns(_ATTEMPT_COLUMNS))
+    return attempts_of(table(spark, sf_dir, "lineitem"))
+
+
+def attempts_of(lineitem: DataFrame) -> DataFrame:
+    return lineitem.selectExpr(*_split_columns(_ATTEMPT_COLUMNS))
 
 
 ATTEMPTS_SQL = f"""

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import common, text
+from ..functions import common, sql
 from ..operators import (approvals, audit, chat, evals, identity, retrieval, scan, state, tools,
                          traffic)
 from ..operators.scan import _with
+from ..streaming import folds, run, scans
 from . import fixtures as X
 from . import oracle as O
 
@@ -767,3 +768,102 @@ def overview(spark, sf):
         F.count(F.lit(1)).alias("eval_total"), F.count_if("passed").alias("eval_passed"))
     return audit.overview(audit.security_stats(_audit(spark, sf)), report,
                           audit.posture_summary(_posture(spark, sf)))
+
+
+# --- streams and SQL functions ---------------------------------------------------------------
+
+def _stream_requests(spark, sf):
+    events = run.stream_table(spark, sf, "events")
+    return X.requests_of(events).select("key_id", "us", "seq", "path", "handler_status")
+
+
+@register("stream_traffic_guard", SQL["traffic_guard"])
+def stream_traffic_guard(spark, sf):
+    guard = folds.traffic_guard(_stream_requests(spark, sf), capacity=X.BUCKET_CAPACITY,
+                                rate=X.BUCKET_RATE, **_ABUSE)
+    return run.drain(guard, "guard").filter(~F.col("late")).select(
+        *_GUARD_OUT, F.round("tokens", 6).alias("tokens"))
+
+
+@register("stream_chat_verdict", f"WITH {X.ATTACKED_SQL}, "
+          f"s1 AS (SELECT *, {O.strip('text')} AS prompt FROM attacked), "
+          f"{O.scan_cte('s1', 'prompt')}, {O.pii_cte('scanned', 'prompt')}, "
+          f"r AS (SELECT *, {O.score(O.secret('prompt'), 'pcount', 'fcount', 'fconf')} AS "
+          "risk_score FROM redacted) SELECT conv_id, turn, risk_score, "
+          f"{O.severity('risk_score')} AS severity, {O.action('risk_score')} AS decision FROM r")
+def stream_chat_verdict(spark, sf):
+    turns = X.attacked_of(run.stream_table(spark, sf, "conversations"))
+    requests = _with(turns, messages=F.array(F.struct("role", F.col("text").alias("content"))))
+    judged = scans.judge_requests(requests)
+    return run.drain(judged.select("conv_id", "turn", "risk_score", "severity", "decision"),
+                     "verdicts")
+
+
+@register("stream_inspect", SQL["rag_inspect"])
+def stream_inspect(spark, sf):
+    docs = X.retrieval_of(run.stream_table(spark, sf, "documents"))
+    df = scans.inspect_documents(docs).select(
+        "id", "decision", "sanitized", _types().alias("types"), "reason")
+    return run.drain(df, "inspected")
+
+
+@register("stream_identity", SQL["key_resolution"])
+def stream_identity(spark, sf):
+    asked = X.requests_of(run.stream_table(spark, sf, "events")).drop("key_id")
+    df = scans.resolve_identities(asked, X.api_keys(spark, sf)).select(
+        "seq", "key_id", "user_id", "role", "team", F.array_join("scopes", "|").alias("scopes"),
+        "authenticated", "reason")
+    return run.drain(df, "identities")
+
+
+@register("stream_approvals", SQL["approval_conflicts"])
+def stream_approvals(spark, sf):
+    created, _ = _created(spark, sf)
+    known = created.select("approval_id", F.lit(True).alias("known"))
+    tried = X.attempts_of(run.stream_table(spark, sf, "lineitem")).withColumnRenamed(
+        "call_id", "approval_id")
+    tried = _with(tried, us=common.micros_of(tried, "ts")).drop("ts").join(
+        known, "approval_id", "left")
+    tried = _with(tried, known=F.coalesce("known", F.lit(False)))
+    df = folds.approval_states(tried, ("us", "o1", "o2", "o3", "o4"))
+    rows = run.drain(df, "approvals")
+    rows = _with(rows, prior_status=F.when(F.col("known"), F.col("prior_status")),
+                 new_status=F.when(F.col("known"), F.col("new_status")))
+    return rows.groupBy("action", "prior_status", "conflict", "new_status").agg(
+        F.count(F.lit(1)).alias("attempts"), F.min("approval_id").alias("first_approval"),
+        F.sum("approval_id").alias("approval_sum"))
+
+
+@register("stream_stats", f"WITH {X.ATTACKED_SQL}, "
+          f"{O.scan_cte('attacked', 'text')}, {O.pii_cte('scanned', 'text')}, "
+          f"r AS (SELECT *, {O.score(O.secret('text'), 'pcount', 'fcount', 'fconf')} AS "
+          f"risk_score, length(text) AS latency_ms FROM redacted), audit AS (SELECT *, "
+          f"{O.severity('risk_score')} AS severity, {O.action('risk_score')} AS decision FROM r) "
+          f"{O.STATS}")
+def stream_stats(spark, sf):
+    turns = X.attacked_of(run.stream_table(spark, sf, "conversations"))
+    requests = _with(turns, messages=F.array(F.struct("role", F.col("text").alias("content"))))
+    judged = _with(scans.judge_requests(requests), latency_ms=F.length("text"))
+    return run.drain_complete(scans.running_stats(judged), "stats")
+
+
+@register("sql_functions", f"WITH {X.ATTACKED_SQL}, {O.scan_cte('attacked', 'text')}, "
+          f"{O.pii_cte('scanned', 'text')}, "
+          f"r AS (SELECT *, {O.score(O.secret('text'), 'pcount', 'fcount', 'fconf')} AS risk "
+          f"FROM redacted) SELECT conv_id, turn, {O.norm('text')} AS text_norm, fcount > 0 AS "
+          f"injected, fconf AS confidence, pl AS payload, red AS redacted, "
+          f"CAST(pcount AS INTEGER) AS kinds, {O.secret('text')} AS secrets, "
+          f"{O.severity('risk')} AS severity, {O.action('risk')} AS action FROM r")
+def sql_functions(spark, sf):
+    sql.register(spark)
+    X.attacked(spark, sf).createOrReplaceTempView("wardframe_attacked")
+    return spark.sql("""
+        WITH scanned AS (
+          SELECT conv_id, turn, text, has_injection(text) AS injected,
+                 injection_confidence(text) AS confidence, pii_count(text) AS kinds,
+                 secret_count(text) AS secrets FROM wardframe_attacked),
+        scored AS (SELECT *, risk_score(secrets, kinds, IF(injected, 1, 0), confidence) AS risk
+                   FROM scanned)
+        SELECT conv_id, turn, normalize_text(text) AS text_norm, injected, confidence,
+               encoded_payload(text) AS payload, redact_pii(text) AS redacted, kinds, secrets,
+               risk_severity(risk) AS severity, risk_action(risk) AS action FROM scored""")
