@@ -61,19 +61,19 @@ def life_cycle_fold() -> Fold:
         after = transition(prior, action, valid)
         return (after,), (prior, after)
 
-    return Fold(("action", "_valid"), T.StructType([
+    return Fold(("action", "valid"), T.StructType([
         T.StructField("prior_status", T.StringType()),
         T.StructField("new_status", T.StringType())]), step, "status string")
 
 
 def with_validity(attempts: DataFrame) -> DataFrame:
-    """Append _scoped, _admin and _valid: may this actor make this attempt at all."""
+    """Append scope_ok, role_ok and valid: may this actor make this attempt at all."""
     need = _lookup(F.col("action"), ATTEMPT_SCOPES)
     scoped = need.isNull() | common.has_scope(common.split_scopes("actor_scopes"), need)
     admin = need.isNull() | (F.col("actor_role") == ADMIN)
-    df = _once(attempts, _scoped=F.coalesce(scoped, F.lit(False)),
-               _admin=F.coalesce(admin, F.lit(False)))
-    return _with(df, _valid=F.col("_scoped") & F.col("_admin"))
+    df = _once(attempts, scope_ok=F.coalesce(scoped, F.lit(False)),
+               role_ok=F.coalesce(admin, F.lit(False)))
+    return _with(df, valid=F.col("scope_ok") & F.col("role_ok"))
 
 
 def conflict_reason() -> Column:
@@ -82,8 +82,8 @@ def conflict_reason() -> Column:
     resolving, ending = action.isin("approve", "reject"), action.isin("finish", "fail")
     need = _lookup(action, ATTEMPT_SCOPES)
     return (
-        F.when(~F.col("_scoped"), F.concat(F.lit("required scope: "), need))
-        .when(~F.col("_admin"), "admin role required")
+        F.when(~F.col("scope_ok"), F.concat(F.lit("required scope: "), need))
+        .when(~F.col("role_ok"), "admin role required")
         .when(resolving & (~known | (status != "PENDING")),
               "approval not found or already resolved")
         .when(~known, "approval not found")

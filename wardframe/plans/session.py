@@ -46,6 +46,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
+def ensure_state_store(spark: SparkSession) -> None:
+    """Keyed stream state needs the RocksDB store; leave any other explicit choice alone."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if "HDFSBacked" in spark.conf.get(key):
+        spark.conf.set(key, SETTINGS[key])
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from ..operators import approvals, traffic
 from ..operators.replay import Fold
 from ..operators.scan import _with
+from ..plans.session import ensure_state_store
 
 
 class FoldProcessor(StatefulProcessor):
@@ -58,7 +59,11 @@ class FoldProcessor(StatefulProcessor):
 
 
 def fold_stream(stream: DataFrame, fold: Fold, key: str, order, ttl_ms=None) -> DataFrame:
-    """Append the fold's outputs and `late` to every row of a stream. Needs the RocksDB store."""
+    """Append the fold's outputs and `late` to every row of a stream. Needs the RocksDB store.
+
+    Column names must not start with an underscore: the state API hands those over renamed.
+    """
+    ensure_state_store(stream.sparkSession)
     fields = stream.schema.fields + fold.outputs.fields + [T.StructField("late", T.BooleanType())]
     processor = FoldProcessor(fold, stream.columns, list(order), ttl_ms)
     return stream.groupBy(key).transformWithStateInPandas(
@@ -86,4 +91,4 @@ def approval_states(stream: DataFrame, order=("us",), ttl_ms=None) -> DataFrame:
     df = fold_stream(df, approvals.life_cycle_fold(), "approval_id", order, ttl_ms)
     df = _with(df, conflict=F.when(~F.col("late"), approvals.conflict_reason()))
     df = _with(df, accepted=F.col("conflict").isNull() & ~F.col("late"))
-    return df.drop("_scoped", "_admin", "_valid")
+    return df.drop("scope_ok", "role_ok", "valid")
