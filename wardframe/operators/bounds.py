@@ -23,3 +23,12 @@ def split_oversize(df: DataFrame, key: str, columns, limit=MAX_REQUEST_BYTES):
     refused = (df.groupBy(key).agg(F.sum(size.cast("long")).alias("body_bytes"))
                .filter(F.col("body_bytes") > limit))
     return df.join(refused.select(key), key, "left_anti"), refused
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows with heavy per-row work when the input has fewer splits than there are cores.
+
+    A large table has many splits per core and passes unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
