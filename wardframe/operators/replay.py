@@ -1,23 +1,24 @@
 """Replay of per-key sequences through a state machine, over hot keys too.
 
 A fold is a function of (state, row). Rows of a key are replayed in order, one Arrow batch at a
-time, so no group is ever held in memory. Two physical forms give the same result:
-
-* hashed: rows are hash partitioned by key and sorted. Used when no key exceeds
-  `max_group_rows`, which a count with map-side combine establishes first.
-* sliced: rows are range partitioned by (key, order), so that a hot key is spread over many
-  equally large slices, and checkpointed. A slice in the middle of a key starts from the state its
-  predecessor ended with. All slices run at once from an assumed state, then every slice whose
-  assumption proved wrong runs again, until all hand-overs agree. The first slice of a key always
-  starts from the true state, so agreement of all hand-overs means every result is exact. Only one
-  state per slice reaches the driver.
+time, so no group is ever held in memory. A count per key, with map-side combine, tells the keys
+with more than `max_group_rows` rows; there are at most total / max_group_rows of them.
+
+* Other keys: hash partitioned by key, sorted, replayed. One exchange.
+* Hot keys: range partitioned by (key, order), so that one key is spread over many equally large
+  slices, and checkpointed. A slice in the middle of a key starts from the state its predecessor
+  ended with. All slices run at once from an assumed state, then every slice whose assumption
+  proved wrong runs again, until all hand-overs agree. The first slice of a key always starts from
+  the true state, so agreement of all hand-overs means every result is exact. Only one state per
+  slice reaches the driver.
 """
 
+from ast import literal_eval
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,8 @@ from pyspark.sql import types as T
 from ..plans.session import ensure_checkpoint_dir
 
 MAX_GROUP_ROWS = 1_000_000
+SLICE_ROWS = 1_000_000
+SLICE = "slice_no"
 
 
 @dataclass(frozen=True)
@@ -89,49 +92,68 @@ def replay(df: DataFrame, fold: Fold, key: str, order, max_group_rows=MAX_GROUP_
     """
     order = list(order)
     schema = T.StructType(df.schema.fields + fold.outputs.fields)
-    hot = ((df if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-           .filter(F.col("n") > max_group_rows).limit(1).count() > 0)
-    if not hot:
-        run = _Run(fold, key)
-        ordered = df.repartition(F.col(key)).sortWithinPartitions(key, *order)
-        return ordered.mapInArrow(lambda batches: run(batches), schema)
-    return _replay_slices(df, fold, key, order, schema, slices)
+    hot = ((df if counted is None else counted).groupBy(key)
+           .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_group_rows))
+    hot_rows = hot.agg(F.sum("n")).first()[0]
+    if hot_rows is None:
+        return _replay_hashed(df, fold, key, order, schema)
+    hot = hot.select(key)
+    n = slices or max(-(-hot_rows // SLICE_ROWS),
+                      int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cold = _replay_hashed(df.join(hot, key, "left_anti").select(df.columns), fold, key, order,
+                          schema)
+    sliced = _replay_slices(df.join(hot, key, "left_semi").select(df.columns), fold, key, order,
+                            schema, n)
+    return cold.unionByName(sliced)
+
+
+def _replay_hashed(df, fold, key, order, schema):
+    run = _Run(fold, key)
+    ordered = df.repartition(F.col(key)).sortWithinPartitions(key, *order)
+    return ordered.mapInArrow(lambda batches: run(batches), schema)
 
 
 def _replay_slices(df, fold, key, order, schema, slices):
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (df.repartitionByRange(n, F.col(key), *[F.col(c) for c in order])
-               .sortWithinPartitions(key, *order).checkpoint(eager=True))
+    ensure_checkpoint_dir(df.sparkSession)
+    # the slice number is stored with the rows: a task's own number changes with the plan
+    ordered = (df.repartitionByRange(slices, F.col(key), *[F.col(c) for c in order])
+               .sortWithinPartitions(key, *order)
+               .withColumn(SLICE, F.spark_partition_id()).checkpoint(eager=True))
     ends = {}
     starts = {}
     pending = None
     while pending is None or pending:
         ends.update(_slice_ends(ordered, fold, key, starts, pending))
-        starts, pending = _hand_over(ends, starts, pending is None)
+        starts, pending = _hand_over(ends, starts)
     run = _Run(fold, key)
 
     def emit(batches):
-        start_key, state = starts.get(TaskContext.get().partitionId(), (None, None))
-        yield from run(batches, start_key, state)
+        for i, rest in _numbered(batches):
+            yield from run(rest, *starts.get(i, (None, None)))
 
     return ordered.mapInArrow(emit, schema)
 
 
+def _numbered(batches):
+    """(slice number, its batches without that column), once, or nothing for an empty slice."""
+    batches = (b for b in batches if b.num_rows)
+    head = next(batches, None)
+    if head is not None:
+        number = head.column(SLICE)[0].as_py()
+        yield number, (b.drop_columns([SLICE]) for b in chain([head], batches))
+
+
 def _slice_ends(ordered, fold, key, starts, only):
     """{slice: (first key, last key, last state)} of the slices in `only` (all when None)."""
     run = _Run(fold, key)
 
     def ends(batches):
-        i = TaskContext.get().partitionId()
-        if only is not None and i not in only:
-            return
-        start_key, state = starts.get(i, (None, None))
-        for _ in run(batches, start_key, state):
-            pass
-        seen, first, last, state = run.end
-        if seen:
+        for i, rest in _numbered(batches):
+            if only is not None and i not in only:
+                return
+            for _ in run(rest, *starts.get(i, (None, None))):
+                pass
+            _, first, last, state = run.end
             yield pa.RecordBatch.from_pydict(
                 {"slice": [i], "end": [repr((first, last, state))]},
                 schema=pa.schema([("slice", pa.int32()), ("end", pa.string())]))
@@ -142,11 +164,10 @@ def _slice_ends(ordered, fold, key, starts, only):
 
 def _parse(text):
     """States are tuples of plain values, so their repr reads back exactly."""
-    from ast import literal_eval
     return literal_eval(text)
 
 
-def _hand_over(ends, starts, first_round):
+def _hand_over(ends, starts):
     """New start state per slice, and the slices whose outcome depends on a changed start."""
     fresh, pending = {}, set()
     previous = None

@@ -6,9 +6,11 @@ from ..functions import common, sql
 from ..operators import (approvals, audit, chat, evals, identity, retrieval, scan, state, tools,
                          traffic)
 from ..operators.scan import _with
+from ..sources import event_tables, reports, requests
 from ..streaming import folds, run, scans
 from . import fixtures as X
 from . import oracle as O
+from .session import new_folder
 
 QUERIES = {}
 SQL = {}
@@ -185,6 +187,38 @@ def audit_projection(spark, sf):
         (F.col("output_findings") == "null").alias("no_output"))
 
 
+# --- sources and sinks -----------------------------------------------------------------------
+
+@register("request_source", f"""WITH {X.ATTACKED_SQL}
+SELECT 'req_' || CAST(conv_id AS VARCHAR) AS request_id, 'mock' AS provider,
+       CAST(count(*) AS INTEGER) AS messages, sum(length(text))::BIGINT AS chars
+FROM attacked GROUP BY conv_id""")
+def request_source(spark, sf):
+    """Conversations written as JSON lines and read back through the request source."""
+    path = new_folder(spark, "requests")
+    message = F.struct("turn", "role", F.col("text").alias("content"))
+    (X.attacked(spark, sf).groupBy("conv_id")
+     .agg(F.sort_array(F.collect_list(message)).alias("messages"))
+     .select(F.concat(F.lit("req_"), F.col("conv_id").cast("string")).alias("request_id"),
+             F.lit("base").alias("model"), F.lit("").alias("provider"), "messages")
+     .write.json(path))
+    accepted, _ = requests.read_requests(spark, path)
+    chars = F.aggregate("messages", F.lit(0).cast("long"),
+                        lambda a, m: a + F.length(m["content"]))
+    return accepted.select("request_id", "provider", F.size("messages").alias("messages"),
+                           chars.alias("chars"))
+
+
+@register("event_table", f"WITH {O.AUDIT} SELECT request_id, decision, risk_score, "
+          "pii_findings FROM audit")
+def event_table(spark, sf):
+    """Audit rows appended to their date-partitioned table and read back."""
+    folder = new_folder(spark, "events")
+    event_tables.append_events(_audit(spark, sf), "audit_events", folder)
+    return event_tables.read_events(spark, "audit_events", folder).select(
+        "request_id", "decision", "risk_score", "pii_findings")
+
+
 # --- identity --------------------------------------------------------------------------------
 
 def _resolved(spark, sf):
@@ -729,8 +763,11 @@ def eval_metrics(spark, sf):
     return evals.metrics(_eval_rows(spark, sf))
 
 
-def _history(spark, current):
-    """The current report after two earlier ones, of which the newer was better."""
+def _history(spark, sf):
+    """History folder of two earlier runs, the newer one better, and the current one.
+
+    The current report is evaluated once, when it is written.
+    """
     metric = ("named_struct('total', {t}L, 'passed', {p}L, 'failed', {f}L, 'accuracy', {a}D, "
               "'precision', 1D, 'recall', {r}D, 'false_positives', 0L, 'false_negatives', {n}L, "
               "'average_latency_ns', CAST(NULL AS BIGINT))")
@@ -739,9 +776,24 @@ def _history(spark, current):
         row = ", ".join(f"{metric.format(**kw)} AS {s}" for s in evals.SUITES)
         return spark.sql(f"SELECT '{ts}' AS timestamp, {row}")
 
-    worse = old("2024-01-01T00:00:00Z", t=26, p=13, f=13, a=0.5, r=0.5, n=9)
-    better = old("2024-01-02T00:00:00Z", t=26, p=26, f=0, a=1.0, r=1.0, n=0)
-    return current.unionByName(worse).unionByName(better)
+    folder = new_folder(spark, "history")
+    for row in (old("2024-01-01T00:00:00Z", t=26, p=13, f=13, a=0.5, r=0.5, n=9),
+                old("2024-01-02T00:00:00Z", t=26, p=26, f=0, a=1.0, r=1.0, n=0),
+                evals.report(evals.metrics(_eval_rows(spark, sf)), "2024-01-03T00:00:00Z")):
+        reports.write_report(row, folder)
+    return reports.read_history(spark, folder)
+
+
+@register("eval_history", f"WITH {O.EVAL} SELECT '2024-01-03T00:00:00Z' AS timestamp, "
+          "max(passed) FILTER (WHERE suite = 'prompt_injection') AS injection_passed, "
+          "max(passed) FILTER (WHERE suite = 'pii') AS pii_passed, "
+          "max(accuracy) FILTER (WHERE suite = 'rag') AS rag_accuracy FROM metric")
+def eval_history(spark, sf):
+    """The current report written to the history and read back as the latest."""
+    latest = evals.latest_report(_history(spark, sf))
+    return latest.select(
+        "timestamp", F.col("prompt_injection.passed").alias("injection_passed"),
+        F.col("pii.passed").alias("pii_passed"), F.col("rag.accuracy").alias("rag_accuracy"))
 
 
 @register("eval_regression", f"""WITH {O.EVAL},
@@ -753,8 +805,8 @@ SELECT recall < 1 AS recall_down, fn > 0 AS false_negatives_up, acc < 1 AS retri
        failed AS failed_cases, recall < 1 OR fn > 0 OR acc < 1 AS regressed,
        recall < 1 OR fn > 0 OR acc < 1 OR failed > 0 AS failed FROM now""")
 def eval_regression(spark, sf):
-    current = evals.report(evals.metrics(_eval_rows(spark, sf)), "2024-01-03T00:00:00Z")
-    return evals.regression(current, evals.previous_report(_history(spark, current)))
+    history = _history(spark, sf)
+    return evals.regression(evals.latest_report(history), evals.previous_report(history))
 
 
 @register("overview", f"""WITH RECURSIVE {O.AUDIT}, {O.POSTURE.lstrip()},

@@ -14,5 +14,5 @@ def write_report(report: DataFrame, folder: str) -> None:
 
 
 def read_history(spark: SparkSession, folder: str) -> DataFrame:
-    """All reports, from files of one record or of one pretty-printed document each."""
+    """All reports, from files of one record each, pretty-printed or not."""
     return spark.read.option("multiLine", True).schema(SCHEMA).json(folder)

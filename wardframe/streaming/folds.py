@@ -28,16 +28,18 @@ class FoldProcessor(StatefulProcessor):
         self.value = handle.getValueState("fold", schema, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        frames = list(rows)
-        batch = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]
-        batch = batch.sort_values(self.order, kind="stable").astype(object)
-        batch = batch.where(batch.notna(), None)
+        data = {c: [] for c in self.columns}
+        for frame in rows:
+            for c in self.columns:
+                data[c].extend(_values(frame[c]))
+        ranks = list(zip(*[data[c] for c in self.order]))
+        by_rank = sorted(range(len(ranks)), key=ranks.__getitem__)
+        data = {c: [v[i] for i in by_rank] for c, v in data.items()}
         stored = self.value.get() if self.value.exists() else None
         state, last = (None, None) if stored is None else (tuple(stored[:-1]), stored[-1])
-        times = batch[self.order[0]].tolist()
         late, out = [], []
         blank = (None,) * len(self.fold.outputs.fields)
-        for us, *row in zip(times, *[batch[c].tolist() for c in self.fold.inputs]):
+        for us, *row in zip(data[self.order[0]], *[data[c] for c in self.fold.inputs]):
             old = last is not None and us < last
             late.append(old)
             if old:
@@ -48,16 +50,21 @@ class FoldProcessor(StatefulProcessor):
             last = us
         if state is not None:
             self.value.update((*state, last))
-        result = pd.DataFrame({c: batch[c].tolist() for c in self.columns}, dtype=object)
-        for i, field in enumerate(self.fold.outputs.fields):
-            result[field.name] = pd.Series([o[i] for o in out], dtype=object)
-        result["late"] = late
-        yield result
+        for field, values in zip(self.fold.outputs.fields, zip(*out)):
+            data[field.name] = list(values)
+        data["late"] = late
+        yield pd.DataFrame(data, dtype=object)
 
     def close(self):
         pass
 
 
+def _values(series):
+    """Python values of a column, with missing ones as None."""
+    values = series.tolist()
+    return [None if v is None or v != v else v for v in values] if series.hasnans else values
+
+
 def fold_stream(stream: DataFrame, fold: Fold, key: str, order, ttl_ms=None) -> DataFrame:
     """Append the fold's outputs and `late` to every row of a stream. Needs the RocksDB store.
 
@@ -88,7 +95,13 @@ def approval_states(stream: DataFrame, order=("us",), ttl_ms=None) -> DataFrame:
     Needs approval_id, action, actor_role, actor_scopes, known and the order columns.
     """
     df = approvals.with_validity(stream)
-    df = fold_stream(df, approvals.life_cycle_fold(), "approval_id", order, ttl_ms)
+    fold = approvals.life_cycle_fold()
+    # attempts on unknown approvals need no state
+    replayed = fold_stream(df.filter("known"), fold, "approval_id", order, ttl_ms)
+    unknown = df.filter("NOT known").select(
+        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fold.outputs.fields],
+        F.lit(False).alias("late"))
+    df = replayed.unionByName(unknown)
     df = _with(df, conflict=F.when(~F.col("late"), approvals.conflict_reason()))
     df = _with(df, accepted=F.col("conflict").isNull() & ~F.col("late"))
     return df.drop("scope_ok", "role_ok", "valid")
