@@ -44,7 +44,8 @@ def _service(name) -> str:
 def judge_chat(requests: DataFrame, prompt="raw_prompt", service=None) -> DataFrame:
     """Scan an assembled prompt for secrets, attacks and personal data, and decide."""
     df = scan.scan_secrets(requests, prompt)
-    df = scan.scan_injection(df, prompt, findings="injection_findings")
+    df = scan.scan_injection(df, prompt, findings="injection_findings",
+                             exempt="injection_exempt")
     df = scan.redact_pii(df, prompt, out="sanitized_prompt")
     df = score_risk(df)
     name = _service(service)
@@ -95,6 +96,8 @@ def judge_output(judged: DataFrame, output="model_response", service=None) -> Da
 def to_audit_events(judged: DataFrame) -> DataFrame:
     """Audit rows: blocked inputs and completed requests. Unsafe outputs leave no row.
 
+    An exempt discussion is stored with the findings null, a text without findings with [].
+
     Needs request_id, timestamp, provider, model and latency_ms next to the verdict columns.
     """
     output = F.struct(
@@ -106,6 +109,7 @@ def to_audit_events(judged: DataFrame) -> DataFrame:
         F.col("latency_ms").cast("long").alias("latency_ms"),
         common.list_json("secret_findings").alias("secret_findings"),
         common.list_json("pii_findings").alias("pii_findings"),
-        common.list_json("injection_findings").alias("injection_findings"),
+        F.when(F.col("injection_exempt"), F.lit("null")).otherwise(
+            common.list_json("injection_findings")).alias("injection_findings"),
         F.when(F.col("input_blocked"), F.lit("null")).otherwise(
             common.json_or_null(output)).alias("output_findings"))

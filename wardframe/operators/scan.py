@@ -51,20 +51,26 @@ def is_benign_discussion(df: DataFrame, column="text", out="benign") -> DataFram
 
 
 def scan_injection(df: DataFrame, column="text", findings="findings",
-                   count="injection_count", confidence="max_confidence") -> DataFrame:
-    """Append the full scan. The exemption is only evaluated for rows that have findings."""
+                   count="injection_count", confidence="max_confidence",
+                   exempt=None) -> DataFrame:
+    """Append the full scan. The exemption is only evaluated for rows that have findings.
+
+    `exempt` names a further column that tells whether findings were dropped by the exemption.
+    """
     df = normalize(df, column, "_norm")
     df = _with(df, _payload=text.encoded_payload(column))
     df = _with(df, _low=text.lowered("_norm"))
     df = _with(df, _rules=text.rule_findings("_norm", "_low"))
     df = _with(df, _all=F.when(F.col("_payload").isNull(), F.col("_rules")).otherwise(
         F.concat("_rules", text.encoded_findings("_payload"))))
-    df = _with(df, _kept=F.when(
-        (F.size("_all") > 0) & text.is_benign_discussion(column), text.no_findings()
-    ).otherwise(F.col("_all")))
-    df = _once(df, **{findings: F.col("_kept"), count: F.size("_kept"),
-                      confidence: text.max_confidence("_kept")})
-    return df.drop("_norm", "_low", "_payload", "_rules", "_all", "_kept")
+    df = _with(df, _exempt=(F.size("_all") > 0) & text.is_benign_discussion(column))
+    df = _with(df, _kept=F.when(F.col("_exempt"), text.no_findings()).otherwise(F.col("_all")))
+    out = {findings: F.col("_kept"), count: F.size("_kept"),
+           confidence: text.max_confidence("_kept")}
+    if exempt:
+        out[exempt] = F.col("_exempt")
+    df = _once(df, **out)
+    return df.drop("_norm", "_low", "_payload", "_rules", "_all", "_exempt", "_kept")
 
 
 def redact_pii(df: DataFrame, column="text", out="redacted",

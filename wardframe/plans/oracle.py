@@ -197,7 +197,8 @@ audit AS (
          CAST(length(raw_prompt) AS BIGINT) AS latency_ms,
          {SECRET_JSON.format(c='sec')} AS secret_findings,
          {PII_JSON.format(p='')} AS pii_findings,
-         CASE WHEN fcount = 0 THEN '[]' ELSE CAST(to_json(findings) AS VARCHAR) END
+         CASE WHEN fcount = 0 AND len(raw_findings) > 0 THEN 'null' WHEN fcount = 0 THEN '[]'
+              ELSE CAST(to_json(findings) AS VARCHAR) END
            AS injection_findings,
          decision = 'BLOCK' AS input_blocked, o_pcount, conv_id
   FROM merged WHERE NOT output_blocked)"""
