@@ -267,7 +267,8 @@ _CALL_COLUMNS = """
 
 def tool_calls(spark, sf_dir) -> DataFrame:
     """orders as tool calls: call_id, ts, tool, role, arguments."""
-    return table(spark, sf_dir, "orders").selectExpr(*_split_columns(_CALL_COLUMNS))
+    calls = bounds.spread(table(spark, sf_dir, "orders"))
+    return calls.selectExpr(*_split_columns(_CALL_COLUMNS))
 
 
 TOOL_CALLS_SQL = f"""
@@ -288,7 +289,7 @@ _ATTEMPT_COLUMNS = """
 
 def attempts(spark, sf_dir) -> DataFrame:
     """lineitem as approval attempts: call_id, ts, o1..o4, action, actor_role, actor_scopes."""
-    return attempts_of(table(spark, sf_dir, "lineitem"))
+    return attempts_of(bounds.spread(table(spark, sf_dir, "lineitem")))
 
 
 def attempts_of(lineitem: DataFrame) -> DataFrame:
