@@ -74,7 +74,7 @@ def test_empty_and_stretches(spark, rows, monkeypatch):
     roller = repeats.Roller(16)
     for _, t in rows:
         data = np.frombuffer((t or "").encode(), np.uint8)
-        starts, n, _ = repeats.split_pieces(data, WIDTH, roller)
+        starts, n, _, _ = repeats.split_pieces(data, WIDTH, roller)
         assert n.sum() == max(0, len(data) - WIDTH + 1)
         assert (starts == np.cumsum(n) - n).all()
 

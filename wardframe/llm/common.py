@@ -58,3 +58,9 @@ def small_batches(batches, size=8 << 20):
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+
+
+def vocabulary(name):
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)

@@ -1,7 +1,7 @@
 """One registered query per operator, each over its whole table with production parameters."""
 
-from . import repeats
-from .common import table
+from . import chat, digests, langmodel, packing, pii, quality, repeats, simhash
+from .common import table, vocabulary
 
 QUERIES = {}
 SQL = {}
@@ -19,3 +19,38 @@ def register(name, sql=None):
 @register("op1_suffix_array_dedup")
 def suffix_array_dedup(spark, sf):
     return repeats.remove_repeats(table(spark, sf, "documents")).drop("kept")
+
+
+@register("op2_simhash_near_dedup")
+def simhash_near_dedup(spark, sf):
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@register("op3_document_fingerprints")
+def document_fingerprints(spark, sf):
+    return digests.fingerprints(table(spark, sf, "documents"))
+
+
+@register("op4_chat_formatting")
+def chat_formatting(spark, sf):
+    return chat.digests(chat.format_chat(chat.with_sample(table(spark, sf, "conversations"))))
+
+
+@register("op5_quality_rules")
+def quality_rules(spark, sf):
+    return quality.quality_rules(table(spark, sf, "documents"))
+
+
+@register("op8_pii")
+def personal_data(spark, sf):
+    return pii.personal_data(table(spark, sf, "documents"))
+
+
+@register("op9_lm_scoring")
+def lm_scoring(spark, sf):
+    return langmodel.lm_scores(table(spark, sf, "documents"))
+
+
+@register("op10_packing")
+def packed(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))

@@ -24,10 +24,12 @@ WIDTH = 400
 #: Different pieces of one minimizer that one task may compare at once, about 5 MB of text.
 GATHER = 8192
 #: Bytes of pieces in one suffix order.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Windows of a document are hashed in stretches of this many.
 STRETCH = 1 << 20
 SUB = 16
+#: Classes of windows that are ruled out before the suffix order is built.
+ANCHORS = 8
 
 _ODD = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 21) - 1)
@@ -69,7 +71,7 @@ def gram_of(width):
 
 
 def split_pieces(data, width, roller):
-    """(starts, window counts, minimizer hashes) of a document's pieces."""
+    """(starts, window counts, minimizer hashes, minimizer places) of a document's pieces."""
     gram, found = gram_of(width), []
     for at in range(0, len(data) - width + 1, STRETCH):
         part = data[at:at + STRETCH + width - 1]
@@ -84,13 +86,14 @@ def split_pieces(data, width, roller):
         place = (low & _PLACE).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
         count = np.diff(np.concatenate([first, [len(place)]]))
-        found.append((first + at, count, h[place[first]]))
+        found.append((first + at, count, h[place[first]], place[first] - first))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64),
+                np.zeros(0, np.int64))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-PIECES = "k_id long, k_hash long, start long, n int, m long, c long"
+PIECES = "k_id long, k_hash long, start long, n int, p int, m long, c long"
 
 
 def _pieces(width):
@@ -103,21 +106,22 @@ def _pieces(width):
                 doc = data[ends[i]:ends[i + 1]]
                 if len(doc) < width:
                     continue
-                start, n, m = split_pieces(doc, width, roller)
+                start, n, m, p = split_pieces(doc, width, roller)
                 whole = doc.tobytes()
                 c = np.fromiter((xxhash.xxh3_64_intdigest(whole[s:e]) for s, e in
                                  zip(start.tolist(), (start + n + width - 1).tolist())),
                                 np.uint64, len(start))
-                got.append((start, n, m, c))
+                got.append((start, n, p, m, c))
                 which.append(np.full(len(start), i))
             if not got:
                 continue
-            start, n, m, c = (np.concatenate(x) for x in zip(*got))
+            start, n, p, m, c = (np.concatenate(x) for x in zip(*got))
             which = pa.array(np.concatenate(which))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("k_id").take(which), batch.column("k_hash").take(which),
-                 pa.array(start), pa.array(n.astype(np.int32)), pa.array(m.view(np.int64)),
-                 pa.array(c.view(np.int64))], ["k_id", "k_hash", "start", "n", "m", "c"])
+                 pa.array(start), pa.array(n.astype(np.int32)), pa.array(p.astype(np.int32)),
+                 pa.array(m.view(np.int64)), pa.array(c.view(np.int64))],
+                ["k_id", "k_hash", "start", "n", "p", "m", "c"])
     return run
 
 
@@ -126,15 +130,15 @@ def _fetch(width):
     def run(batches):
         for batch in small_batches(batches):
             data, ends = raw(batch.column("text"))
-            out = {"m": [], "c": [], "n": [], "o": [], "bytes": []}
+            out = {"m": [], "c": [], "n": [], "p": [], "o": [], "bytes": []}
             for i, wanted in enumerate(batch.column("wanted").to_pylist()):
                 for w in wanted:
                     at = ends[i] + w["start"]
-                    for k in ("m", "c", "n", "o"):
+                    for k in ("m", "c", "n", "p", "o"):
                         out[k].append(w[k])
                     out["bytes"].append(data[at:at + w["n"] + width - 1].tobytes())
             yield pa.RecordBatch.from_pydict(out, pa.schema([
-                ("m", pa.int64()), ("c", pa.int64()), ("n", pa.int32()),
+                ("m", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("p", pa.int32()),
                 ("o", pa.struct([("k_id", pa.int64()), ("k_hash", pa.int64()),
                                  ("start", pa.int64())])), ("bytes", pa.binary())]))
     return run
@@ -152,36 +156,65 @@ def _runs(flags, edge):
 FLAGS = pa.schema([("m", pa.int64()), ("c", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
 
 
-def _compare(width, keep):
+def _compare(width, keep_rule):
     """Repeated windows of the pieces, which come in order of (m, first place)."""
-    def block(m, c, n, parts):
-        data = np.frombuffer(b"".join(parts), np.uint8)
-        n = np.asarray(n, np.int64)
-        base = np.concatenate([[0], np.cumsum(n + width - 1)])[:-1]
+    span = width - gram_of(width) + 1
+    step = -(-span // ANCHORS)
+
+    def live_windows(n, p, parts):
+        """For each piece, which classes of its windows may occur in another piece.
+
+        Windows are classed by how far their minimizer lies inside; those of one class share the
+        bytes from the last one's start to the first one's end.
+        """
+        digests, where = [], []
+        for i, (count, place, part) in enumerate(zip(n, p, parts)):
+            low, high = max(0, place - count + 1) // step, place // step
+            for j in range(low, high + 1):
+                a = place - step * j
+                digests.append(xxhash.xxh3_64_intdigest(part[max(a, 0):a - step + 1 + width]))
+                where.append((i, j))
+        _, same, times = np.unique(np.array(digests, np.uint64), return_inverse=True,
+                                   return_counts=True)
+        live = np.zeros((len(n), ANCHORS + 1), bool)
+        where = np.array(where).reshape(-1, 2)
+        live[where[:, 0], where[:, 1]] = times[same] > 1
+        return live
+
+    def block(m, c, n, p, parts):
+        live = live_windows(n, p, parts)
+        keep = np.flatnonzero(live.any(1))
+        data = np.frombuffer(b"".join([parts[i] for i in keep.tolist()]), np.uint8)
+        n, p = np.asarray(n, np.int64)[keep], np.asarray(p, np.int64)[keep]
+        base = np.cumsum(n + width - 1) - (n + width - 1)
+        piece = np.repeat(np.arange(len(n)), n)
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        earlier, later = previous_factor(data, np.repeat(base, n) + within, width)
+        ask = live[keep][piece, (p[piece] - within) // step]
+        piece, within = piece[ask], within[ask]
+        earlier, later = previous_factor(data, base[piece] + within, width)
         flags = earlier >= width
-        if keep == "none":
+        if keep_rule == "none":
             flags |= later >= width
-        begin, end = _runs(flags, within == 0)
-        piece = np.repeat(np.arange(len(n)), n)[begin]
+        edge = np.concatenate([[True], (np.diff(piece) != 0) | (np.diff(within) != 1)])
+        begin, end = _runs(flags, edge)
+        which = keep[piece[begin]]
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.asarray(m, np.int64)[piece]), pa.array(np.asarray(c, np.int64)[piece]),
+            [pa.array(np.asarray(m, np.int64)[which]), pa.array(np.asarray(c, np.int64)[which]),
              pa.array(within[begin].astype(np.int32)),
              pa.array((within[end - 1] + 1).astype(np.int32))], schema=FLAGS)
 
     def run(batches):
-        group, size, last, place = ([], [], [], []), 0, None, None
+        group, size, last, place = ([], [], [], [], []), 0, None, None
         for batch in batches:
-            for m, c, n, o, part in zip(*(batch.column(k).to_pylist()
-                                          for k in ("m", "c", "n", "o", "bytes"))):
+            for m, c, n, p, o, part in zip(*(batch.column(k).to_pylist() for k in
+                                             ("m", "c", "n", "p", "o", "bytes"))):
                 if (m, o) == place:  # fetched from rows alike in id and text
                     continue
                 place = (m, o)
                 if size > BLOCK and m != last:
                     yield block(*group)
-                    group, size = ([], [], [], []), 0
-                for to, v in zip(group, (m, c, n, part)):
+                    group, size = ([], [], [], [], []), 0
+                for to, v in zip(group, (m, c, n, p, part)):
                     to.append(v)
                 size, last = size + len(part), m
         if size:
@@ -195,14 +228,11 @@ def _short_runs(width):
         roller = Roller(1 << 12)
         for batch in batches:
             out = {"m": [], "c": [], "o": [], "at": [], "core": [], "windows": []}
-            for m, c, o, part in zip(*(batch.column(k).to_pylist()
-                                       for k in ("m", "c", "o", "bytes"))):
+            for m, c, p, o, part in zip(*(batch.column(k).to_pylist()
+                                          for k in ("m", "c", "p", "o", "bytes"))):
                 data = np.frombuffer(part, np.uint8)
-                _, _, found = split_pieces(data, width, roller)
-                h = roller(data, gram_of(width))
-                place = int(np.flatnonzero(h == found[0])[0]) if len(found) else 0
                 windows = roller(data, width).view(np.int64)
-                for full in range(place % SUB - SUB, len(windows), SUB):
+                for full in range(p % SUB - SUB, len(windows), SUB):
                     a, b = max(full, 0), min(full + SUB, len(windows))
                     if a >= b:
                         continue
@@ -274,22 +304,23 @@ def _cut(width):
 def repeated_spans(rows, width=WIDTH, keep="none"):
     """(k_id, k_hash, spans) of keyed rows with a repeat; spans may overlap, ends excluded."""
     pieces = rows.select("k_id", "k_hash", "text").mapInArrow(_pieces(width), PIECES)
-    recurring = pieces.groupBy("m").agg(
+    # written, as a join of two exchanged tables is one whose hot keys are split
+    recurring = written(pieces.groupBy("m").agg(
         F.count("*").alias("times"), (F.min("c") != F.max("c")).alias("mixed")
-    ).filter("times > 1").drop("times")
+    ).filter("times > 1").drop("times"), "recurring")
     shared = written(pieces.join(recurring, "m"), "pieces")
     place = F.struct("k_id", "k_hash", "start")
     variants = shared.groupBy("m", "c").agg(
         F.count("*").alias("times"), F.min(place).alias("o"), F.first("n").alias("n"),
-        F.first("mixed").alias("mixed"))
+        F.first("p").alias("p"), F.first("mixed").alias("mixed"))
     # one row of each different piece, with its bytes
     wanted = variants.filter("mixed").select(
-        "o.k_id", "o.k_hash", F.struct("o.start", "m", "c", "n", "o").alias("w")
+        "o.k_id", "o.k_hash", F.struct("o.start", "m", "c", "n", "p", "o").alias("w")
     ).groupBy("k_id", "k_hash").agg(F.collect_list("w").alias("wanted"))
     parts = written(
         rows.select("k_id", "k_hash", "text").join(wanted, ["k_id", "k_hash"])
         .select("text", "wanted").mapInArrow(
-            _fetch(width), "m long, c long, n int, "
+            _fetch(width), "m long, c long, n int, p int, "
                            "o struct<k_id: long, k_hash: long, start: long>, bytes binary"),
         "variants")
     hot = parts.groupBy("m").agg(F.count("*").alias("d")).filter(F.col("d") > GATHER)
@@ -297,8 +328,8 @@ def repeated_spans(rows, width=WIDTH, keep="none"):
         "m", "o").mapInArrow(_compare(width, keep), "m long, c long, a int, b int").unionByName(
         _hot_flags(parts.join(hot, "m", "left_semi"), width, keep))
     flags = flags.groupBy("m", "c").agg(F.collect_list(F.struct("a", "b")).alias("flags"))
-    verdicts = variants.join(flags, ["m", "c"], "left").filter("times > 1 OR flags IS NOT NULL") \
-        .select("m", "c", "times", "o", "flags")
+    verdicts = written(variants.join(flags, ["m", "c"], "left").filter(
+        "times > 1 OR flags IS NOT NULL").select("m", "c", "times", "o", "flags"), "verdicts")
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
     if keep == "none":
         own = F.when(F.col("times") > 1, whole).otherwise(F.col("flags"))

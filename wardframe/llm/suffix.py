@@ -16,7 +16,7 @@ def _ranks(keys):
 
 
 def prefix_ranks(data, depth):
-    """Ranks of all suffixes by their first 8, 16, ... bytes up to `depth`, a dict by length."""
+    """Ranks of all suffixes by their first 8, 24, 72, ... bytes up to `depth`, a dict by length."""
     n = len(data)
     padded = np.zeros(n + FIRST, np.uint64)
     padded[:n] = data
@@ -24,25 +24,29 @@ def prefix_ranks(data, depth):
     for i in range(FIRST):
         keys = (keys << np.uint64(8)) | padded[i:n + i]
     levels, width = {FIRST: _ranks(keys)}, FIRST
+    fold = 3 if n < 1 << 21 else 2  # ranks that go into one sort key of 63 bits
     while width < depth:
-        rank = levels[width]
-        after = np.zeros(n, np.int64)
-        if n > width:
-            after[:n - width] = rank[width:].astype(np.int64) + 1
-        levels[2 * width] = _ranks((rank.astype(np.int64) << 32) | after)
-        width *= 2
+        rank = levels[width].astype(np.int64) + 1
+        keys = rank
+        for i in range(1, fold):
+            after = np.zeros(n, np.int64)
+            if n > i * width:
+                after[:n - i * width] = rank[i * width:]
+            keys = (keys << (63 // fold)) | after
+        width *= fold
+        levels[width] = _ranks(keys)
     return levels
 
 
 def common_prefix(levels, data, a, b):
-    """Lengths of the common prefixes of the suffixes at a and b, by halving steps."""
+    """Lengths of the common prefixes of the suffixes at a and b, by ever shorter steps."""
     n = len(data)
     a, b = a.astype(np.int64).copy(), b.astype(np.int64).copy()
     out = np.zeros(len(a), np.int64)
     widths = sorted(levels, reverse=True)
     for width in widths:
         rank = levels[width]
-        for _ in range(2 if width == widths[0] else 1):
+        for _ in range(2):
             ok = (a < n) & (b < n)
             same = ok & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)])
             # a padded tail is never as long as it looks
