@@ -20,6 +20,20 @@ def texts(docs):
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def packed(docs):
+    """The whole row as one struct `row` beside doc_id and text as `texts` gives them."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+                       F.struct("*").alias("row"))
+
+
+def unpacked(rows, **changed):
+    """Whole rows again, in their own order of columns, with some columns changed."""
+    names = rows.schema["row"].dataType.names
+    return rows.select(*[changed[n].alias(n) if n in changed else F.col("row")[n].alias(n)
+                         for n in names])
+
+
 def keyed(docs):
     """Rows with (k_id, k_hash), equal for rows alike in id and text only."""
     return docs.withColumns({"k_id": F.coalesce("doc_id", F.lit(NO_ID)),

@@ -14,8 +14,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import raw, small_batches, texts
+from .common import packed, raw, small_batches, texts, unpacked
 from .pii_examples import EXAMPLES
 
 KINDS = ("email", "ip", "card", "phone")
@@ -350,7 +352,10 @@ def personal_data(docs, examples=tuple(EXAMPLES)):
                                 "n_phone long, base_sha256 string, spans string")
 
 
-def redacted(rows, examples=tuple(EXAMPLES)):
-    """The columns of rows(text, ...) with the spans of text replaced by their kinds."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema)
-    return rows.mapInArrow(_scan(examples, True), f"{schema}, text string")
+def redacted(docs, examples=tuple(EXAMPLES)):
+    """All rows and columns of docs, with the spans of text replaced by their kinds; a null text
+    stays null."""
+    rows = packed(docs).drop("doc_id")
+    got = rows.mapInArrow(_scan(examples, True),
+                          StructType([rows.schema["row"], rows.schema["text"]]))
+    return unpacked(got, text=F.when(F.col("row.text").isNotNull(), F.col("text")))

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import keyed, raw, small_batches, texts, written
+from .common import keyed, packed, raw, small_batches, texts, unpacked, written
 from .suffix import previous_factor
 
 WIDTH = 400
@@ -270,7 +271,8 @@ def _hot_flags(hot, width, keep):
         "m", "c", "a", (F.col("a") + 1).alias("b"))
 
 
-def _cut(width):
+def _cut(as_text=False):
+    """What the spans leave of each text; as text, a character that was cut into is gone."""
     def run(batches):
         for batch in small_batches(batches):
             data, ends = raw(batch.column("text"))
@@ -291,13 +293,17 @@ def _cut(width):
                 out["n_removed"].append(int(ends[i + 1] - ends[i]) - len(kept))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 out["kept"].append(kept)
-            drop = [batch.schema.names.index(k) for k in batch.schema.names
-                    if k not in ("text", "spans")]
+            names = [k for k in batch.schema.names if k not in ("text", "spans")]
+            own = [batch.column(k) for k in names]
+            if as_text:
+                yield pa.RecordBatch.from_arrays(
+                    own + [pa.array([x.decode("utf-8", "ignore") for x in out["kept"]],
+                                    pa.string())], names + ["text"])
+                continue
             yield pa.RecordBatch.from_arrays(
-                [batch.column(k) for k in drop]
-                + [pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")]
-                + [pa.array(out["kept_sha256"]), pa.array(out["kept"], pa.binary())],
-                [batch.schema.names[k] for k in drop] + list(out))
+                own + [pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")]
+                + [pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept"], pa.binary())],
+                names + list(out))
     return run
 
 
@@ -354,5 +360,18 @@ def remove_repeats(docs, width=WIDTH, keep="none"):
     rows = keyed(texts(docs))
     spans = repeated_spans(rows, width, keep)
     return rows.join(spans, ["k_id", "k_hash"], "left").select("doc_id", "text", "spans") \
-        .mapInArrow(_cut(width), "doc_id long, n_bytes long, n_removed long, n_spans long, "
+        .mapInArrow(_cut(), "doc_id long, n_bytes long, n_removed long, n_spans long, "
                                  "kept_sha256 string, kept binary")
+
+
+def without_repeats(docs, width=WIDTH):
+    """All rows and columns of docs, text without later places of repeated windows.
+
+    A cut inside a character drops the character's rest. Null texts stay null.
+    """
+    rows = keyed(packed(docs))
+    spans = repeated_spans(rows, width, "first")
+    got = rows.select("row", "k_id", "k_hash", "text").join(spans, ["k_id", "k_hash"], "left") \
+        .select("row", "text", "spans").mapInArrow(
+            _cut(True), StructType([rows.schema["row"], rows.schema["text"]]))
+    return unpacked(got, text=F.when(F.col("row.text").isNotNull(), F.col("text")))

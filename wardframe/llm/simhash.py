@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..plans.session import ensure_checkpoint_dir
-from .common import raw, small_batches, texts, written
+from .common import keyed, packed, raw, small_batches, texts, unpacked, written
 from .components import components
 
 DISTANCE = 3
@@ -66,10 +67,8 @@ def _fingerprints(size, seed):
 
 def fingerprints(rows, size=3, seed=42):
     """The columns of rows(text, ...) without the text, and fp."""
-    kept = rows.drop("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return rows.mapInArrow(_fingerprints(size, seed), f"{schema}, fp long" if schema
-                           else "fp long")
+    out = StructType([f for f in rows.schema if f.name != "text"]).add("fp", "long")
+    return rows.mapInArrow(_fingerprints(size, seed), out)
 
 
 def _segments(batches):
@@ -200,23 +199,42 @@ def links(fps):
     return cold.unionAll(stars)
 
 
+def grouped(rows, size=3, seed=42):
+    """(marked, groups) of keyed rows: marked has each row's fp, groups each fp's root and the
+    smallest doc_id and first row of the root's component."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    marked = written(fingerprints(rows.select("doc_id", "k_id", "k_hash", "text"), size, seed),
+                     "fingerprints")
+    own = marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min(F.struct(
+        F.col("doc_id").isNull().alias("no_id"), "k_id", "k_hash")).alias("first"))
+    roots = components(links(own.select("fp")))
+    rooted = written(own.join(roots, own.fp == roots.node, "left").select(
+        "fp", "low", "first", F.coalesce("root", "fp").alias("root")), "roots")
+    best = rooted.groupBy("root").agg(F.min("low").alias("component_id"),
+                                      F.min("first").alias("first"))
+    return marked, rooted.select("fp", "root").join(best, "root")
+
+
 def near_duplicates(docs, size=3, seed=42):
     """doc_id, fingerprint (16 hex digits), component_id of every document.
 
     Documents link if their fingerprints differ in three bits or fewer; component_id is the
     smallest doc_id reachable over links. Null texts are empty, empty texts have fingerprint zero
     and link like any other; a null doc_id is no candidate for the smallest one unless its
-    component has no other. Repeated rows come out repeated. Other columns are not read.
+    component has no other. Repeated rows come out repeated, empty tables give no rows. Other
+    columns are not read.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
-    marked = written(fingerprints(texts(docs), size, seed), "fingerprints")
-    own = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    edges = links(own.select("fp"))
-    roots = components(edges)
-    rooted = own.join(roots, own.fp == roots.node, "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "roots")
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    whole = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(whole, "fp").select(
+    marked, groups = grouped(keyed(texts(docs)), size, seed)
+    return marked.join(groups.select("fp", "component_id"), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs, size=3, seed=42):
+    """All columns of one document of each component: the smallest doc_id's, a null one last; of
+    rows alike in id the first by text hash, of rows alike in id and text any one."""
+    rows = keyed(packed(docs))
+    _, groups = grouped(rows, size, seed)
+    first = groups.groupBy("root").agg(F.min("first").alias("first")).select(
+        "first.k_id", "first.k_hash")
+    return unpacked(rows.select("row", "k_id", "k_hash").join(
+        first, ["k_id", "k_hash"]).dropDuplicates(["k_id", "k_hash"]))
