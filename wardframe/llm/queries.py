@@ -1,6 +1,7 @@
 """One registered query per operator, each over its whole table with production parameters."""
 
-from . import chat, digests, langmodel, packing, pii, quality, repeats, simhash
+from . import (chat, digests, langmodel, licences, packing, pieces, pii, quality, repeats,
+               simhash)
 from .common import table, vocabulary
 
 QUERIES = {}
@@ -41,6 +42,17 @@ def quality_rules(spark, sf):
     return quality.quality_rules(table(spark, sf, "documents"))
 
 
+@register("op6_sentencepiece")
+def sentencepiece(spark, sf):
+    return pieces.hashed(pieces.encode(table(spark, sf, "documents"),
+                                       vocabulary("piece_bpe_32k.model")))
+
+
+@register("op7_license_scans", licences.SQL)
+def license_scans(spark, sf):
+    return licences.scan_licences(table(spark, sf, "documents"))
+
+
 @register("op8_pii")
 def personal_data(spark, sf):
     return pii.personal_data(table(spark, sf, "documents"))
