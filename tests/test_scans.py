@@ -144,12 +144,30 @@ def test_message_forms_agree(spark):
     assert safe[0].content == " mail <EMAIL_REDACTED> "
 
 
-def test_oversize_requests_are_refused(spark):
+def test_large_requests_are_assembled_whole(spark):
     turns = spark.createDataFrame(
-        [("big", i, "x" * 1000) for i in range(12)] + [("small", 0, "hi")],
+        [("big", i, "x" * (1 << 20)) for i in range(3)] + [("big", 3, PLAIN), ("small", 0, "hi")],
         "request_id string, turn int, text string")
-    got = chat.assemble_prompt(turns, limit=10_000)
-    assert [r.request_id for r in got.collect()] == ["small"]
+    got = {r.request_id: r for r in chat.judge_chat(chat.assemble_prompt(turns)).collect()}
+    assert len(got["big"].raw_prompt) > 3 << 20 and got["big"].decision == "BLOCK"
+    assert got["small"].decision == "ALLOW"
+
+
+def test_exchange_and_failed_calls(spark):
+    rows = [("a", 0, "user", "hi"), ("a", 1, "assistant", "one"), ("a", 2, "user", "more"),
+            ("a", 3, "assistant", "two"), ("b", 0, "user", "hi"), ("c", 0, "assistant", "alone")]
+    turns = spark.createDataFrame(rows, "request_id string, turn int, role string, text string")
+    got = {r.request_id: r for r in chat.assemble_exchange(turns).collect()}
+    assert (got["a"].raw_prompt, got["a"].model_response) == ("hi\none\nmore", "two")
+    assert (got["b"].raw_prompt, got["b"].model_response) == ("hi", None)
+    assert (got["c"].raw_prompt, got["c"].model_response) == ("", "alone")
+    judged = chat.judge_output(chat.judge_chat(chat.assemble_exchange(turns)))
+    out = {r.request_id: r for r in judged.collect()}
+    assert (out["b"].final_status, out["b"].final_message, out["b"].final_output) == (
+        502, chat.M_FAILED, None)
+    events = chat.to_audit_events(judged.selectExpr(
+        "*", "'t' AS timestamp", "'p' AS provider", "'m' AS model", "1 AS latency_ms"))
+    assert sorted(r.request_id for r in events.collect()) == ["a", "c"]
 
 
 def test_verdict_priorities(spark):

@@ -4,26 +4,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import common, risk, sensitive, text
-from . import bounds, scan
+from . import scan
 from .scan import _with
 
+ASSISTANT = "assistant"
+# Fixed value: message of a model call that failed.
+M_FAILED = "model provider request failed"
+
 
 def assemble_prompt(messages: DataFrame, key="request_id", order="turn", content="text",
-                    limit=bounds.MAX_REQUEST_BYTES, carry=()) -> DataFrame:
+                    carry=()) -> DataFrame:
     """One row per request: contents in turn order, one per line, trimmed.
 
-    Requests over the body limit are refused, as at the gateway; `bounds.split_oversize` lists
-    them. `limit=None` skips the check for sources that enforce it themselves. `carry` names
-    columns that are constant per request.
+    The prompt is the row itself and as long as its messages. `carry` names columns that are
+    constant per request.
     """
-    if limit is not None:
-        messages, _ = bounds.split_oversize(messages, key, [content], limit)
     turns = F.sort_array(F.collect_list(F.struct(F.col(order), text.clean(content).alias("c"))))
     out = messages.groupBy(key, *carry).agg(turns.alias("_turns"))
     return out.select(key, *carry, text.strip(
         F.array_join(F.transform("_turns", lambda t: t["c"]), "\n")).alias("raw_prompt"))
 
 
+def assemble_exchange(messages: DataFrame, key="request_id", order="turn", content="text",
+                      role="role") -> DataFrame:
+    """One row per conversation: all messages but a final assistant message as raw_prompt, and
+    that one as model_response, NULL where the model has not answered."""
+    turns = F.sort_array(F.collect_list(F.struct(
+        F.col(order), text.clean(content).alias("c"), F.col(role).alias("r"))))
+    out = messages.groupBy(key).agg(turns.alias("_turns"))
+    out = _with(out, _last=F.element_at("_turns", -1))
+    answered = F.coalesce(F.col("_last.r") == ASSISTANT, F.lit(False))
+    asked = F.when(answered, F.slice("_turns", F.lit(1), F.size("_turns") - 1)).otherwise(
+        F.col("_turns"))
+    return out.select(
+        key, text.strip(F.array_join(F.transform(asked, lambda t: t["c"]), "\n"))
+        .alias("raw_prompt"), F.when(answered, F.col("_last.c")).alias("model_response"))
+
+
 def assemble_messages(requests: DataFrame, messages="messages") -> DataFrame:
     """The same for requests that carry their messages as an array; needs no shuffle."""
     joined = F.array_join(F.transform(messages, lambda m: text.clean(m["content"])), "\n")
@@ -72,29 +89,34 @@ def redact_message_array(requests: DataFrame, messages="messages") -> DataFrame:
 def judge_output(judged: DataFrame, output="model_response", service=None) -> DataFrame:
     """Merge the scan of the model output into a chat verdict.
 
-    Blocked inputs have no output. An unsafe output overrides decision, score and severity.
+    Blocked inputs have no output. An unsafe output overrides decision, score and severity. An
+    admitted request without an output is a failed model call: `provider_failed`, status 502.
     """
     df = scan.scan_output(judged, output)
     blocked_in = F.col("decision") == "BLOCK"
+    failed = ~blocked_in & F.col(output).isNull()
     unsafe = ~blocked_in & ~F.col("output_safe")
     name = _service(service)
     return _with(
         df,
         output_blocked=unsafe,
         input_blocked=blocked_in,
+        provider_failed=failed,
         final_decision=F.when(unsafe, "BLOCK").otherwise(F.col("decision")),
         final_risk_score=F.when(unsafe, risk.MAX_SCORE).otherwise(F.col("risk_score")),
         final_severity=F.when(unsafe, "CRITICAL").otherwise(F.col("severity")),
-        final_status=F.when(unsafe | blocked_in, 403).otherwise(200),
-        final_output=F.when(~unsafe & ~blocked_in, F.col("output_redacted")),
+        final_status=F.when(unsafe | blocked_in, 403).when(failed, 502).otherwise(200),
+        final_output=F.when(~unsafe & ~blocked_in & ~failed, F.col("output_redacted")),
         final_message=F.when(blocked_in, F.col("message"))
+        .when(failed, M_FAILED)
         .when(unsafe, f"model output blocked by {name}security policy")
         .when(F.col("output_pii_count") > 0, "request allowed after output redaction")
         .otherwise(F.col("message")))
 
 
 def to_audit_events(judged: DataFrame) -> DataFrame:
-    """Audit rows: blocked inputs and completed requests. Unsafe outputs leave no row.
+    """Audit rows: blocked inputs and completed requests. Unsafe outputs and failed model calls
+    leave no row.
 
     An exempt discussion is stored with the findings null, a text without findings with [].
 
@@ -104,7 +126,7 @@ def to_audit_events(judged: DataFrame) -> DataFrame:
         F.col("output_safe").alias("safe"), F.col("output_redacted").alias("redacted"),
         F.col("output_pii_findings").alias("pii_findings"),
         F.col("output_secret_findings").alias("secret_findings"))
-    return judged.filter(~F.col("output_blocked")).select(
+    return judged.filter(~F.col("output_blocked") & ~F.col("provider_failed")).select(
         "request_id", "timestamp", "provider", "model", "decision", "risk_score", "severity",
         F.col("latency_ms").cast("long").alias("latency_ms"),
         common.list_json("secret_findings").alias("secret_findings"),

@@ -10,6 +10,9 @@ CONTACT_FIELDS = ("email", "phone")
 SENSITIVE_FIELDS = ("ssn", "password", "api_key", "credit_card", "health_data", "bank_account")
 PROTECTED_FIELDS = ("role", "permissions", "account_owner", "billing_plan")
 ANALYST, SALES, ADMIN = "analyst", "sales", "admin"
+INVALID = "INVALID"
+# Values stay variants; a struct keeps the last of equal names.
+ARGUMENTS = "fields variant, to variant, _bad string"
 
 
 def _string_fields() -> Column:
@@ -18,13 +21,13 @@ def _string_fields() -> Column:
     Elements stay variants until their type is known, so numbers and objects are dropped instead
     of turning into text.
     """
-    items = F.expr("try_variant_get(_args, '$.fields', 'array<variant>')")
+    items = F.expr("try_variant_get(_args.fields, '$', 'array<variant>')")
     strings = F.filter(items, lambda v: F.schema_of_variant(v) == "STRING")
     return F.transform(strings, lambda v: F.try_variant_get(v, "$", "string"))
 
 
 def _recipient() -> Column:
-    value = F.expr("try_variant_get(_args, '$.to', 'variant')")
+    value = F.col("_args.to")
     return F.when(F.schema_of_variant(value) == "STRING",
                   F.try_variant_get(value, "$", "string"))
 
@@ -40,8 +43,17 @@ def _verdict(decision: str, reason, risk: int) -> Column:
 
 
 def evaluate_tools(calls: DataFrame, internal_domain: str) -> DataFrame:
-    """Append decision, reason, risk and status to calls(tool, arguments as JSON text, role)."""
-    df = _with(calls, _args=F.try_parse_json("arguments"))
+    """Append decision, reason, risk and status to calls(tool, arguments as JSON text, role).
+
+    The last of equal argument names counts. Arguments that are no JSON object are refused as a
+    bad request, not read as a call without arguments; NULL has none.
+    """
+    df = _with(calls, _args=F.from_json("arguments", ARGUMENTS, {
+        "columnNameOfCorruptRecord": "_bad"}))
+    body = F.trim("arguments")
+    bad = F.col("arguments").isNotNull() & (body != "null") & (
+        F.col("_args").isNull() | F.col("_args._bad").isNotNull() | ~body.startswith("{"))
+    df = _with(df, _bad=F.coalesce(bad, F.lit(False)))
     df = _with(df, _fields=_string_fields(), _to=_recipient())
     df = _with(df,
                _contact=F.exists("_fields", lambda f: F.lower(f).isin(*CONTACT_FIELDS)),
@@ -86,14 +98,15 @@ def evaluate_tools(calls: DataFrame, internal_domain: str) -> DataFrame:
         .when(tool == "update_customer", update)
         .when(tool == "delete_customer", delete)
         .otherwise(_verdict("DENY", "unknown tools are denied by default", 90)))
-    df = _with(df, _verdict=verdict)
+    df = _with(df, _verdict=F.when(F.col("_bad"), _verdict(INVALID, "invalid arguments", 0))
+               .otherwise(verdict))
     df = _once(df, decision=F.col("_verdict.decision"), reason=F.col("_verdict.reason"),
                risk=F.col("_verdict.risk"))
-    df = df.drop("_args", "_fields", "_to", "_contact", "_sensitive", "_protected", "_verdict")
+    df = df.drop("_args", "_bad", "_fields", "_to", "_contact", "_sensitive", "_protected", "_verdict")
     return _with(df, status=status_code(F.col("decision")))
 
 
 def status_code(decision: Column) -> Column:
     """Response status of a verdict, chat or tool."""
-    return (F.when(decision.isin("DENY", "BLOCK"), 403)
+    return (F.when(decision.isin("DENY", "BLOCK"), 403).when(decision == INVALID, 400)
             .when(decision == "REQUIRE_APPROVAL", 202).otherwise(200))

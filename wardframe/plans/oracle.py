@@ -159,14 +159,15 @@ def matched(f="findings"):
 
 # Judged chat requests: prompt of all user and system turns, last assistant text as response.
 CHAT = X.ATTACKED_SQL + f""",
-prompts AS (
-  SELECT conv_id, {strip("string_agg(text, chr(10) ORDER BY turn)")} AS raw_prompt
-  FROM attacked WHERE role <> 'assistant' GROUP BY conv_id),
-answers AS (
-  SELECT conv_id, arg_max(text, turn) AS answer FROM attacked WHERE role = 'assistant'
-  GROUP BY conv_id),
-chat AS (SELECT p.conv_id, raw_prompt, coalesce(answer, '') AS answer
-         FROM prompts p LEFT JOIN answers USING (conv_id)),
+placed AS (
+  SELECT *, role = 'assistant' AND turn = max(turn) OVER (PARTITION BY conv_id) AS final
+  FROM attacked),
+chat AS (
+  SELECT conv_id,
+    {strip("coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (NOT final), '')")}
+      AS raw_prompt,
+    max(text) FILTER (final) AS answer
+  FROM placed GROUP BY conv_id),
 """ + scan_cte("chat", "raw_prompt", "chat_s") + "," + pii_cte("chat_s", "raw_prompt", "chat_p") \
     + f""",
 chat_r AS (SELECT *, {secret('raw_prompt')} AS sec,
@@ -175,8 +176,8 @@ judged AS (SELECT *, {severity('risk_score')} AS severity, {action('risk_score')
            FROM chat_r),
 """ + pii_cte("judged", "answer", "out_p", "o_") + f""",
 merged AS (
-  SELECT *, {secret('answer')} AS osec,
-         decision <> 'BLOCK' AND {secret('answer')} > 0 AS output_blocked
+  SELECT *, {secret('answer')} AS osec, decision <> 'BLOCK' AND answer IS NULL AS failed,
+         decision <> 'BLOCK' AND coalesce({secret('answer')} > 0, FALSE) AS output_blocked
   FROM out_p)"""
 
 MESSAGE = """CASE WHEN decision = 'BLOCK' THEN 'request blocked by security policy'
@@ -201,7 +202,7 @@ audit AS (
               ELSE CAST(to_json(findings) AS VARCHAR) END
            AS injection_findings,
          decision = 'BLOCK' AS input_blocked, o_pcount, conv_id
-  FROM merged WHERE NOT output_blocked)"""
+  FROM merged WHERE NOT output_blocked AND NOT failed)"""
 
 STATS = """
   SELECT count(*) AS total_requests,
@@ -231,11 +232,11 @@ SCOPE_LIST = ("list_filter(list_transform(string_split(coalesce({s}, ''), ','),
 RAG = X.RETRIEVAL_SQL + f""",
 access AS (
   SELECT *, CASE
-      WHEN upper(classification) = 'RESTRICTED' AND role <> 'admin'
+      WHEN upper(classification) = 'RESTRICTED' AND coalesce(role, '') <> 'admin'
         THEN 'restricted document requires admin role'
-      WHEN listed AND role NOT IN ('analyst', 'admin')
+      WHEN listed AND (role IN ('analyst', 'admin')) IS NOT TRUE
         THEN 'caller role is not authorized for document'
-      WHEN owner_team <> '' AND team <> owner_team AND role <> 'admin'
+      WHEN owner_team <> '' AND coalesce(team, '') <> owner_team AND coalesce(role, '') <> 'admin'
         THEN 'cross-team document access denied' END AS denied,
     {strip('content')} AS trimmed
   FROM retrieval),
@@ -282,23 +283,28 @@ context AS (
   FROM inspected i JOIN verdicts v USING (request_id))"""
 
 # Tool policy.
-_FIELDS = ("CASE WHEN json_type(arguments, '$.fields') = 'ARRAY' THEN "
-           "CAST(json_extract(arguments, '$.fields') AS VARCHAR[]) ELSE [] END")
+_FIELDS = ("CASE WHEN json_type(body, '$.fields') = 'ARRAY' THEN "
+           "CAST(json_extract(body, '$.fields') AS VARCHAR[]) ELSE [] END")
 _SENSITIVE = "('ssn','password','api_key','credit_card','health_data','bank_account')"
 _PROTECTED = "('role','permissions','account_owner','billing_plan')"
 TOOLS = X.TOOL_CALLS_SQL + f""",
+bodies AS (
+  SELECT *, NOT json_valid(arguments) AS bad,
+         CASE WHEN json_valid(arguments)  -- the last of equal names counts
+              THEN regexp_replace(arguments, '^{{.*("fields":.*)$', '{{\\1') ELSE '{{}}' END AS body
+  FROM tool_calls),
 parsed AS (
   SELECT *, {_FIELDS} AS fields,
-         CASE WHEN json_type(arguments, '$.to') = 'VARCHAR'
-              THEN json_extract_string(arguments, '$.to') ELSE '' END AS recipient
-  FROM tool_calls),
+         CASE WHEN json_type(body, '$.to') = 'VARCHAR'
+              THEN json_extract_string(body, '$.to') ELSE '' END AS recipient
+  FROM bodies),
 found AS (
   SELECT *, len(list_filter(fields, lambda f: lower(f) IN ('email','phone'))) > 0 AS contact,
          list_filter(fields, lambda f: lower(f) IN {_SENSITIVE})[1] AS sensitive,
          list_filter(fields, lambda f: lower(f) IN {_PROTECTED})[1] AS protected
   FROM parsed),
 coded AS (
-  SELECT *, CASE tool
+  SELECT *, CASE WHEN bad THEN 'INVALID|0|invalid arguments' ELSE CASE tool
       WHEN 'search_documents' THEN 'ALLOW|10|read-only search operation'
       WHEN 'read_customer' THEN CASE
         WHEN role = 'analyst' AND contact
@@ -321,12 +327,13 @@ coded AS (
       WHEN 'delete_customer' THEN CASE
         WHEN role = 'admin' THEN 'REQUIRE_APPROVAL|95|admin destructive action requires approval'
         ELSE 'DENY|95|only admins may request customer deletion' END
-      ELSE 'DENY|90|unknown tools are denied by default' END AS code
+      ELSE 'DENY|90|unknown tools are denied by default' END END AS code
   FROM found),
 evaluated AS (
   SELECT call_id, ts, tool, role, arguments, split_part(code, '|', 1) AS decision,
          CAST(split_part(code, '|', 2) AS INTEGER) AS risk, split_part(code, '|', 3) AS reason,
          CASE split_part(code, '|', 1) WHEN 'DENY' THEN 403 WHEN 'REQUIRE_APPROVAL' THEN 202
+              WHEN 'INVALID' THEN 400
               ELSE 200 END AS status
   FROM coded)"""
 

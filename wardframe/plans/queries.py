@@ -108,12 +108,8 @@ def line_filter(spark, sf):
 # --- chat ------------------------------------------------------------------------------------
 
 def _chat_requests(spark, sf):
-    """Prompts of all user and system turns, with the last assistant text as model response."""
-    turns = X.attacked(spark, sf)
-    prompts = chat.assemble_prompt(turns.filter("role <> 'assistant'"), "conv_id")
-    answers = turns.filter("role = 'assistant'").groupBy("conv_id").agg(
-        F.max_by("text", "turn").alias("model_response"))
-    return prompts.join(answers, "conv_id", "left")
+    """All messages of a conversation but its final answer, which is the model response."""
+    return chat.assemble_exchange(X.attacked(spark, sf), "conv_id")
 
 
 def _judged(spark, sf):
@@ -122,8 +118,7 @@ def _judged(spark, sf):
 
 @register("prompt_assembly", f"WITH {O.CHAT} SELECT conv_id, raw_prompt FROM chat")
 def prompt_assembly(spark, sf):
-    turns = X.attacked(spark, sf).filter("role <> 'assistant'")
-    return chat.assemble_prompt(turns, "conv_id")
+    return _chat_requests(spark, sf).select("conv_id", "raw_prompt")
 
 
 @register("risk_bands", f"WITH {O.CHAT} SELECT severity, decision, count(*) AS requests, "
@@ -154,9 +149,12 @@ def message_redaction(spark, sf):
   CASE WHEN output_blocked THEN 'BLOCK' ELSE decision END AS final_decision,
   CASE WHEN output_blocked THEN 100 ELSE risk_score END AS final_risk_score,
   CASE WHEN output_blocked THEN 'CRITICAL' ELSE severity END AS final_severity,
-  CASE WHEN output_blocked OR decision = 'BLOCK' THEN 403 ELSE 200 END AS final_status,
-  CASE WHEN NOT output_blocked AND decision <> 'BLOCK' THEN o_red END AS final_output,
+  CASE WHEN output_blocked OR decision = 'BLOCK' THEN 403 WHEN failed THEN 502 ELSE 200 END
+    AS final_status,
+  CASE WHEN NOT output_blocked AND NOT failed AND decision <> 'BLOCK' THEN o_red END
+    AS final_output,
   CASE WHEN decision = 'BLOCK' THEN {O.MESSAGE}
+       WHEN failed THEN 'model provider request failed'
        WHEN output_blocked THEN 'model output blocked by security policy'
        WHEN o_pcount > 0 THEN 'request allowed after output redaction'
        ELSE {O.MESSAGE} END AS final_message FROM merged""")
@@ -407,6 +405,28 @@ def rag_provenance(spark, sf):
     return retrieval.rag_events(retrieval.judge_requests(docs), asked).drop("timestamp")
 
 
+@register("rag_response", f"WITH {O.RAG_GROUPS}, said AS (SELECT doc_id // 4 AS request_id, text "
+          f"FROM attacked_documents WHERE doc_id % 4 = 3), {O.pii_cte('said', 'text')}, "
+          f"answered AS (SELECT *, {O.secret('text')} AS secrets FROM redacted), "
+          "traced AS (SELECT request_id, CAST(count(*) FILTER (WHERE included) AS INTEGER) AS n, "
+          "string_agg(document_id || ':' || decision || ':' || reason, '|' ORDER BY pos) AS trace "
+          "FROM context GROUP BY request_id) SELECT request_id, "
+          "CASE WHEN secrets > 0 THEN 403 ELSE 200 END AS status, "
+          "CASE WHEN secrets > 0 THEN 'model output blocked' END AS error, "
+          "CASE WHEN secrets = 0 THEN red END AS response, "
+          "CASE WHEN secrets = 0 THEN coalesce(n, 0) END AS context_count, "
+          "CASE WHEN secrets = 0 THEN trace END AS trace FROM answered "
+          "LEFT JOIN traced USING (request_id)")
+def rag_response(spark, sf):
+    """The last document of each request stands for the model's answer."""
+    said = X.attacked_documents(spark, sf).filter("doc_id % 4 = 3").select(
+        F.expr("doc_id div 4").alias("request_id"), F.col("text").alias("model_response"))
+    return retrieval.judge_response(_rag(spark, sf), said).select(
+        "request_id", "status", "error", "response", "context_count",
+        F.array_join(F.transform("context_trace", lambda e: F.concat_ws(
+            ":", e["document_id"], e["decision"], e["reason"])), "|").alias("trace"))
+
+
 # --- tools and approvals ---------------------------------------------------------------------
 
 def _evaluated(spark, sf):
@@ -626,7 +646,7 @@ def state_upsert(spark, sf):
 
 
 _DELETE = f"""WITH {X.REQUESTS_SQL},
-states AS (SELECT DISTINCT key_id FROM requests WHERE us < 1704240000000000),
+states AS (SELECT DISTINCT key_id FROM requests),
 gone AS (SELECT c_custkey AS key_id FROM customer WHERE c_nationkey < 12)"""
 
 
@@ -634,7 +654,7 @@ gone AS (SELECT c_custkey AS key_id FROM customer WHERE c_nationkey < 12)"""
 SELECT key_id, 'kept' AS result FROM states WHERE key_id NOT IN (SELECT key_id FROM gone)
 UNION ALL SELECT key_id, 'not found' FROM gone WHERE key_id NOT IN (SELECT key_id FROM states)""")
 def state_delete(spark, sf):
-    rows = _plain_requests(spark, sf).filter("us < 1704240000000000").select("key_id").distinct()
+    rows = _plain_requests(spark, sf).select("key_id").distinct()
     gone = X.table(spark, sf, "customer").filter("c_nationkey < 12").select(
         F.col("c_custkey").alias("key_id"))
     kept, missing = state.delete_state(rows, gone)
