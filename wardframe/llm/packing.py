@@ -7,6 +7,9 @@ that it touches are its pieces. A row of a piece is the record of a boundary.
 """
 
 import functools
+import os
+import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,53 +21,76 @@ from .common import raw, small_batches, texts, written
 
 LENGTH = 2048
 END_ID = 1
-#: Words whose ids a worker remembers.
-REMEMBER = 400_000
+#: Parts of texts whose ids a worker remembers.
+REMEMBER = 800_000
 #: Tokens of one row of the token table; a longer document has several.
 SEGMENT = 32_768
 
 
-@functools.lru_cache(maxsize=1)
-def _tokenizer(path):
-    from tokenizers import Tokenizer
-    return Tokenizer.from_file(path)
+#: What a text of common letters falls into, as the vocabulary's own splitter cuts it.
+_PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ÿ]+")
+#: Texts with these, or with characters beyond Latin-1, are cut at white space only: control
+#: characters, letters and digits that `_PARTS` does not know, and what may be a special token.
+_ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0ªµº²³¹¼½¾\u0100-\U0010ffff]|<\\|")
 
 
-def encoder(path):
-    """Texts to ids as little-endian bytes; words between ASCII white space are encoded once.
+def _byte_letters():
+    """How the vocabulary writes each byte: printable ones as themselves, the rest from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+class Encoder:
+    """Texts to ids as little-endian bytes; each part of a text is encoded once.
 
-    White space only parts words for this kind of vocabulary and is dropped, so a text's ids are
-    those of its words in order.
+    The vocabulary lowers case, drops white space and cuts texts into parts that no merge
+    crosses, so a text's ids are those of its parts in order.
     """
-    import os
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    model, known = _tokenizer(path), {}
 
-    def encode(docs):
-        split = [doc.split() for doc in docs]
-        new = list({w for words in split for w in words if w not in known})
+    def __init__(self, path):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        self.whole, self.known = Tokenizer.from_file(path), {}
+        self.model = self.whole.model
+        letters = _byte_letters()
+        self.spelled = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
+
+    def __call__(self, docs):
+        split = [doc.encode().split() if _ODD.search(doc) else _PARTS.findall(doc.lower())
+                 for doc in docs]
+        known = self.known
+        new = {w for words in split for w in words}.difference(known)
         if len(known) + len(new) > REMEMBER:
             known.clear()
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for w, e in zip(part, model.encode_batch([w.decode() for w in part],
+            new = {w for words in split for w in words}
+        merge, spelled = self.model.tokenize, self.spelled
+        for w in new:
+            if isinstance(w, str):  # already as normalised and cut
+                known[w] = array("I", [t.id for t in merge(w.translate(spelled))]).tobytes()
+        odd = [w for w in new if isinstance(w, bytes)]
+        for w, e in zip(odd, self.whole.encode_batch([w.decode() for w in odd],
                                                      add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            known[w] = array("I", e.ids).tobytes()
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
-    return encode
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path):
+    """One encoder for all tasks of a worker, with what it remembers."""
+    return Encoder(path)
 
 
 def _tokens(path, end_id):
-    end = np.array([end_id], "<u4").tobytes()
+    end = array("I", [end_id]).tobytes()
 
     def run(batches):
         encode, before, part = encoder(path), 0, TaskContext.get().partitionId()
         for batch in small_batches(batches, 4 << 20):
             data, ends = raw(batch.column("text"))
             data = data.tobytes()
-            ids = [x + end for x in encode([data[a:b] for a, b in
+            ids = [x + end for x in encode([data[a:b].decode() for a, b in
                                             zip(ends[:-1].tolist(), ends[1:].tolist())])]
             which, start, cut = [], [], []
             for i, x in enumerate(ids):

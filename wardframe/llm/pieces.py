@@ -17,7 +17,7 @@ import pyarrow as pa
 from .common import raw, small_batches, texts
 
 SPACE = "▁"
-REMEMBER = 300_000
+REMEMBER = 600_000
 _FAR = np.int64(1 << 40)
 
 
@@ -95,7 +95,9 @@ class Vocabulary:
 
 @functools.lru_cache(maxsize=1)
 def load(path):
-    return Vocabulary(path)
+    """(encoder, decoder) of a model, for all tasks of a worker, with what it remembers."""
+    vocab = Vocabulary(path)
+    return Encoder(vocab), Decoder(vocab)
 
 
 def _last_class(symbols, vocab):
@@ -291,8 +293,7 @@ def _utf8(run):
 
 def _encode(path):
     def run(batches):
-        vocab = load(path)
-        encode, decode = Encoder(vocab), Decoder(vocab)
+        encode, decode = load(path)
         for batch in small_batches(batches, 2 << 20):
             data, ends = raw(batch.column("text"))
             data = data.tobytes()
