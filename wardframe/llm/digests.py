@@ -21,7 +21,7 @@ BUCKETS = 256
 TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 4))
 STEP = np.array([0, 1, 2, 6])
 HEADER = 16
-LARGEST = BUCKETS * 6 + 2 * HEADER
+LARGEST = BUCKETS * 6 + HEADER + 15
 
 _RNG = np.random.default_rng(20)
 _MIX = _RNG.integers(0, 1 << 32, (3, 256), dtype=np.uint32)
