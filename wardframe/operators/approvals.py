@@ -17,6 +17,7 @@ ATTEMPT_SCOPES = {"approve": "approvals:write", "reject": "approvals:write",
 # Status and event that an accepted attempt leads to.
 NEXT_STATUS = {"approve": "APPROVED", "reject": "REJECTED", "claim": "EXECUTING",
                "finish": "EXECUTED", "fail": "APPROVED"}
+STATUSES = ("PENDING", *dict.fromkeys(NEXT_STATUS.values()))
 EVENTS = {"approve": "TOOL_APPROVED", "reject": "TOOL_REJECTED",
           "claim": "TOOL_EXECUTION_STARTED", "finish": "TOOL_EXECUTION_SUCCEEDED"}
 
@@ -63,7 +64,8 @@ def life_cycle_fold() -> Fold:
 
     return Fold(("action", "valid"), T.StructType([
         T.StructField("prior_status", T.StringType()),
-        T.StructField("new_status", T.StringType())]), step, "status string")
+        T.StructField("new_status", T.StringType())]), step, "status string",
+        tuple((s,) for s in STATUSES))
 
 
 def with_validity(attempts: DataFrame) -> DataFrame:
@@ -100,16 +102,18 @@ def classify_attempts(approvals: DataFrame, attempts: DataFrame, order,
     """Append known, prior_status, accepted, conflict and new_status to every attempt.
 
     attempts(approval_id, action, actor_role, actor_scopes as comma text, and the order columns).
-    One ordered pass per approval over one exchange; an approval with very many attempts is
-    spread over slices (see `operators.replay`).
+    Attempts on unknown approvals have no state and are labelled where they are. The others take
+    one ordered pass per approval over one exchange; an approval with very many attempts is spread
+    over slices (see `operators.replay`).
     """
-    known = approvals.select("approval_id", F.lit(True).alias("known"))
-    df = with_validity(attempts).join(known, "approval_id", "left")
-    df = _with(df, known=F.coalesce("known", F.lit(False)))
-    df = replay_fold(df, life_cycle_fold(), "approval_id", order, max_group_rows, slices,
-                     counted=attempts)
-    df = _with(df, prior_status=F.when(F.col("known"), F.col("prior_status")),
-               new_status=F.when(F.col("known"), F.col("new_status")))
+    known = approvals.select("approval_id")
+    fold = life_cycle_fold()
+    real = attempts.join(known, "approval_id", "left_semi").select(attempts.columns)
+    unknown = attempts.join(known, "approval_id", "left_anti").select(attempts.columns)
+    df = replay_fold(with_validity(_with(real, known=F.lit(True))), fold, "approval_id", order,
+                     max_group_rows, slices, counted=real)
+    df = df.unionByName(with_validity(_with(unknown, known=F.lit(False))).select(
+        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fold.outputs.fields]))
     df = _with(df, conflict=conflict_reason())
     df = _with(df, accepted=F.col("conflict").isNull())
     return df.select(*attempts.columns, "known", "prior_status", "accepted", "conflict",
@@ -127,10 +131,23 @@ def replay(approvals: DataFrame, classified: DataFrame, order, ts="ts") -> DataF
 
 
 def transition_events(approvals: DataFrame, classified: DataFrame, ts="ts",
-                      details=("actor_role",)) -> DataFrame:
-    """Events of the accepted attempts. A failed execution leaves none."""
+                      actor=("actor_role",)) -> DataFrame:
+    """Events of the accepted attempts. A failed execution leaves none.
+
+    Details hold the actor, whose columns are named without their `actor_`, the arguments of a
+    resolved call, and the result of a successful execution where the attempts have a `result`.
+    """
     hit = classified.filter(F.col("accepted") & (F.col("action") != "fail"))
-    hit = hit.join(approvals.select("approval_id", "tool", "risk"), "approval_id")
+    action, details = F.col("action"), []
+    carried = [c for c in ("arguments",) if c in approvals.columns]
+    hit = hit.join(approvals.select("approval_id", "tool", "risk", *carried), "approval_id")
+    if carried:
+        details.append(F.when(action.isin("approve", "reject"), F.col("arguments"))
+                       .alias("arguments"))
+    if "result" in classified.columns:
+        details.append(F.when(action == "finish", F.col("result")).alias("result"))
+    details.append(F.struct(*[F.col(c).alias(c.removeprefix("actor_")) for c in actor])
+                   .alias("actor"))
     return hit.select(
         F.col(ts).alias("timestamp"), "approval_id",
         _lookup(F.col("action"), EVENTS).alias("event_type"), "tool", "risk",

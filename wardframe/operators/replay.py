@@ -7,13 +7,16 @@ with more than `max_group_rows` rows; there are at most total / max_group_rows o
 * Other keys: hash partitioned by key, sorted, replayed. One exchange.
 * Hot keys: range partitioned by (key, order), so that one key is spread over many equally large
   slices, and checkpointed. A slice in the middle of a key starts from the state its predecessor
-  ended with. All slices run at once from an assumed state, then every slice whose assumption
-  proved wrong runs again, until all hand-overs agree. The first slice of a key always starts from
-  the true state, so agreement of all hand-overs means every result is exact. Only one state per
-  slice reaches the driver.
+  ended with. A machine with few states (`Fold.states`) has its slices run once from all of them at
+  the same time; the end states are then linked up, which takes one round for any number of
+  slices. For other machines all slices run at once from an assumed state, then every slice whose
+  assumption proved wrong runs again, until all hand-overs agree; in the worst case, a key whose
+  states never meet, that is one round for each of its slices. The first slice of a key always
+  starts from the true state, so agreement of all hand-overs means every result is exact. Only the
+  end states of the slices reach the driver.
 """
 
-from ast import literal_eval
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -36,13 +39,14 @@ class Fold:
 
     `inputs` are the columns passed to `step`; `outputs` is the schema of what it returns. States
     are tuples of plain values, so they can be compared and shipped; `state` is their schema, for
-    use in a stream.
+    use in a stream. `states` lists all states of a machine that has only a few.
     """
 
     inputs: tuple
     outputs: T.StructType
     step: Callable
     state: str = ""
+    states: tuple = ()
 
 
 def _arrow_type(t: T.DataType) -> pa.DataType:
@@ -57,9 +61,12 @@ class _Run:
         self.fold, self.key = fold, key
         self.fields = [(f.name, _arrow_type(f.dataType)) for f in fold.outputs.fields]
 
-    def __call__(self, batches: Iterator, key=None, state=None):
-        """Yield the batches with output columns; leaves the last key and state in `self.end`."""
-        step, started = self.fold.step, key is not None
+    def __call__(self, batches: Iterator, start=None):
+        """Yield the batches with output columns; leaves the last key and state in `self.end`.
+
+        `start` is the (key, state) that the rows before have ended with."""
+        step = self.fold.step
+        key, state = start or (None, None)
         first = None
         seen = False
         for batch in batches:
@@ -69,7 +76,7 @@ class _Run:
             for k, *row in zip(keys, *values):
                 if not seen:
                     first, seen = k, True
-                    if not started or k != key:
+                    if start is None or k != key:
                         state = None
                     key = k
                 elif k != key:
@@ -97,12 +104,13 @@ def replay(df: DataFrame, fold: Fold, key: str, order, max_group_rows=MAX_GROUP_
     hot_rows = hot.agg(F.sum("n")).first()[0]
     if hot_rows is None:
         return _replay_hashed(df, fold, key, order, schema)
-    hot = hot.select(key)
+    hot = hot.select(F.col(key).alias("_hot"))
+    is_hot = F.col(key).eqNullSafe(F.col("_hot"))  # the null key may be a hot one
     n = slices or max(-(-hot_rows // SLICE_ROWS),
                       int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cold = _replay_hashed(df.join(hot, key, "left_anti").select(df.columns), fold, key, order,
+    cold = _replay_hashed(df.join(hot, is_hot, "left_anti").select(df.columns), fold, key, order,
                           schema)
-    sliced = _replay_slices(df.join(hot, key, "left_semi").select(df.columns), fold, key, order,
+    sliced = _replay_slices(df.join(hot, is_hot, "left_semi").select(df.columns), fold, key, order,
                             schema, n)
     return cold.unionByName(sliced)
 
@@ -119,17 +127,18 @@ def _replay_slices(df, fold, key, order, schema, slices):
     ordered = (df.repartitionByRange(slices, F.col(key), *[F.col(c) for c in order])
                .sortWithinPartitions(key, *order)
                .withColumn(SLICE, F.spark_partition_id()).checkpoint(eager=True))
-    ends = {}
-    starts = {}
-    pending = None
-    while pending is None or pending:
-        ends.update(_slice_ends(ordered, fold, key, starts, pending))
-        starts, pending = _hand_over(ends, starts)
+    if fold.states:
+        starts = _linked(_slice_maps(ordered, fold, key), fold)
+    else:
+        ends, starts, pending = {}, {}, None
+        while pending is None or pending:
+            ends.update(_slice_ends(ordered, fold, key, starts, pending))
+            starts, pending = _hand_over(ends, starts)
     run = _Run(fold, key)
 
     def emit(batches):
         for i, rest in _numbered(batches):
-            yield from run(rest, *starts.get(i, (None, None)))
+            yield from run(rest, starts.get(i))
 
     return ordered.mapInArrow(emit, schema)
 
@@ -151,20 +160,57 @@ def _slice_ends(ordered, fold, key, starts, only):
         for i, rest in _numbered(batches):
             if only is not None and i not in only:
                 return
-            for _ in run(rest, *starts.get(i, (None, None))):
+            for _ in run(rest, starts.get(i)):
                 pass
             _, first, last, state = run.end
-            yield pa.RecordBatch.from_pydict(
-                {"slice": [i], "end": [repr((first, last, state))]},
-                schema=pa.schema([("slice", pa.int32()), ("end", pa.string())]))
+            yield _end_row(i, (first, last, state))
+
+    return _end_rows(ordered, ends)
+
+
+def _end_row(i, end):
+    return pa.RecordBatch.from_pydict(
+        {"slice": [i], "end": [pickle.dumps(end)]},
+        schema=pa.schema([("slice", pa.int32()), ("end", pa.binary())]))
 
-    rows = ordered.mapInArrow(ends, "slice int, end string").collect()
-    return {r["slice"]: _parse(r["end"]) for r in rows}
 
+def _end_rows(ordered, ends):
+    """{slice: end}: one small row per slice; keys and states keep their types."""
+    rows = ordered.mapInArrow(ends, "slice int, end binary").collect()
+    return {r["slice"]: pickle.loads(r["end"]) for r in rows}
 
-def _parse(text):
-    """States are tuples of plain values, so their repr reads back exactly."""
-    return literal_eval(text)
+
+def _slice_maps(ordered, fold, key):
+    """{slice: (first key, last key, end states)}: one end state for each start state, or one
+    alone where the slice ends in a later key than it starts with."""
+    def ends(batches):
+        for i, rest in _numbered(batches):
+            first, last, now, seen = None, None, [None, *fold.states], False
+            for batch in rest:
+                for k, *row in zip(batch.column(key).to_pylist(),
+                                   *[batch.column(c).to_pylist() for c in fold.inputs]):
+                    if not seen:
+                        first, last, seen = k, k, True
+                    elif k != last:
+                        last, now = k, [None]
+                    now = [fold.step(s, *row)[0] for s in now]
+            yield _end_row(i, (first, last, now))
+
+    return _end_rows(ordered, ends)
+
+
+def _linked(maps, fold):
+    """{slice: (key, state) before its first row}."""
+    starts, before = {}, None
+    places = {s: n for n, s in enumerate((None, *fold.states))}
+    for i in sorted(maps):
+        first, last, ends = maps[i]
+        state = None
+        if before is not None and before[0] == first:
+            starts[i] = before
+            state = before[1]
+        before = (last, ends[places[state]] if len(ends) > 1 else ends[0])
+    return starts
 
 
 def _hand_over(ends, starts):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .scan import _with
 
 DAY_US = 86_400_000_000
+HOUR_US = 3_600_000_000
 
 
 def with_chunk(df: DataFrame, us="us", chunk_us=DAY_US) -> DataFrame:

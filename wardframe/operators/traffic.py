@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from .replay import MAX_GROUP_ROWS, Fold, replay
 from .scan import _with
-from .sequence import DAY_US, with_chunk
+from .sequence import DAY_US, HOUR_US, with_chunk  # noqa: F401
 
 ORDER = ("us", "seq")
 CHAT_PATH = "/v1/chat/completions"
@@ -93,7 +93,7 @@ def violation_points(responses: DataFrame, path="path", status="status") -> Data
     return _with(responses, points=points(path, status), reason=points_reason(path, status))
 
 
-def abuse_score(violations: DataFrame, decay_us=DECAY_US, chunk_us=DAY_US) -> DataFrame:
+def abuse_score(violations: DataFrame, decay_us=DECAY_US, chunk_us=HOUR_US) -> DataFrame:
     """Append the decayed score after each recorded violation(key_id, us, seq, points).
 
     The recurrence s = max(0, s - floor(gap / decay)) + p is a running sum with a floor at zero:
@@ -154,10 +154,12 @@ def cooldown_fold(threshold=THRESHOLD, cooldown_us=COOLDOWN_US) -> Fold:
 
 
 def cooldowns(scored: DataFrame, threshold=THRESHOLD, cooldown_us=COOLDOWN_US,
-              max_group_rows=MAX_GROUP_ROWS, slices=None) -> DataFrame:
-    """Append entered and cooldown_until_us to scored violations."""
+              max_group_rows=MAX_GROUP_ROWS, slices=None, counted=None) -> DataFrame:
+    """Append entered and cooldown_until_us to scored violations.
+
+    `counted`, the violations before scoring, spares scoring them once more for their number."""
     return replay(scored, cooldown_fold(threshold, cooldown_us), "key_id", ORDER,
-                  max_group_rows, slices)
+                  max_group_rows, slices, counted)
 
 
 class _Tracker:

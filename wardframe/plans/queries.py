@@ -570,8 +570,9 @@ def abuse_score(spark, sf):
 @register("cooldowns", f"WITH RECURSIVE {O.COOL} SELECT key_id, seq, entered, "
                        "until_us AS cooldown_until_us FROM cool")
 def cooldowns(spark, sf):
-    scored = traffic.abuse_score(_violations(spark, sf), X.DECAY_US)
-    return traffic.cooldowns(scored, X.THRESHOLD, X.COOLDOWN_US).select(
+    found = _violations(spark, sf)
+    scored = traffic.abuse_score(found, X.DECAY_US)
+    return traffic.cooldowns(scored, X.THRESHOLD, X.COOLDOWN_US, counted=found).select(
         "key_id", "seq", "entered", "cooldown_until_us")
 
 
