@@ -218,3 +218,32 @@ def test_guard_needs_one_exchange_and_no_group_in_memory(spark, small):
     plan = traffic.traffic_guard(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "MapInArrow" in plan
     assert "FlatMapGroupsInPandas" not in plan
+
+
+@pytest.mark.parametrize("slices", [3, 12])
+def test_hot_approval_takes_one_round(spark, slices, monkeypatch):
+    from wardframe.operators import replay as engine
+    rounds = []
+    plain = engine._end_rows
+    monkeypatch.setattr(engine, "_end_rows", lambda *a: rounds.append(1) or plain(*a))
+    rnd = random.Random(slices)
+    created = spark.createDataFrame([(1, "t", 1, "PENDING"), (2, "t", 1, "PENDING")],
+                                    "approval_id long, tool string, risk int, status string")
+    rows = [(1 if rnd.random() < .9 else 2, i, rnd.choice(["approve", "claim", "fail", "claim"]),
+             "admin", "*") for i in range(600)] + [(None, i, "approve", "admin", "*")
+                                                  for i in range(90)]
+    tried = spark.createDataFrame(rows, "approval_id long, us long, action string, "
+                                        "actor_role string, actor_scopes string")
+    hot = approvals.classify_attempts(created, tried, ("us",), 50, slices)
+    got = sorted(map(str, hot.collect()))
+    assert len(rounds) == 1
+    want = approvals.classify_attempts(created, tried, ("us",), 10_000)
+    assert got == sorted(map(str, want.collect())) and len(got) == len(rows)
+
+
+def test_hot_null_key_is_split(spark):
+    rows = [(None if i % 3 else 5, i * SECOND, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "key_id long, us long, seq long")
+    hot = traffic.rate_limit(df, 2, 0.5, max_group_rows=20, slices=6)
+    want = traffic.rate_limit(df, 2, 0.5)
+    assert sorted(map(str, hot.collect())) == sorted(map(str, want.collect()))

@@ -164,3 +164,18 @@ def test_absent_metrics_count_as_zero(spark, tmp_path):
     now = evals.report(graded(spark, 1, 1), "2024-01-02T00:00:00Z")
     row = evals.regression(now, history).first()
     assert (row.recall_down, row.false_negatives_up) == (False, True)
+
+
+def test_event_ids_define_recency(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = audit_rows(spark, 6).drop("id")
+    for batch in (1, 2):
+        event_tables.append_events(rows, "audit_events", folder, batch)
+    df = event_tables.read_events(spark, "audit_events", folder)
+    assert df.select("id").distinct().count() == 12
+    newest = audit.recent_audit(df, 6).collect()
+    assert all(r.id.lstrip("0").startswith("2-") for r in newest)
+    later = rows.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 1 HOUR"))
+    event_tables.append_events(rows.unionByName(later), "audit_events", folder, 3)
+    top = audit.recent_audit(event_tables.read_events(spark, "audit_events", folder), 6).collect()
+    assert {r.timestamp.hour for r in top} == {1}

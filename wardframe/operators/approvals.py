@@ -135,23 +135,27 @@ def transition_events(approvals: DataFrame, classified: DataFrame, ts="ts",
     """Events of the accepted attempts. A failed execution leaves none.
 
     Details hold the actor, whose columns are named without their `actor_`, the arguments of a
-    resolved call, and the result of a successful execution where the attempts have a `result`.
+    resolved call, and the result (as JSON) of a successful execution where the attempts have one.
     """
     hit = classified.filter(F.col("accepted") & (F.col("action") != "fail"))
-    action, details = F.col("action"), []
     carried = [c for c in ("arguments",) if c in approvals.columns]
     hit = hit.join(approvals.select("approval_id", "tool", "risk", *carried), "approval_id")
+    action, parts = F.col("action"), []
+
+    def named(name, text, cond):  # the text is JSON already
+        parts.append(F.coalesce(F.when(cond, F.concat(F.lit(f'"{name}":'), text, F.lit(","))),
+                                F.lit("")))
+
     if carried:
-        details.append(F.when(action.isin("approve", "reject"), F.col("arguments"))
-                       .alias("arguments"))
+        named("arguments", F.col("arguments"), action.isin("approve", "reject"))
     if "result" in classified.columns:
-        details.append(F.when(action == "finish", F.col("result")).alias("result"))
-    details.append(F.struct(*[F.col(c).alias(c.removeprefix("actor_")) for c in actor])
-                   .alias("actor"))
+        named("result", F.col("result"), action == "finish")
+    who = F.to_json(F.struct(*[F.col(c).alias(c.removeprefix("actor_")) for c in actor]))
     return hit.select(
         F.col(ts).alias("timestamp"), "approval_id",
         _lookup(F.col("action"), EVENTS).alias("event_type"), "tool", "risk",
-        F.col("new_status").alias("status"), F.to_json(F.struct(*details)).alias("details"))
+        F.col("new_status").alias("status"), 
+        F.concat(F.lit("{"), *parts, F.lit('"actor":'), who, F.lit("}")).alias("details"))
 
 
 def pending(approvals: DataFrame) -> DataFrame:

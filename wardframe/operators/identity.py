@@ -67,7 +67,7 @@ def require_scope(requests: DataFrame, route_table: DataFrame) -> DataFrame:
     Identity columns as `resolve` appends them; a NULL scope list means no identity.
     """
     r = route_table.select("method", "path", F.col("scope").alias("required_scope"))
-    df = requests.join(F.broadcast(r), ["method", "path"], "left")
+    df = requests.join(r, ["method", "path"], "left")
     allowed = F.col("scopes").isNotNull() & (
         F.col("required_scope").isNull()
         | F.coalesce(common.has_scope("scopes", "required_scope"), F.lit(False)))
@@ -106,10 +106,12 @@ def apply_revocations(keys: DataFrame, revocations: DataFrame, ts="ts"):
 
     Revocations name a key by `key_id`, or by `raw_key` when `key_id` is NULL. The first one
     wins; later ones, ones for revoked keys and ones for unknown keys have no effect. They are
-    reduced to one row per key before any join, with map-side combine.
+    reduced to one row per key before any join, with map-side combine. A revocation's `actor`
+    goes into its event.
     """
-    tagged = _with(revocations, _hash=common.key_hash("raw_key"))
-    first = F.min(F.struct(F.col(ts), F.col("seq"))).alias("_first")
+    who = F.to_json("actor") if "actor" in revocations.columns else F.lit(None).cast("string")
+    tagged = _with(revocations, _hash=common.key_hash("raw_key"), _actor=who)
+    first = F.min(F.struct(F.col(ts), F.col("seq"), F.col("_actor"))).alias("_first")
     by_id = tagged.filter(F.col("key_id").isNotNull()).groupBy("key_id").agg(first)
     by_hash = (tagged.filter(F.col("key_id").isNull() & F.col("raw_key").isNotNull())
                .groupBy("_hash").agg(first))
@@ -126,6 +128,7 @@ def apply_revocations(keys: DataFrame, revocations: DataFrame, ts="ts"):
     events = hit.select(
         F.col(f"_first.{ts}").alias("timestamp"), F.lit("API_KEY_REVOKED").alias("event_type"),
         F.col("id").alias("key_id"), F.col("name").alias("key_name"),
+        F.coalesce("_first._actor", F.lit("null")).alias("actor"),
         F.to_json(F.struct("user_id", "role", "team", "scopes")).alias("details"))
     refused = revocations.join(hit.select("_first.seq"), "seq", "left_anti")
     return out, events, refused

@@ -289,12 +289,21 @@ def abuse_events(guarded: DataFrame) -> DataFrame:
         event(3, F.col("entered"), "ABUSE_COOLDOWN_STARTED",
               F.struct("score", until.alias("cooldown_until"), F.col("reason").alias("trigger"))),
     ))
-    keep = [c for c in ("key_id", "us", "seq", "path") if c in guarded.columns]
+    keep = [c for c in ("key_id", "us", "seq", "path", "key_name", "user_id", "role", "team")
+            if c in guarded.columns]
     df = guarded.select(*keep, F.explode(events).alias("e"))
-    return df.select(*keep, F.col("e.n").alias("event_no"), "e.event_type",
+    return df.select(F.timestamp_micros("us").cast("timestamp_ntz").alias("timestamp"),
+                     *keep, F.col("e.n").alias("event_no"), "e.event_type",
                      F.col("e.d").alias("details"))
 
 
+def identify_events(events: DataFrame, keys: DataFrame) -> DataFrame:
+    """Append key_name, user_id, role and team of each event's key; unknown keys have none."""
+    who = keys.select(F.col("id").alias("key_id"), F.col("name").alias("key_name"), "user_id",
+                      "role", "team")
+    return events.join(who, "key_id", "left")
+
+
 def abuse_state(guarded: DataFrame, at_us: int, decay_us=DECAY_US) -> DataFrame:
     """Stored state per key at a moment: the last row's state, decayed to that moment.
 

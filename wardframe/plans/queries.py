@@ -6,7 +6,7 @@ from ..functions import common, sql
 from ..operators import (approvals, audit, chat, evals, identity, retrieval, scan, state, tools,
                          traffic)
 from ..operators.scan import _with
-from ..sources import event_tables, reports, requests
+from ..sources import cases, event_tables, reports, requests
 from ..streaming import folds, run, scans
 from . import fixtures as X
 from . import oracle as O
@@ -217,6 +217,35 @@ def event_table(spark, sf):
         "request_id", "decision", "risk_score", "pii_findings")
 
 
+def _stored(spark, events, table):
+    """Events appended to their table, in a folder of its own, and read back."""
+    folder = new_folder(spark, "events")
+    event_tables.append_events(events, table, folder)
+    return event_tables.read_events(spark, table, folder)
+
+
+@register("case_source", f"""WITH {X.ATTACKED_SQL}
+SELECT 'turn_' || conv_id || '_' || turn AS name, length(text) AS chars,
+       CASE WHEN k IN {X.ATTACKS} THEN 'BLOCK' ELSE 'ALLOW' END AS expected,
+       CASE WHEN k IN (11, 13) THEN 3 ELSE 0 END AS expected_redactions FROM attacked""")
+def case_source(spark, sf):
+    """Turns written as labelled cases and read back through the case source."""
+    folder = new_folder(spark, "cases")
+    turns = _with(X.attacked(spark, sf), name=F.concat_ws("_", F.lit("turn"), "conv_id", "turn"))
+    turns.select("name", F.col("text").alias("input"), F.when(F.col("k").isin(*X.ATTACKS), "BLOCK")
+                 .otherwise("ALLOW").alias("expected")).write.json(f"{folder}/injection.json")
+    turns.select("name", F.col("text").alias("input"), F.when(F.col("k").isin(11, 13), 3)
+                 .otherwise(0).alias("expected_redactions")).write.json(f"{folder}/pii.json")
+    X.retrieval_requests(spark, sf).groupBy(
+        F.format_string("request_%d", "request_id").alias("name"), "role", "team").agg(
+        F.lit(0).alias("expected_included"), F.sort_array(F.collect_list(F.struct(
+            "id", "source", "owner_team", "classification", "trust_level", "content",
+            "allowed_roles"))).alias("documents")).write.json(f"{folder}/rag.json")
+    injection, pii, _ = cases.read_cases(spark, folder, multi_line=False)
+    return injection.join(pii.select("name", "expected_redactions"), "name").select(
+        "name", F.length("input").alias("chars"), "expected", "expected_redactions")
+
+
 # --- identity --------------------------------------------------------------------------------
 
 def _resolved(spark, sf):
@@ -279,10 +308,11 @@ def key_provisioning(spark, sf):
 
 
 def _revocations(spark, sf):
-    """Sign-ups as revocation requests, by id or, for odd events, by raw key."""
+    """Purchases as revocation requests, by id or, for odd events, by raw key."""
     return X.requests(spark, sf).filter("path = '/v1/tools/evaluate'").selectExpr(
         "seq", "ts", "CASE WHEN seq % 2 = 0 THEN key_id END AS key_id",
-        "CASE WHEN seq % 2 = 1 THEN raw_key END AS raw_key")
+        "CASE WHEN seq % 2 = 1 THEN raw_key END AS raw_key",
+        "named_struct('user_id', 'u_admin_1', 'role', 'admin', 'team', 'security') AS actor")
 
 
 _REVOKE_SQL = f"""WITH {X.API_KEYS_SQL}, {X.REQUESTS_SQL},
@@ -305,6 +335,22 @@ def key_revocation(spark, sf):
         "id", "revoked_us", F.coalesce("newly", F.lit(False)).alias("newly"))
 
 
+@register("event_auth", _REVOKE_SQL + """
+SELECT 'API_KEY_CREATED' AS event_type, id AS key_id, name AS key_name,
+  '{"user_id":"u_admin_1","role":"admin","team":"security"}' AS actor,
+  epoch_us(created_at) AS us FROM api_keys
+UNION ALL SELECT 'API_KEY_REVOKED', k.id, k.name,
+  '{"user_id":"u_admin_1","role":"admin","team":"security"}', w.us
+FROM api_keys k JOIN wins w USING (id) WHERE k.revoked_at IS NULL""")
+def event_auth(spark, sf):
+    """Creations and revocations of keys in their event table."""
+    _, created = _provisioned(spark, sf)
+    _, revoked, _ = identity.apply_revocations(X.api_keys(spark, sf), _revocations(spark, sf))
+    rows = _stored(spark, created.unionByName(revoked), "auth_events")
+    return rows.select("event_type", "key_id", "key_name", "actor",
+                       common.micros_of(rows, "timestamp").alias("us"))
+
+
 @register("revocation_refused", _REVOKE_SQL + """
 SELECT seq FROM asked WHERE seq NOT IN (
   SELECT w.seq FROM wins w JOIN api_keys k USING (id) WHERE k.revoked_at IS NULL)""")
@@ -427,6 +473,21 @@ def rag_response(spark, sf):
             ":", e["document_id"], e["decision"], e["reason"])), "|").alias("trace"))
 
 
+@register("provenance", f"WITH {O.RAG_GROUPS} SELECT request_id, any_value(user_id) AS user_id,"
+          " any_value(role) AS role, any_value(team) AS team, "
+          "CAST(count(*) AS INTEGER) AS entries FROM context WHERE request_id = 42 "
+          "GROUP BY request_id")
+def provenance(spark, sf):
+    """Provenance of all requests in their event table, and one request looked up there."""
+    docs = X.retrieval_requests(spark, sf)
+    asked = docs.select("request_id", "user_id", "role", "team").distinct().select(
+        "*", F.timestamp_seconds("request_id").alias("timestamp"))
+    rows = _stored(spark, retrieval.rag_events(retrieval.judge_requests(docs), asked),
+                   "rag_events")
+    return retrieval.provenance(rows, 42).select(
+        "request_id", "user_id", "role", "team", F.json_array_length("trace").alias("entries"))
+
+
 # --- tools and approvals ---------------------------------------------------------------------
 
 def _evaluated(spark, sf):
@@ -520,6 +581,25 @@ def approval_timeline(spark, sf):
         "approval_id", "us", "event_type", "tool", "risk", "status")
 
 
+@register("event_tool", f"""WITH RECURSIVE {O.REPLAY}
+SELECT approval_id, epoch_us(created_at) AS us, 'TOOL_APPROVAL_REQUESTED' AS event_type, tool,
+       'PENDING' AS status, arguments AS details FROM approvals
+UNION ALL SELECT c.approval_id, epoch_us(c.ts), {O.EVENT_NAMES}, a.tool, c.new_status,
+  '{{' || CASE WHEN c.action IN ('approve', 'reject') THEN '"arguments":' || a.arguments || ','
+          ELSE '' END || '"actor":{{"role":"' || n.actor_role || '"}}}}'
+FROM classified c JOIN (SELECT approval_id, rn, actor_role FROM needed) n USING (approval_id, rn) JOIN approvals a USING (approval_id)
+WHERE c.conflict IS NULL AND c.action <> 'fail'""")
+def event_tool(spark, sf):
+    """The whole life cycle of all approvals in its event table, in order of recency."""
+    _, requested = _created(spark, sf)
+    created, classified = _classified(spark, sf)
+    rows = _stored(spark, requested.unionByName(
+        approvals.transition_events(created, classified)), "tool_events")
+    return approvals.timeline(rows).select(
+        "approval_id", common.micros_of(rows, "timestamp").alias("us"), "event_type", "tool",
+        "status", "details")
+
+
 # --- traffic ---------------------------------------------------------------------------------
 
 _BUCKET = {"capacity": X.BUCKET_CAPACITY, "refill_per_second": X.BUCKET_RATE}
@@ -617,6 +697,18 @@ def abuse_events(spark, sf):
         "key_id", "seq", "path", "event_type", "details")
 
 
+@register("event_abuse",
+          f"WITH {X.API_KEYS_SQL}, found AS ({SQL['abuse_events']}) SELECT key_id, event_type, "
+          "path, details, name AS key_name, user_id, role, team "
+          "FROM found LEFT JOIN api_keys ON id = key_id")
+def event_abuse(spark, sf):
+    """Abuse events with the identity of their key in their event table."""
+    events = traffic.identify_events(traffic.abuse_events(_guarded(spark, sf)),
+                                     X.api_keys(spark, sf))
+    return _stored(spark, events, "abuse_events").select(
+        "key_id", "event_type", "path", "details", "key_name", "user_id", "role", "team")
+
+
 @register("abuse_state", f"WITH RECURSIVE {O.STATE} SELECT key_id, score, stored_score, "
                          "last_updated_us, cooldown_until_us FROM state")
 def abuse_state(spark, sf):
@@ -830,16 +922,17 @@ def eval_regression(spark, sf):
     return evals.regression(evals.latest_report(history), evals.previous_report(history))
 
 
-@register("overview", f"""WITH RECURSIVE {O.AUDIT}, {O.POSTURE.lstrip()},
-{O.scan_cte('attacked', 'text', 'inj_s')}
+@register("overview", f"""WITH RECURSIVE {O.AUDIT}, {O.POSTURE.lstrip()}
 SELECT st.*, ev.*, su.* FROM ({O.STATS}) st,
- (SELECT count(*) AS eval_total, count(*) FILTER (WHERE (k IN {X.ATTACKS}) = (fcount > 0)) AS
-         eval_passed FROM inj_s) ev, ({O.SUMMARY}) su""")
+ (WITH {O.EVAL} SELECT sum(total)::BIGINT AS eval_total, sum(passed)::BIGINT AS eval_passed
+  FROM metric) ev, ({O.SUMMARY}) su""")
 def overview(spark, sf):
-    cases = _with(X.attacked(spark, sf), expected=F.when(
-        F.col("k").isin(*X.ATTACKS), "BLOCK").otherwise("ALLOW"))
-    report = evals.eval_injection(cases, "text").agg(
-        F.count(F.lit(1)).alias("eval_total"), F.count_if("passed").alias("eval_passed"))
+    """Statistics, the newest report's cases over all three suites, and the posture."""
+    latest = evals.latest_report(_history(spark, sf))
+    report = latest.select(*[
+        sum((F.coalesce(F.col(f"{s}.{field}"), F.lit(0)) for s in evals.SUITES[1:]),
+            F.coalesce(F.col(f"{evals.SUITES[0]}.{field}"), F.lit(0))).alias(f"eval_{field}")
+        for field in ("total", "passed")])
     return audit.overview(audit.security_stats(_audit(spark, sf)), report,
                           audit.posture_summary(_posture(spark, sf)))
 

@@ -11,10 +11,10 @@ RETRIEVAL = ("name string, role string, team string, expected_included int, "
              "allowed_roles:array<string>>>")
 
 
-def read_cases(spark: SparkSession, folder: str):
-    """(injection, pii, retrieval) cases of a folder."""
+def read_cases(spark: SparkSession, folder: str, multi_line=True):
+    """(injection, pii, retrieval) cases of a folder: JSON arrays, or one case a line."""
     def load(name, schema):
-        return spark.read.option("multiLine", True).schema(schema).json(f"{folder}/{name}.json")
+        return spark.read.option("multiLine", multi_line).schema(schema).json(f"{folder}/{name}.json")
 
     return load("injection", INJECTION), load("pii", PII), load("rag", RETRIEVAL)
 

@@ -1,8 +1,12 @@
 """Append-only event tables as date-partitioned Parquet."""
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import common
+
 # Columns of the event tables.
 TABLES = {
     "audit_events": ("request_id", "timestamp", "provider", "model", "decision", "risk_score",
@@ -17,14 +21,29 @@ TABLES = {
 }
 
 
-def _shaped(events: DataFrame, table: str) -> DataFrame:
-    extra = [c for c in ("id",) if c in events.columns]
-    return events.select(*extra, *TABLES[table], F.to_date("timestamp").alias("event_date"))
+def _shaped(events: DataFrame, table: str, batch: int) -> DataFrame:
+    """Rows of a table with the id that defines recency, unless they bring one.
+
+    Ids are texts that sort by batch, event time and row; no task needs to know of another.
+    """
+    def part(c):
+        return F.lpad(c.cast("string"), 20, "0")
+
+    own = F.col("id") if "id" in events.columns else F.concat_ws(
+        "-", part(F.lit(batch)), part(F.coalesce(common.micros_of(events, "timestamp"),
+                                                 F.lit(0).cast("long"))),
+        part(F.monotonically_increasing_id()))
+    return events.select(own.alias("id"), *TABLES[table],
+                         F.to_date("timestamp").alias("event_date"))
+
 
+def append_events(events: DataFrame, table: str, folder: str, batch: int = None) -> None:
+    """Append to a table. Rows of a date go to the tasks that hold them, without a shuffle.
 
-def append_events(events: DataFrame, table: str, folder: str) -> None:
-    """Append to a table. Rows of a date go to the tasks that hold them, without a shuffle."""
-    _shaped(events, table).write.mode("append").partitionBy("event_date").parquet(
+    `batch` numbers the appends; without one it is the clock's microseconds.
+    """
+    batch = time.time_ns() // 1000 if batch is None else batch
+    _shaped(events, table, batch).write.mode("append").partitionBy("event_date").parquet(
         f"{folder}/{table}")
 
 
@@ -36,7 +55,7 @@ def read_events(spark: SparkSession, table: str, folder: str) -> DataFrame:
 def append_batch(table: str, folder: str):
     """A `foreachBatch` writer. A batch that is delivered twice replaces its own partition."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        (_shaped(batch, table).withColumn("batch_id", F.lit(batch_id))
+        (_shaped(batch, table, batch_id).withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id", "event_date").parquet(f"{folder}/{table}"))
     return write
