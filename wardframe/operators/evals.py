@@ -8,6 +8,8 @@ from . import retrieval, scan
 from .audit import side_by_side
 from .scan import _with
 
+SUITES = ("prompt_injection", "pii", "rag")
+
 
 def eval_injection(cases: DataFrame, column="input", expected="expected") -> DataFrame:
     """Append actual, passed and outcome (tp, tn, fp, fn). A review counts as a block."""
@@ -25,6 +27,17 @@ def eval_pii(cases: DataFrame, column="input", expected="expected_redactions") -
     return _with(df, passed=F.col("pii_count") == F.col(expected))
 
 
+def eval_texts(cases: DataFrame, column="input", expected="expected",
+               expected_redactions="expected_redactions") -> DataFrame:
+    """Rows (suite, passed, outcome) of both text suites from one pass over the cases."""
+    df = eval_injection(cases, column, expected)
+    df = _with(df, _attack=F.struct(F.lit(SUITES[0]).alias("suite"), "passed", "outcome"))
+    df = eval_pii(df.drop("passed", "outcome"), column, expected_redactions)
+    both = F.array("_attack", F.struct(F.lit(SUITES[1]).alias("suite"), F.col("passed"),
+                                       F.lit(None).cast("string").alias("outcome")))
+    return df.select(F.inline(both))
+
+
 def eval_retrieval(cases: DataFrame, judged: DataFrame) -> DataFrame:
     """cases(request_id, expected_included); cases without documents admit none."""
     admitted = retrieval.build_trace(judged).select("request_id", "context_count")
@@ -56,7 +69,6 @@ def metrics(evaluated: DataFrame) -> DataFrame:
 
 METRIC = ("total", "passed", "failed", "accuracy", "precision", "recall", "false_positives",
           "false_negatives")
-SUITES = ("prompt_injection", "pii", "rag")
 
 
 def report(metric_rows: DataFrame, timestamp: str) -> DataFrame:

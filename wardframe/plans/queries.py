@@ -846,16 +846,13 @@ def _eval_rows(spark, sf):
     turns = X.attacked(spark, sf)
     cases = _with(turns, expected=F.when(F.col("k").isin(*X.ATTACKS), "BLOCK").otherwise("ALLOW"),
                   expected_redactions=F.when(F.col("k").isin(11, 13), 3).otherwise(0))
-    inj = evals.eval_injection(cases, "text")
-    pii = evals.eval_pii(cases, "text")
     docs = X.attacked_documents(spark, sf)
     wanted = docs.groupBy(F.expr("doc_id div 4").alias("request_id")).agg(
         F.count_if(~F.col("k").isin(*X.ATTACKS)).alias("expected_included"))
     rag = evals.eval_retrieval(wanted, _rag(spark, sf))
     none = F.lit(None).cast("string").alias("outcome")
-    return (inj.select(F.lit("prompt_injection").alias("suite"), "passed", "outcome")
-            .unionByName(pii.select(F.lit("pii").alias("suite"), "passed", none))
-            .unionByName(rag.select(F.lit("rag").alias("suite"), "passed", none)))
+    return evals.eval_texts(cases, "text").unionByName(
+        rag.select(F.lit("rag").alias("suite"), "passed", none))
 
 
 @register("eval_confusion", f"WITH {O.EVAL} SELECT expected, actual, count(*) AS cases "

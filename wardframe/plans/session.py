@@ -1,7 +1,10 @@
 """Session settings and the shared folder for checkpoints and written tables."""
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -25,7 +28,20 @@ def build_session(master=None, app="wardframe", **extra) -> SparkSession:
         builder = builder.master(master)
     for k, v in {**SETTINGS, **extra}.items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the workers, unless it is installed or on their path already."""
+    package = Path(__file__).resolve().parents[1]
+    paths = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if "site-packages" in package.parts or package.parent in paths:
+        return
+    folder = tempfile.mkdtemp(prefix="wardframe-package-")
+    spark.sparkContext.addPyFile(shutil.make_archive(
+        f"{folder}/{package.name}", "zip", package.parent, package.name))
 
 
 def shared_folder(spark: SparkSession) -> str:
