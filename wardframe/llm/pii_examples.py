@@ -6,6 +6,17 @@ reach {phone|+1 (826) 555-4081} 4845168114407329 or leave it
 her {phone|+1 (152) 555-8590} 10.44.7.213 and more
 numbers 7536784127813050 4845168114407329 and 2353820953013749 4550997810720808 followed
 the. 9311664600839016 By then 4485128745120011. And so on
+then password=7602ad27cf5550de1c st and so on
+inly, password=0030ef94f364d8386a as before
+password=4e2d1e0e8462cf7b86 en it, password=bea36800c98e14e29c
+in the password=45ac953709720d07d9 of the day
+apikey=c1f6c02f845bf3028d and secret=9024a2d3a685958c46 were old
+user=a12b34 key=00ff12ab id=77c9
+note 12 (34) 5-6 and 7 (8) 9
+from 4.5 {phone|(661) 555-1234} to 6.7
+at 3 {phone|(523) 555-1055} 12 and so on
+see {phone|+1 (269) 555-3296} 4524132264652876 and 10
+2.5 (661) and 12 (3) are notes
 please ring {phone|(743) 555-3824} before noon
 her desk is {phone|(310) 555-4510}, ask for the office
 you can reach us at {phone|555-013-4477} or by post
