@@ -6,9 +6,12 @@ SCHEMA = ("doc_id long, text string, row string, fp long, kept string, part int,
           "n_chars long, k_id long, held_out string, ids string, words string")
 
 
+SYLLABLES = [a + b for a in "bcdfghlmnprstvz" for b in ("a", "en", "i", "or", "ü")]
+
+
 def prose(seed, words):
     rnd = random.Random(seed)
-    return " ".join("".join(rnd.choice(["th", "en", "ra", "só", "il", "ma"]) for _ in
+    return " ".join("".join(rnd.choice(SYLLABLES) for _ in
                             range(rnd.randint(1, 4))) for _ in range(words))
 
 
