@@ -148,3 +148,20 @@ def with_sample(conversations):
                                  F.col("turn").cast("int").alias("turn"), "role", "text")
     return table.unionByName(sample).select("conv_id", "turn", "role",
                                             text_parts(F.col("text")).alias("parts"))
+
+
+SQL = f"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{SAMPLE}' UNION ALL SELECT -1, 1, 'assistant', '{SAMPLE}')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+    AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+    AS loss_sha256,
+  sum({len(BEGIN + HEAD_END + END)} + length(regexp_replace(replace(role, chr(10), '<br>'),
+        '[\\\\\\[]', 'xx', 'g')) + length(regexp_replace(text, '[\\\\<\\[]', 'xx', 'g')))::BIGINT
+    AS formatted_chars
+FROM said GROUP BY conv_id
+"""

@@ -32,7 +32,7 @@ def document_fingerprints(spark, sf):
     return digests.fingerprints(table(spark, sf, "documents"))
 
 
-@register("op4_chat_formatting")
+@register("op4_chat_formatting", chat.SQL)
 def chat_formatting(spark, sf):
     return chat.digests(chat.format_chat(chat.with_sample(table(spark, sf, "conversations"))))
 
