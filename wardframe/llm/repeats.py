@@ -207,11 +207,11 @@ def _compare(width, keep_rule):
     def run(batches):
         group, size, last, place = ([], [], [], [], []), 0, None, None
         for batch in batches:
-            for m, c, n, p, o, part in zip(*(batch.column(k).to_pylist() for k in
-                                             ("m", "c", "n", "p", "o", "bytes"))):
-                if (m, o) == place:  # fetched from rows alike in id and text
+            for m, c, n, p, part in zip(*(batch.column(k).to_pylist() for k in
+                                          ("m", "c", "n", "p", "bytes"))):
+                if (m, c) == place:  # fetched from rows alike in id and text
                     continue
-                place = (m, o)
+                place = (m, c)
                 if size > BLOCK and m != last:
                     yield block(*group)
                     group, size = ([], [], [], [], []), 0
@@ -331,7 +331,8 @@ def repeated_spans(rows, width=WIDTH, keep="none"):
         "variants")
     hot = parts.groupBy("m").agg(F.count("*").alias("d")).filter(F.col("d") > GATHER)
     flags = parts.join(hot, "m", "left_anti").repartition("m").sortWithinPartitions(
-        "m", "o").mapInArrow(_compare(width, keep), "m long, c long, a int, b int").unionByName(
+        "m", "o", "c").drop("o").mapInArrow(
+        _compare(width, keep), "m long, c long, a int, b int").unionByName(
         _hot_flags(parts.join(hot, "m", "left_semi"), width, keep))
     flags = flags.groupBy("m", "c").agg(F.collect_list(F.struct("a", "b")).alias("flags"))
     verdicts = written(variants.join(flags, ["m", "c"], "left").filter(
