@@ -80,7 +80,8 @@ def _values(pairs):
 SQL = f"""
 WITH licences AS (SELECT sha256({_sql_form('t')}) AS digest, min(l) AS license
                   FROM (VALUES {_values(LICENCES)}) v(l, t) GROUP BY 1),
-known_notices AS (SELECT DISTINCT {_sql_form('t')} AS form, l FROM (VALUES {_values(NOTICES)}) v(l, t)),
+known_notices AS (SELECT DISTINCT {_sql_form('t')} AS form, l
+                  FROM (VALUES {_values(NOTICES)}) v(l, t)),
 whole AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM whole),
 found AS (SELECT doc_id, string_agg(DISTINCT l, ',' ORDER BY l) AS notices

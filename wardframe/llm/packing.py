@@ -135,11 +135,13 @@ def pack_tokens(tokens, length=LENGTH):
     start = F.greatest(F.col("sequence_id") * length - F.col("at"), F.lit(0).cast("long"))
     end = F.least((F.col("sequence_id") + 1) * length - F.col("at"), F.col("n"))
     pieces = pieces.select(
-        "doc_id", (F.col("first") + start).alias("start"), start.alias("within"), (end - start).alias("length"), "doc_tokens",
+        "doc_id", (F.col("first") + start).alias("start"), start.alias("within"),
+        (end - start).alias("length"), "doc_tokens",
         "sequence_id", (F.col("at") + start - F.col("sequence_id") * length).alias("offset"),
         "ids")
     return pieces.withColumn("ids", F.substring(
-        "ids", (F.col("within") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int"))).drop("within")
+        "ids", (F.col("within") * 4 + 1).cast("int"),
+        (F.col("length") * 4).cast("int"))).drop("within")
 
 
 def sequences(pieces, length=LENGTH, pad_id=0):
