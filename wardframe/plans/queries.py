@@ -1011,6 +1011,24 @@ def stream_stats(spark, sf):
     return run.drain_complete(scans.running_stats(judged), "stats")
 
 
+@register("stream_windows", f"WITH {X.ATTACKED_SQL}, "
+          f"{O.scan_cte('attacked', 'text')}, {O.pii_cte('scanned', 'text')}, "
+          f"r AS (SELECT *, {O.score(O.secret('text'), 'pcount', 'fcount', 'fconf')} AS "
+          f"risk_score FROM redacted), judged AS (SELECT *, {O.action('risk_score')} AS decision "
+          "FROM r) SELECT 1704067200 + (conv_id // 5) * 300 AS window_start, "
+          "count(*) AS total_requests, count(*) FILTER (WHERE decision = 'BLOCK') AS "
+          "blocked_requests, avg(risk_score) AS average_risk_score FROM judged GROUP BY 1")
+def stream_windows(spark, sf):
+    """Statistics of five-minute windows; a conversation starts every minute."""
+    turns = X.attacked_of(run.stream_table(spark, sf, "conversations"))
+    requests = _with(turns, messages=F.array(F.struct("role", F.col("text").alias("content"))))
+    judged = _with(scans.judge_requests(requests), latency_ms=F.length("text"),
+                   timestamp=F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 60))
+    rows = run.drain_complete(scans.windowed_stats(judged), "windows")
+    return rows.select(F.unix_seconds("window.start").alias("window_start"), "total_requests",
+                       "blocked_requests", "average_risk_score")
+
+
 @register("sql_functions", f"WITH {X.ATTACKED_SQL}, {O.scan_cte('attacked', 'text')}, "
           f"{O.pii_cte('scanned', 'text')}, "
           f"r AS (SELECT *, {O.score(O.secret('text'), 'pcount', 'fcount', 'fconf')} AS risk "
