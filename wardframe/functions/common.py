@@ -19,12 +19,8 @@ def micros_of(df: DataFrame, column: str) -> Column:
 
 
 def json_or_null(c) -> Column:
-    """JSON text of a nested column; a missing value is the JSON null."""
-    return F.coalesce(F.to_json(_col(c)), F.lit("null"))
-
-
-def list_json(c) -> Column:
-    """JSON text of a list as the event tables store it: missing is null, empty is []."""
+    """JSON text of a nested column as the event tables store it: a missing value is the JSON null,
+    an empty list is []."""
     return F.coalesce(F.to_json(_col(c)), F.lit("null"))
 
 
@@ -41,9 +37,3 @@ def has_scope(scopes, scope) -> Column:
 
 def key_hash(c) -> Column:
     return F.sha2(_col(c), 256)
-
-
-def retry_seconds(nanos) -> Column:
-    """Wait in whole seconds, half rounded up, at least one."""
-    n = _col(nanos)
-    return F.greatest(F.lit(1), F.floor((n + 500_000_000) / 1_000_000_000)).cast("int")

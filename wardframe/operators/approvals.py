@@ -83,6 +83,7 @@ def conflict_reason() -> Column:
     action, status, known = F.col("action"), F.col("prior_status"), F.col("known")
     resolving, ending = action.isin("approve", "reject"), action.isin("finish", "fail")
     need = _lookup(action, ATTEMPT_SCOPES)
+    # Texts of the refusals.
     return (
         F.when(~F.col("scope_ok"), F.concat(F.lit("required scope: "), need))
         .when(~F.col("role_ok"), "admin role required")

@@ -66,6 +66,7 @@ def judge_chat(requests: DataFrame, prompt="raw_prompt", service=None) -> DataFr
     df = scan.redact_pii(df, prompt, out="sanitized_prompt")
     df = score_risk(df)
     name = _service(service)
+    # Messages of the verdicts, here and in `judge_output`.
     return _with(
         df,
         status=F.when(F.col("decision") == "BLOCK", 403).otherwise(200),
@@ -129,9 +130,9 @@ def to_audit_events(judged: DataFrame) -> DataFrame:
     return judged.filter(~F.col("output_blocked") & ~F.col("provider_failed")).select(
         "request_id", "timestamp", "provider", "model", "decision", "risk_score", "severity",
         F.col("latency_ms").cast("long").alias("latency_ms"),
-        common.list_json("secret_findings").alias("secret_findings"),
-        common.list_json("pii_findings").alias("pii_findings"),
+        common.json_or_null("secret_findings").alias("secret_findings"),
+        common.json_or_null("pii_findings").alias("pii_findings"),
         F.when(F.col("injection_exempt"), F.lit("null")).otherwise(
-            common.list_json("injection_findings")).alias("injection_findings"),
+            common.json_or_null("injection_findings")).alias("injection_findings"),
         F.when(F.col("input_blocked"), F.lit("null")).otherwise(
             common.json_or_null(output)).alias("output_findings"))

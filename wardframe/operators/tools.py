@@ -66,6 +66,7 @@ def evaluate_tools(calls: DataFrame, internal_domain: str) -> DataFrame:
         quoted = F.concat(F.lit('"'), F.col(field), F.lit('"'))
         return F.concat(F.lit(prefix), quoted, F.lit(suffix))
 
+    # Decisions, reasons and risks of the policy.
     read = (
         F.when(analyst & F.col("_contact"),
                _verdict("DENY", "analysts cannot access customer contact fields", 80))

@@ -226,6 +226,7 @@ def guard_fold(capacity=CAPACITY, rate=RATE, threshold=THRESHOLD, cooldown_us=CO
                decay_us=DECAY_US) -> Fold:
     """Gate, then bucket, then the handler's status, then points, score and cooldown."""
     tracker = _Tracker(threshold, cooldown_us, decay_us)
+    # Reasons and outcomes.
     violations = {CHAT_PATH: "chat_security_block", RAG_CHAT_PATH: "rag_security_block"}
 
     def step(state, us, path, handler_status):

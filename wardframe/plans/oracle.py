@@ -30,6 +30,7 @@ RULES = (
      r"(?i)\b(révèle|revele|montre|affiche)\b.{0,50}"
      r"\b(prompt système|prompt systeme|instructions cachées|instructions cachees)\b"),
 )
+# Payload, quotation, discussion, personal-data and secret patterns.
 BASE64 = r"\b[A-Za-z0-9+/]{24,}={0,2}\b"
 QUOTED = "\"[^\"]*\"|'[^']*'"
 MARKERS = ("article says", "article states", "common attack phrase", "attack phrase",
