@@ -14,14 +14,25 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark):
+    """Whole texts come in Arrow batches of 2000 rows, unless the session asks for a number."""
+    if spark.conf.get(BATCH_ROWS) == "10000":  # the default
+        spark.conf.set(BATCH_ROWS, "2000")
+
+
 def texts(docs):
     """doc_id and text alone, null texts as empty ones: other columns cannot clash."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def packed(docs):
     """The whole row as one struct `row` beside doc_id and text as `texts` gives them."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                        F.struct("*").alias("row"))

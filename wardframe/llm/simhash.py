@@ -383,7 +383,7 @@ def near_groups(rows, size=5, seed=42):
     keys = own.select("id", *longs).mapInArrow(_parts, "key long, id long").repartition(
         "key").sortWithinPartitions("key").mapInArrow(_shared, "key long, id long")
     met = written(keys, "shared").join(own.select("id", *longs), "id")
-    edges = met.repartition("key").sortWithinPartitions("key").mapInArrow(
+    edges = met.repartition("key").sortWithinPartitions("key", "id").mapInArrow(
         _loose_links, "a long, b long")
     roots = components(edges)
     rooted = written(own.join(roots, own.id == roots.node, "left").select(
