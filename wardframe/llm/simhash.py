@@ -168,16 +168,20 @@ def _shared(batches):
 
 
 def _trees(longs, ids):
-    """(edges, one row of each tree) of the links among fingerprints of four longs."""
-    rest, edges, roots = np.arange(len(ids)), [], []
+    """(edges, one row of each tree) of the links among fingerprints of four longs.
+
+    The members of a tree hang on its smallest one, so that trees of the same group in other
+    buckets mostly give the same edges.
+    """
+    rest, edges, roots = np.argsort(ids, kind="stable"), [], []
     while len(rest):
-        roots.append(rest[0])
-        front, rest = [rest[0]], rest[1:]
+        root = rest[0]
+        roots.append(root)
+        front, rest = [root], rest[1:]
         while front and len(rest):
-            i = front.pop()
-            near = np.bitwise_count(longs[rest] ^ longs[i]).sum(1) <= LOOSE
+            near = np.bitwise_count(longs[rest] ^ longs[front.pop()]).sum(1) <= LOOSE
             got, rest = rest[near], rest[~near]
-            edges += [(ids[i], ids[j]) for j in got]
+            edges += [(ids[root], i) for i in ids[got]]
             front.extend(got.tolist())
     return edges, roots
 
