@@ -10,7 +10,7 @@ links, never all of its pairs. Buckets with more than `GATHER` fingerprints are
 there, each fingerprint is keyed by the other segment with three bits (two for a probe) masked
 out, and equal keys link through their smallest member, which loses no link.
 
-`near_groups` is the same idea for looser copies: 256 bits of five-word shingles, of which copies
+`one_of_each` is the same idea for looser copies: 256 bits of five-word shingles, of which copies
 with a similarity of 0.8 differ in about 39. They are cut into nine segments of 28 bits. Both
 sides enumerate the ball of radius one around each segment, so fingerprints meet where a segment
 differs in at most two bits; complete distances of at most `LOOSE` are links.
@@ -372,9 +372,8 @@ def near_duplicates(docs, size=3, seed=42):
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_groups(rows, size=5, seed=42):
-    """(marked, groups) of keyed rows, as `grouped` gives them, for links of loose fingerprints:
-    marked has each row's id, groups each id's root and the first row of the root's component."""
+def first_of_groups(rows, size=5, seed=42):
+    """(k_id, k_hash) of the first of each group of keyed rows that loose fingerprints link."""
     ensure_checkpoint_dir(rows.sparkSession)
     longs = [f"f{i}" for i in range(WORDS)]
     out = StructType([f for f in rows.select("doc_id", "k_id", "k_hash").schema])
@@ -390,10 +389,10 @@ def near_groups(rows, size=5, seed=42):
     edges = met.repartition("key").sortWithinPartitions("key", "id").mapInArrow(
         _loose_links, "a long, b long")
     roots = components(edges)
-    rooted = written(own.join(roots, own.id == roots.node, "left").select(
-        "id", "first", F.coalesce("root", "id").alias("root")), "roots")
-    best = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    return marked, rooted.select("id", "root").join(best, "root")
+    rooted = own.join(roots, own.id == roots.node, "left").select(
+        "first", F.coalesce("root", "id").alias("root"))
+    return rooted.groupBy("root").agg(F.min("first").alias("first")).select(
+        "first.k_id", "first.k_hash")
 
 
 def one_of_each(docs, size=5, seed=42):
@@ -402,8 +401,6 @@ def one_of_each(docs, size=5, seed=42):
     id the first by text hash, of rows alike in id and text any one. Texts without words are
     copies of each other."""
     rows = keyed(packed(docs))
-    _, groups = near_groups(rows, size, seed)
-    first = groups.groupBy("root").agg(F.min("first").alias("first")).select(
-        "first.k_id", "first.k_hash")
+    first = first_of_groups(rows, size, seed)
     return unpacked(rows.select("row", "k_id", "k_hash").join(
         first, ["k_id", "k_hash"]).dropDuplicates(["k_id", "k_hash"]))
