@@ -122,11 +122,11 @@ def tokenize(docs, path, end_id=END_ID):
 def pack_tokens(tokens, length=LENGTH):
     """Pieces of the windows: doc_id, start, length, doc_tokens, sequence_id, offset, ids."""
     totals = tokens.groupBy("part").agg(F.sum("n").alias("n"))
-    # one row per part of the token table, whatever the parts hold
+    # one row per part of the token table, whatever the parts hold: small enough to broadcast
     base = totals.select("part", F.coalesce(F.sum("n").over(
         Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0).cast("long")).alias("base"))
-    placed = tokens.join(base, "part").select(
+    placed = tokens.join(F.broadcast(base), "part").select(
         "doc_id", "first", "n", "doc_tokens", "ids", (F.col("base") + F.col("before")).alias("at"))
     first = F.expr(f"at div {length}")
     last = F.expr(f"(at + n - 1) div {length}")
