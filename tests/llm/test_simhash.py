@@ -128,6 +128,25 @@ def test_near_copies_meet(spark, gather, monkeypatch):
     assert simhash.one_of_each(cases.documents(spark, mixed)).count() == 40
 
 
+def edited(rnd, words, times):
+    words = list(words)
+    for at in rnd.sample(range(len(words)), times):
+        words[at] = f"new{rnd.randint(0, 9999)}"
+    return " ".join(words)
+
+
+def test_pairs_alone_meet(spark):
+    """Every isolated pair of a similarity of 0.80 to 0.85 is found."""
+    rnd, texts = random.Random(80), []
+    while len(texts) < 600:
+        words = cases.prose(rnd.random(), rnd.choice((110, 410))).split()
+        pair = " ".join(words), edited(rnd, words, max(1, len(words) // 48))
+        if 0.8 <= jaccard(*pair) <= 0.85:
+            texts += [(len(texts), pair[0]), (len(texts) + 1, pair[1])]
+    kept = {r.doc_id for r in simhash.one_of_each(cases.documents(spark, texts)).collect()}
+    assert kept == set(range(0, 600, 2))
+
+
 def test_shared_keys_across_batches():
     import numpy as np
     import pyarrow as pa
