@@ -147,6 +147,17 @@ def test_pairs_alone_meet(spark):
     assert kept == set(range(0, 600, 2))
 
 
+def test_less_similar_pairs_stay(spark):
+    """No pair below 0.8 is linked, however near its fingerprints are."""
+    rnd, texts = random.Random(70), []
+    while len(texts) < 400:
+        words = cases.prose(rnd.random(), rnd.choice((110, 410))).split()
+        pair = " ".join(words), edited(rnd, words, max(3, len(words) // 30))
+        if 0.6 <= jaccard(*pair) < 0.8:
+            texts += [(len(texts), pair[0]), (len(texts) + 1, pair[1])]
+    assert simhash.one_of_each(cases.documents(spark, texts)).count() == 400
+
+
 def test_shared_keys_across_batches():
     import numpy as np
     import pyarrow as pa
