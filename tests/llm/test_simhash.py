@@ -158,6 +158,25 @@ def test_less_similar_pairs_stay(spark):
     assert simhash.one_of_each(cases.documents(spark, texts)).count() == 400
 
 
+@pytest.mark.parametrize("gather", [1 << 14, 3])
+def test_hot_groups_lose_no_link(spark, gather, monkeypatch):
+    """Chains of near copies with one rare beginning: only neighbours are alike enough."""
+    monkeypatch.setattr(simhash, "GATHER", gather)
+    rnd, chains = random.Random(31), []
+    for g in range(4):
+        words = cases.prose(g, 170).split()
+        places = rnd.sample(range(50, 170), 90)
+        for k in range(30):
+            chains.append(" ".join(words))
+            for at in places[3 * k:3 * k + 3]:
+                words[at] = f"new{g}x{k}"
+    rnd.shuffle(chains)
+    same = slow_components(chains, lambda a, b: jaccard(a, b) >= 0.8)
+    texts = list(enumerate(chains))
+    kept = {r.doc_id for r in simhash.one_of_each(cases.documents(spark, texts)).collect()}
+    assert kept == {same.index(g) for g in set(same)}
+
+
 def test_shared_keys_across_batches():
     import numpy as np
     import pyarrow as pa
