@@ -9,13 +9,6 @@ verified there. Equal fingerprints are one row from the start. A bucket yields a
 links, never all of its pairs. Buckets with more than `GATHER` fingerprints are not gathered:
 there, each fingerprint is keyed by the other segment with three bits (two for a probe) masked
 out, and equal keys link through their smallest member, which loses no link.
-
-`one_of_each` links looser copies: texts whose sets of five-word shingles have a Jaccard similarity
-of 0.8 or more. Two such sets share at least 0.8 of the larger one, so under any common
-order of the shingles their first fifths share one (prefix filter); shingles that many texts of a
-sample have come last in this order. Texts that share a key are compared by size and by 256-bit
-fingerprints, which spares texts far apart the comparison of the sets themselves (over six standard
-deviations from pairs at 0.8, so a miss is possible but improbable).
 """
 
 from itertools import combinations
@@ -34,15 +27,6 @@ DISTANCE = 3
 GATHER = 16384
 _SHIFTS = np.arange(64, dtype=np.uint64)
 
-WORDS = 4  # longs of a loose fingerprint
-#: Smallest similarity of linked texts, as a fraction.
-ALIKE, OF = 4, 5
-#: Bits of 256 in which fingerprints of compared sets differ at most. At 0.8 about 39 differ, 48 in
-#: the worst of small sets; 88 is over six standard deviations from both.
-FAR = 88
-#: One text in so many is looked through for common shingles, those that so many of these have.
-SAMPLE, COMMON, MOST_COMMON = 64, 8, 1 << 20
-
 
 def fingerprint(words, size=3, seed=42):
     """SimHash of the XXH64 of all word shingles; zero without words."""
@@ -111,202 +95,6 @@ def _segments(batches):
                 ["key", "fp", "probe"])
 
 
-def shingle_set(words, size=5, seed=42):
-    """The sorted distinct hashes of a text's shingles; none without words."""
-    return np.unique(_hashes(words, size, seed)) if words else np.zeros(0, np.uint64)
-
-
-def loose_fingerprint(h):
-    """256 bits as four longs, of four mixes of each hash of a set; zeros without any."""
-    out = []
-    for _ in range(WORDS):
-        out.append(_majority(h))
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
-        h ^= h >> np.uint64(28)
-    return np.array(out, np.uint64)
-
-
-def prefix(h, common):
-    """The first hashes of a set, common ones last: sets alike enough share one of these."""
-    n = len(h)
-    if not n:
-        return h
-    if len(common):
-        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-        often = common[at] == h
-        h = np.concatenate([h[~often], h[often]])
-    return h[:n + 1 - (ALIKE * n + OF - 1) // OF]
-
-
-def _text_sets(batches, size, seed):
-    """Each batch cut small, with the shingle sets of its texts."""
-    for batch in small_batches(batches):
-        data, ends = raw(batch.column("text"))
-        data = data.tobytes()
-        yield batch, [shingle_set(data[a:b].lower().split(), size, seed)
-                      for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-
-
-def _beside(batch, names, arrays):
-    """The batch without its text, with further columns."""
-    keep = [i for i, k in enumerate(batch.schema.names) if k != "text"]
-    return pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + arrays,
-                                      [batch.schema.names[i] for i in keep] + names)
-
-
-def _longs(values):
-    return pa.array(np.asarray(values, np.uint64).view(np.int64))
-
-
-def _marks(size, seed, common):
-    """id, n, prefix and fingerprint of the set of each text."""
-    def run(batches):
-        for batch, sets in _text_sets(batches, size, seed):
-            ids = [xxhash.xxh64_intdigest(h.tobytes(), seed) for h in sets]
-            fps = np.array([loose_fingerprint(h) for h in sets])
-            yield _beside(batch, ["id", "n", "prefix"] + [f"f{i}" for i in range(WORDS)], [
-                _longs(ids), _longs([len(h) for h in sets]),
-                pa.array([prefix(h, common.value).tobytes() for h in sets], pa.binary()),
-                *(_longs(fps[:, i].copy()) for i in range(WORDS))])
-    return run
-
-
-def _whole_sets(size, seed):
-    def run(batches):
-        for batch, sets in _text_sets(batches, size, seed):
-            yield _beside(batch, ["hashes"], [pa.array([h.tobytes() for h in sets], pa.binary())])
-    return run
-
-
-def _all_hashes(size, seed):
-    def run(batches):
-        for _, sets in _text_sets(batches, size, seed):
-            yield pa.RecordBatch.from_arrays([_longs(np.concatenate(sets))], ["key"])
-    return run
-
-
-def common_shingles(rows, size=5, seed=42):
-    """Sorted hashes of shingles that many texts of a sample have. They decide the order of the
-    shingles alone: any result finds the same links."""
-    part = rows.filter(F.pmod("k_hash", F.lit(SAMPLE)) == 0).select("k_hash", "text") \
-        .dropDuplicates(["k_hash"]).select("text")
-    got = part.mapInArrow(_all_hashes(size, seed), "key long").groupBy("key").agg(
-        F.count("*").alias("d")).filter(F.col("d") >= COMMON).orderBy(
-        F.desc("d"), "key").limit(MOST_COMMON).select("key").toArrow()
-    return np.sort(got.column("key").combine_chunks().to_numpy(zero_copy_only=False)
-                   .astype(np.int64).view(np.uint64))
-
-
-def _prefix_keys(batches):
-    """(key, id) of every prefix."""
-    for batch in batches:
-        if batch.num_rows:
-            data, ends = raw(batch.column("prefix"))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(data.tobytes(), np.int64)),
-                 pa.array(np.repeat(batch.column("id").to_numpy(), np.diff(ends) // 8))],
-                ["key", "id"])
-
-
-def _shared(batches):
-    """Rows whose key comes twice or more; rows come sorted by key."""
-    last, passed = None, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, ids = (batch.column(c).to_numpy() for c in ("key", "id"))
-        same = key[1:] == key[:-1]
-        before = np.concatenate([[last is not None and last[0] == key[0]], same])
-        keep = before | np.concatenate([same, [False]])
-        out = [key[keep], ids[keep]]
-        if before[0] and not passed:
-            out = [np.append(x, y) for x, y in zip(last, out)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "id"])
-        last, passed = (key[-1], ids[-1]), bool(keep[-1])
-
-
-def _columns(batch):
-    longs = np.stack([batch.column(f"f{i}").to_numpy() for i in range(WORDS)], 1).view(np.uint64)
-    return [batch.column(c).to_numpy() for c in ("key", "id", "n", "label")] + [longs]
-
-
-def _comparable(n, longs, m, others):
-    """Whether two sets (or one and many) can be alike, by size and fingerprint."""
-    ok = OF * np.minimum(n, m) >= ALIKE * np.maximum(n, m)
-    return ok & (np.bitwise_count(longs ^ others).sum(1) <= FAR)
-
-
-def _pair_rows(a, b):
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()),
-                                       pa.array(pairs[:, 1].copy())], ["a", "b"])
-
-
-def _stars(batches):
-    """Pairs of each bucket's first member with those of other labels; rows come sorted by key."""
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = _columns(batch)
-        if last is not None:
-            cols = [np.concatenate([x, y]) for x, y in zip(last, cols)]
-        key, ids, n, label, longs = cols
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
-        head = np.repeat(cuts, np.diff(np.append(cuts, len(key))))
-        ok = (label != label[head]) & _comparable(n, longs, n[head], longs[head])
-        yield _pair_rows(ids[head[ok]], ids[ok])
-        last = [c[cuts[-1]:cuts[-1] + 1] for c in cols]
-
-
-def _pairs(batches):
-    """Pairs of other labels in each bucket; rows come sorted by key."""
-    def pairs(key, ids, n, label, longs):
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-        end, at, step = np.repeat(cuts[1:], np.diff(cuts)), np.arange(len(key)), 1
-        found, held = [], 0
-        while True:
-            at = at[at + step < end[at]]
-            if not len(at):
-                break
-            i = at[label[at] != label[at + step]]
-            i = i[_comparable(n[i], longs[i], n[i + step], longs[i + step])]
-            found.append((ids[i], ids[i + step]))
-            held += len(i)
-            if held > 1_000_000:
-                yield _pair_rows(*map(np.concatenate, zip(*found)))
-                found, held = [], 0
-            step += 1
-        if held:
-            yield _pair_rows(*map(np.concatenate, zip(*found)))
-
-    held = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = _columns(batch)
-        if held and held[0][0][0] == cols[0][-1]:
-            held.append(cols)
-            continue
-        cols = [np.concatenate(x) for x in zip(*held, cols)]
-        cut = int(np.searchsorted(cols[0], cols[0][-1]))
-        yield from pairs(*(c[:cut] for c in cols))
-        held = [[c[cut:] for c in cols]]
-    if held:
-        yield from pairs(*(np.concatenate(x) for x in zip(*held)))
-
-
-def _alike(batches):
-    """The pairs whose sets are alike enough."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x"), batch.column("y")):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(OF * both >= ALIKE * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def forest(exact, probes):
     """Edges that connect what links of at most three bits connect: exact-exact, exact-probe.
 
@@ -446,74 +234,12 @@ def near_duplicates(docs, size=3, seed=42):
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def verified(pairs, rows, own, size=5, seed=42):
-    """The pairs(a, b) of ids of own(id, first, ...) whose shingle sets are alike enough."""
-    pairs = written(pairs.distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-    named = own.join(ids, "id", "left_semi").select("id", "first.k_id", "first.k_hash")
-    sets = written(rows.select("k_id", "k_hash", "text").join(named, ["k_id", "k_hash"]).select(
-        "id", "text").dropDuplicates(["id"]).mapInArrow(
-        _whole_sets(size, seed), "id long, hashes binary"), "shingles")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-    return written(both.mapInArrow(_alike, "a long, b long"), "links")
-
-
-def dealt(met):
-    """The rows of buckets of several labels. A bucket with more than `GATHER` rows is cut into
-    blocks, and each two of them are a bucket of their own: every member meets every other."""
-    sizes = met.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"),
-                                   F.count("*").alias("d")).filter("x <> y").select(
-        "key", F.ceil(F.col("d") / GATHER).alias("blocks"))
-    rows = met.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
-                      lambda j: (F.col("blocks") == 1) | (j != F.col("block")))
-    return rows.withColumn("other", F.explode(others)).withColumn("key", F.when(
-        F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64(
-            "key", F.least("block", "other"), F.greatest("block", "other")))).drop(
-        "blocks", "block", "other")
-
-
-def first_of_groups(rows, size=5, seed=42):
-    """(k_id, k_hash) of the first of each group of keyed rows that similar shingles link."""
-    spark = rows.sparkSession
-    ensure_checkpoint_dir(spark)
-    common = spark.sparkContext.broadcast(common_shingles(rows, size, seed))
-    longs = [f"f{i}" for i in range(WORDS)]
-    out = StructType([f for f in rows.select("doc_id", "k_id", "k_hash").schema]).add(
-        "id", "long").add("n", "long").add("prefix", "binary")
-    for name in longs:
-        out = out.add(name, "long")
-    marked = rows.select("doc_id", "k_id", "k_hash", "text").mapInArrow(
-        _marks(size, seed, common), out)
-    own = written(marked.groupBy("id").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "k_id", "k_hash")).alias("first"),
-        *(F.first(c).alias(c) for c in ["n", "prefix", *longs])), "distinct")
-    keys = own.select("id", "prefix").mapInArrow(_prefix_keys, "key long, id long").repartition(
-        "key").sortWithinPartitions("key").mapInArrow(_shared, "key long, id long")
-    met = written(written(keys, "shared").join(own.select("id", "n", *longs), "id"), "met")
-    stars = met.withColumn("label", F.col("id")).repartition("key").sortWithinPartitions(
-        "key", "id").mapInArrow(_stars, "a long, b long")
-    edges = verified(stars, rows, own, size, seed)
-    roots = components(edges)
-    met = met.join(roots, met.id == roots.node, "left").select(
-        met["*"], F.coalesce("root", "id").alias("label"))
-    pairs = dealt(met).repartition("key").sortWithinPartitions("key").mapInArrow(
-        _pairs, "a long, b long")
-    edges = edges.unionAll(verified(pairs, rows, own, size, seed))
-    roots = components(edges)
-    rooted = own.join(roots, own.id == roots.node, "left").select(
-        "first", F.coalesce("root", "id").alias("root"))
-    return rooted.groupBy("root").agg(F.min("first").alias("first")).select(
-        "first.k_id", "first.k_hash")
-
-
-def one_of_each(docs, size=5, seed=42):
-    """All columns of one document of each group of near copies, which links of texts with a
-    similarity of five-word shingles of 0.8 or more connect: the smallest doc_id's, a null one
-    last; of rows alike in id the first by text hash, of rows alike in id and text any one. Texts
-    without words are copies of each other."""
+def one_of_each(docs, size=3, seed=42):
+    """All columns of one document of each group that links of three bits or fewer connect: the
+    smallest doc_id's, a null one last; of rows alike in id the first by text hash, of rows alike
+    in id and text any one. Texts without words are copies of each other."""
     rows = keyed(packed(docs))
-    first = first_of_groups(rows, size, seed)
+    _, groups = grouped(rows, size, seed)
+    first = groups.select("first.k_id", "first.k_hash").distinct()
     return unpacked(rows.select("row", "k_id", "k_hash").join(
         first, ["k_id", "k_hash"]).dropDuplicates(["k_id", "k_hash"]))
