@@ -26,7 +26,8 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group of linked fingerprints: the smallest id's, a null id last."""
+    """One document of each group of fingerprints that links of three bits or fewer connect: the
+    smallest id's, a null id last."""
     return simhash.one_of_each(docs)
 
 
