@@ -1,6 +1,6 @@
 """One registered query per operator, each over its whole table with production parameters."""
 
-from . import (chat, digests, langmodel, licences, packing, pieces, pii, quality, repeats,
+from . import (chat, digests, infill, langmodel, licences, packing, pieces, pii, quality, repeats,
                simhash)
 from .common import table, vocabulary
 
@@ -19,7 +19,7 @@ def register(name, sql=None):
 
 @register("op1_suffix_array_dedup")
 def suffix_array_dedup(spark, sf):
-    return repeats.remove_repeats(table(spark, sf, "documents")).drop("kept")
+    return repeats.remove_repeats(table(spark, sf, "documents"))
 
 
 @register("op2_simhash_near_dedup")
@@ -66,3 +66,8 @@ def lm_scoring(spark, sf):
 @register("op10_packing")
 def packed(spark, sf):
     return packing.pack(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@register("op11_fill_in_middle", infill.SQL)
+def fill_in_middle(spark, sf):
+    return infill.digests(infill.fill_in_middle(table(spark, sf, "documents")))

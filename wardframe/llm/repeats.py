@@ -292,18 +292,17 @@ def _cut(as_text=False):
                 out["n_bytes"].append(int(ends[i + 1] - ends[i]))
                 out["n_removed"].append(int(ends[i + 1] - ends[i]) - len(kept))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                out["kept"].append(kept)
+                out["kept"].append(kept.decode("utf-8", "ignore"))
             names = [k for k in batch.schema.names if k not in ("text", "spans")]
             own = [batch.column(k) for k in names]
             if as_text:
                 yield pa.RecordBatch.from_arrays(
-                    own + [pa.array([x.decode("utf-8", "ignore") for x in out["kept"]],
-                                    pa.string())], names + ["text"])
+                    own + [pa.array(out["kept"], pa.string())], names + ["text"])
                 continue
             yield pa.RecordBatch.from_arrays(
                 own + [pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")]
-                + [pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept"], pa.binary())],
-                names + list(out))
+                + [pa.array(out[k], pa.string()) for k in ("kept_sha256", "kept")],
+                names + ["n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
     return run
 
 
@@ -350,7 +349,8 @@ def repeated_spans(rows, width=WIDTH, keep="none"):
 
 
 def remove_repeats(docs, width=WIDTH, keep="none"):
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) of every document.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text of every document. The digest is of
+    the bytes that stay; the text drops a character's rest where a cut runs through it.
 
     keep="none" removes every byte that a repeated window covers, in all its places;
     keep="first" leaves the first place of each window, in order of (doc_id, text hash,
@@ -362,7 +362,7 @@ def remove_repeats(docs, width=WIDTH, keep="none"):
     spans = repeated_spans(rows, width, keep)
     return rows.join(spans, ["k_id", "k_hash"], "left").select("doc_id", "text", "spans") \
         .mapInArrow(_cut(), "doc_id long, n_bytes long, n_removed long, n_spans long, "
-                                 "kept_sha256 string, kept binary")
+                                 "kept_sha256 string, text string")
 
 
 def without_repeats(docs, width=WIDTH):
