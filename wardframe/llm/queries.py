@@ -1,7 +1,7 @@
 """One registered query per operator, each over its whole table with production parameters."""
 
 from . import (chat, digests, infill, langmodel, licences, packing, pieces, pii, quality, repeats,
-               simhash)
+               simhash, spelling)
 from .common import table, vocabulary
 
 QUERIES = {}
@@ -71,3 +71,8 @@ def packed(spark, sf):
 @register("op11_fill_in_middle", infill.SQL)
 def fill_in_middle(spark, sf):
     return infill.digests(infill.fill_in_middle(table(spark, sf, "documents")))
+
+
+@register("op12_spelling_variants")
+def spelling_variants(spark, sf):
+    return spelling.spelling_variants(table(spark, sf, "documents"))
