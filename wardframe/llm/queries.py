@@ -1,7 +1,7 @@
 """One registered query per operator, each over its whole table with production parameters."""
 
 from . import (chat, digests, infill, langmodel, licences, packing, pieces, pii, quality, repeats,
-               simhash, spelling)
+               simhash, spelling, token_files)
 from .common import table, vocabulary
 
 QUERIES = {}
@@ -76,3 +76,9 @@ def fill_in_middle(spark, sf):
 @register("op12_spelling_variants")
 def spelling_variants(spark, sf):
     return spelling.spelling_variants(table(spark, sf, "documents"))
+
+
+@register("op13_token_files")
+def id_files(spark, sf):
+    return token_files.documents(token_files.write_files(
+        table(spark, sf, "documents"), vocabulary("word_bpe_49k.json")))
