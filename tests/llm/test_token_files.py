@@ -41,7 +41,7 @@ def test_documents(spark, shard, bucket):
     want = slow(texts)
     assert sorted(got) == sorted(want)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
-        f"{files.folder}/ids").orderBy(
+        f"{files.folder}/data/kind=ids").orderBy(
         F.regexp_extract("path", "shard=([0-9]+)", 1).cast("long")).collect()
     assert all(bytes(r.content[-1:]) == b"\n" for r in raw)
     ids = np.frombuffer(b"".join(bytes(r.content[:-1]) for r in raw), files.kind)

@@ -2,16 +2,19 @@
 
 Documents lie in ascending order of their keys (doc_id, number among rows of one id). A folder has
 
-* `ids/shard=N/`: one file of raw little-endian ids, documents back to back, 16 bits each if the
-  vocabulary allows, else 32, and a newline at its end. Shards follow each other by number.
+* `data/kind=ids/shard=N/`: one file of raw little-endian ids, documents back to back, 16 bits each
+  if the vocabulary allows, else 32, and a newline at its end. Shards follow each other by number.
+* `data/kind=docs/shard=N/`: the documents of a shard in order, likewise (`DOC`).
+* `keys/`: keys and places of all documents as Parquet.
 * `index/bucket=N/`: for the keys of a hash bucket a minimal perfect hash function, then for every
   key, by its number, a fingerprint and the place of the document: its shard, the ids before it in
   the shard and in all, and its length. A newline ends the file.
-* `keys/`: the keys as Parquet.
 
 Whoever has a key hashes it to its bucket, asks the function for its number and finds the place
 there: no search, whatever the number of documents. The fingerprint tells unknown keys. All files
-are written and read by Spark's own writers and readers, so any store will do.
+are written and read by Spark's own writers and readers, so any store will do. Texts cross one
+shuffle on their way to the files, and the files' content one on its way to those who ask, both
+compressed.
 """
 
 import math
@@ -20,22 +23,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.session import new_folder
-from .common import raw, small_batches, texts, written
+from .common import raw, small_batches, texts
 from .packing import END_ID, encoder
 from .perfect import PerfectHash, fingerprints
 
 #: Ids of a shard, beyond which it ends after the current document.
 SHARD = 1 << 22
-#: Bytes of ids that one task sorts.
-PART_BYTES = 64 << 20
+#: Bytes of texts that one task puts in order, on average.
+PART_BYTES = 128 << 20
 #: Documents of one index file, on average.
 BUCKET = 1 << 18
 
+#: A document of a shard: its key (`null` for a null doc_id), the ids before it there, its ids.
+DOC = np.dtype([("null", "?"), ("doc_id", "<i8"), ("k", "<i8"), ("offset", "<i8"), ("n", "<i8")])
 _SLOT = np.dtype([("mark", "<u4"), ("shard", "<i8"), ("offset", "<i8"), ("start", "<i8"),
                   ("n", "<i8")])
 _U = np.uint64
@@ -46,59 +52,41 @@ def id_type(path, end_id=END_ID):
     return "<u2" if max(encoder(path).whole.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
 
 
-def _binary(data, ends):
-    """A column of byte strings that lie back to back."""
-    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [
-        None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
-
-
-def _encoded(path, end_id, kind):
-    end, step = np.array([end_id], "<u4").tobytes(), np.dtype(kind).itemsize
-
+def _pressed(column, level):
+    """Rows with the bytes of a column compressed, and the row's number where there is none."""
     def run(batches):
-        encode, row = encoder(path), TaskContext.get().partitionId() << 40
-        for batch in small_batches(batches, 4 << 20):
-            ids = encode(batch.column("text").to_pylist())
-            n = np.fromiter((len(x) // 4 + 1 for x in ids), np.int64, len(ids))
-            data = np.frombuffer(b"".join(x + end for x in ids), "<u4").astype(kind)
-            ends = np.concatenate([[0], np.cumsum(n)]) * step
+        press, row = zstandard.ZstdCompressor(level=level), TaskContext.get().partitionId() << 40
+        for batch in batches:
+            names = batch.schema.names
+            z = [v if v is None else press.compress(v.as_py().encode() if column == "text"
+                                                    else v.as_buffer().to_pybytes())
+                 for v in batch.column(column)]
+            out = [pa.array(z, pa.binary()) if c == column else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("hash"),
-                 pa.array(row + np.arange(len(n))), pa.array(n), _binary(data, ends)],
-                ["doc_id", "hash", "row", "n", "ids"])
-            row += len(n)
+                out + [pa.array(row + np.arange(len(z)))], [*names, "row"])
+            row += len(z)
     return run
 
 
-_SHARDS = pa.schema([("shard", pa.int64()), ("ids", pa.binary()), ("n", pa.int64()),
-                     ("docs", pa.list_(pa.struct([
-                         ("doc_id", pa.int64()), ("k", pa.int64()), ("offset", pa.int64()),
-                         ("n", pa.int64())]))),
-                     ("runs", pa.list_(pa.struct([("doc_id", pa.int64()), ("rows", pa.int64())])))])
-_SHARD_ROWS = ("shard long, ids binary, n long, "
-               "docs array<struct<doc_id: long, k: long, offset: long, n: long>>, "
-               "runs array<struct<doc_id: long, rows: long>>")
+def _shards(path, end_id, kind, size):
+    """(kind, shard, line): the two files of each shard of a part whose rows come in order."""
+    end = np.array([end_id], "<u4").tobytes()
 
-
-def _shards(size):
-    """One row for each shard of a part whose rows come in order. `runs` has the shard's first
-    doc_id and, if it is another one, its last, with their rows."""
     def run(batches):
-        number = TaskContext.get().partitionId() << 24
-        ids, docs, total, last, k = [], [], 0, None, 0
+        encode, press = encoder(path), zstandard.ZstdDecompressor()
+        number, last, k = TaskContext.get().partitionId() << 24, None, 0
+        ids, docs, total = [], [], 0
 
         def done():
-            first, end = docs[0]["doc_id"], docs[-1]["doc_id"]
-            runs = [{"doc_id": i, "rows": sum(d["doc_id"] == i for d in docs)}
-                    for i in ([first] if first == end else [first, end])]
-            return pa.RecordBatch.from_pylist(
-                [{"shard": number, "ids": b"".join(ids), "n": total, "docs": docs, "runs": runs}],
-                _SHARDS)
-
-        for batch in batches:
-            data, ends = raw(batch.column("ids"))
-            for i, n, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(),
-                                  ends[:-1].tolist(), ends[1:].tolist()):
+            data = np.frombuffer(b"".join(ids), "<u4").astype(kind)
+            return pa.RecordBatch.from_pydict(
+                {"kind": ["docs", "ids"], "shard": [number] * 2,
+                 "line": [np.array(docs, DOC).tobytes(), data.tobytes()]},
+                pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("line", pa.binary())]))
+
+        for batch in small_batches(batches, 2 << 20):
+            texts_ = [press.decompress(z).decode() for z in batch.column("text").to_pylist()]
+            for i, x in zip(batch.column("doc_id").to_pylist(), encode(texts_)):
                 if total >= size:
                     yield done()
                     number += 1
@@ -106,14 +94,52 @@ def _shards(size):
                 # a shard counts the rows of an id anew: `places` adds those before it
                 k = k + 1 if docs and last == (i,) else 0
                 last = (i,)
-                docs.append({"doc_id": i, "k": k, "offset": total, "n": n})
-                ids.append(data[a:b].tobytes())
+                n = len(x) // 4 + 1
+                docs.append((i is None, i or 0, k, total, n))
+                ids += x, end
                 total += n
         if docs:
             yield done()
     return run
 
 
+_DOCS = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int64()),
+                   ("offset", pa.int64()), ("n", pa.int64())])
+_RUNS = pa.schema([("shard", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()),
+                   ("rows", pa.int64()), ("ids", pa.int64())])
+
+
+def _doc_rows(batches):
+    """The documents of shards from their files."""
+    for batch in batches:
+        for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content")):
+            docs = np.frombuffer(content.as_buffer().to_pybytes(), DOC)
+            for at in range(0, len(docs), 1 << 16):
+                part = docs[at:at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(part), shard)),
+                     pa.array(part["doc_id"].copy(), mask=part["null"].copy())]
+                    + [pa.array(part[c].copy()) for c in ("k", "offset", "n")], schema=_DOCS)
+
+
+def _run_rows(batches):
+    """Of each shard its first doc_id and, if it is another one, its last, with their rows; the
+    first with the ids of the shard."""
+    for batch in batches:
+        out = []
+        for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content")):
+            docs = np.frombuffer(content.as_buffer().to_pybytes(), DOC)
+            keys = docs[["null", "doc_id"]]
+            total = int(docs["offset"][-1] + docs["n"][-1])
+            for at, key in enumerate(keys[[0, -1]]):
+                if at and key == keys[0]:
+                    continue
+                out.append({"shard": shard, "at": at, "rows": int((keys == key).sum()),
+                            "doc_id": None if key["null"] else int(key["doc_id"]),
+                            "ids": 0 if at else total})
+        yield pa.RecordBatch.from_pylist(out, _RUNS)
+
+
 def _index(batches):
     """(bucket, index file) of keys that come sorted by bucket."""
     now, held = None, []
@@ -154,10 +180,17 @@ def hashed(keys, buckets):
     return keys.withColumns({"a": a, "b": b, "bucket": F.pmod(a, F.lit(buckets).cast("long"))})
 
 
-def _raw_files(df, column, content, folder):
+def _raw_files(df, columns, content, folder):
     """One file of raw bytes for each row; the writer ends it with a newline."""
-    df.select(column, F.col(content).cast("string").alias("line")).write.partitionBy(
-        column).option("compression", "none").text(folder)
+    df.select(*columns, F.col(content).cast("string").alias("line")).write.partitionBy(
+        *columns).option("compression", "none").text(folder)
+
+
+def _contents(spark, folder, column):
+    """(number, content) of all files of a folder, without the newline."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
+        folder).select(F.regexp_extract("path", f"{column}=([0-9]+)", 1).cast("long").alias(column),
+                       F.expr("substring(content, 1, length - 1)").alias("content"))
 
 
 @dataclass
@@ -171,15 +204,10 @@ class TokenFiles:
 
     def keys(self) -> DataFrame:
         """(doc_id, k) of all documents."""
+        if not self.buckets:
+            return self.spark.createDataFrame([], "doc_id long, k long")
         return self.spark.read.schema("doc_id long, k long").parquet(f"{self.folder}/keys")
 
-    def _contents(self, name, column):
-        """(number, content) of all files of a kind, without the newline."""
-        return self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
-            f"{self.folder}/{name}").select(
-            F.regexp_extract("path", f"{column}=([0-9]+)", 1).cast("long").alias(column),
-            F.expr("substring(content, 1, length - 1)").alias("content"))
-
     def find(self, keys) -> DataFrame:
         """doc_id, k, shard, offset, start, n of each row of keys(doc_id, k); null places where
         the index has no such key (with a chance of 2 ** -32, a wrong place)."""
@@ -188,7 +216,7 @@ class TokenFiles:
                                                 ("shard", "offset", "start", "n")))
         asked = hashed(keys.select("doc_id", "k"), self.buckets).withColumn(
             "content", F.lit(None).cast("binary"))
-        files = self._contents("index", "bucket")
+        files = _contents(self.spark, f"{self.folder}/index", "bucket")
         both = asked.select("bucket", F.lit(1).alias("ask"), "doc_id", "k", "a", "b", "content") \
             .unionByName(files.select("bucket", F.lit(0).alias("ask"), "content"),
                          allowMissingColumns=True)
@@ -198,11 +226,15 @@ class TokenFiles:
     def read(self, places, digest=False) -> DataFrame:
         """doc_id, k, start, n and ids of found places: little-endian 32-bit ids, or with
         `digest` their unsigned crc32 as ids_crc32. Rows without a place are left out."""
+        if not self.buckets:
+            return places.select("doc_id", "k", "start", "n", F.lit(None).cast(
+                "long" if digest else "binary").alias("ids_crc32" if digest else "ids"))
+        files = _contents(self.spark, f"{self.folder}/data/kind=ids", "shard").mapInArrow(
+            _pressed("content", 3), "shard long, content binary, row long").drop("row")
         both = places.filter("shard IS NOT NULL").select(
             "shard", F.lit(1).alias("ask"), "doc_id", "k", "offset", "start", "n",
             F.lit(None).cast("binary").alias("content")).unionByName(
-            self._contents("ids", "shard").select("shard", F.lit(0).alias("ask"), "content"),
-            allowMissingColumns=True)
+            files.select("shard", F.lit(0).alias("ask"), "content"), allowMissingColumns=True)
         out = "ids_crc32 long" if digest else "ids binary"
         return both.repartition("shard").sortWithinPartitions("shard", "ask", "offset").mapInArrow(
             _read(self.kind, digest), f"doc_id long, k long, start long, n long, {out}")
@@ -256,7 +288,8 @@ def _read(kind, digest):
                 continue
             for x, y, _, ask in _cuts(batch, "shard"):
                 if not ask:
-                    ids = np.frombuffer(batch.column("content")[x].as_buffer().to_pybytes(), kind)
+                    ids = np.frombuffer(zstandard.decompress(
+                        batch.column("content")[x].as_buffer().to_pybytes()), kind)
                     continue
                 part = batch.slice(x, y - x)
                 got = [ids[a:a + n].astype("<u4").tobytes() for a, n in
@@ -283,46 +316,45 @@ def write_files(docs, path, folder=None, end_id=END_ID, shard=SHARD, bucket=BUCK
     folder = folder or new_folder(spark, "llm-token-files")
     kind = id_type(path, end_id)
     rows = texts(docs).withColumn("hash", F.xxhash64("text"))
-    tokens = written(rows.mapInArrow(
-        _encoded(path, end_id, kind), "doc_id long, hash long, row long, n long, ids binary"),
-        "tokens")
-    total, count = tokens.agg(F.sum("n"), F.count("*")).first()
+    total, count = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    files = TokenFiles(spark, folder, kind, math.ceil(count / bucket))
+    if not count:
+        return files
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                math.ceil((total or 0) * np.dtype(kind).itemsize / PART_BYTES))
+                math.ceil(total / PART_BYTES))
     order = [F.col("doc_id").asc_nulls_last(), F.col("hash"), F.col("row")]
-    shards = written(tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-                     .mapInArrow(_shards(shard), _SHARD_ROWS), "shards")
-    _raw_files(shards, "shard", "ids", f"{folder}/ids")
+    pressed = rows.mapInArrow(_pressed("text", 1),
+                              "doc_id long, text binary, hash long, row long")
+    _raw_files(pressed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(
+        _shards(path, end_id, kind, shard), "kind string, shard long, line binary"),
+        ["kind", "shard"], "line", f"{folder}/data")
+    _places(spark, folder).write.parquet(f"{folder}/keys")
+    index = hashed(spark.read.parquet(f"{folder}/keys"), files.buckets).repartition(
+        "bucket").sortWithinPartitions("bucket").mapInArrow(_index, "bucket long, file binary")
+    _raw_files(index, ["bucket"], "file", f"{folder}/index")
+    return files
+
+
+def _places(spark, folder):
+    """doc_id, k, shard, offset, start, n of every document of the shards."""
+    docs = _contents(spark, f"{folder}/data/kind=docs", "shard")
+    runs = docs.mapInArrow(_run_rows, "shard long, at int, doc_id long, rows long, ids long")
     # ids before each shard, and rows before it that have its first doc_id
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    runs = shards.select("shard", F.posexplode("runs").alias("at", "run")).select(
-        "shard", "at", "run.doc_id", F.coalesce(F.sum("run.rows").over(
-            before.partitionBy("run.doc_id").orderBy("shard")), zero).alias("carry"))
-    bases = shards.select("shard", F.coalesce(
-        F.sum("n").over(before.orderBy("shard")), zero).alias("base"))
-    places = bases.join(runs.filter("at = 0").select(
-        "shard", F.col("doc_id").alias("head"), "carry"), "shard")
-    keys = shards.select("shard", F.explode("docs").alias("d")).join(places, "shard").select(
-        "d.doc_id", (F.col("d.k") + F.when(F.col("d.doc_id").eqNullSafe(F.col("head")),
-                                           F.col("carry")).otherwise(zero)).alias("k"),
-        "shard", "d.offset", (F.col("base") + F.col("d.offset")).alias("start"), "d.n")
-    files = TokenFiles(spark, folder, kind, math.ceil(count / bucket))
-    keys = written(keys, "places")
-    keys.select("doc_id", "k").write.parquet(f"{folder}/keys")
-    if count:
-        index = hashed(keys, files.buckets).repartition("bucket").sortWithinPartitions(
-            "bucket").mapInArrow(_index, "bucket long, file binary")
-        _raw_files(index, "bucket", "file", f"{folder}/index")
-    return files
+    runs = runs.withColumn("carry", F.coalesce(
+        F.sum("rows").over(before.partitionBy("doc_id").orderBy("shard")), zero)).filter("at = 0")
+    heads = runs.select("shard", F.col("doc_id").alias("head"), "carry", F.coalesce(
+        F.sum("ids").over(before.orderBy("shard")), zero).alias("base"))
+    return docs.mapInArrow(_doc_rows, "shard long, doc_id long, k long, offset long, n long").join(
+        heads, "shard").select(
+        "doc_id", (F.col("k") + F.when(F.col("doc_id").eqNullSafe(F.col("head")),
+                                       F.col("carry")).otherwise(zero)).alias("k"),
+        "shard", "offset", (F.col("base") + F.col("offset")).alias("start"), "n")
 
 
 def documents(files, digest=True):
     """doc_id, start, n_tokens and ids_crc32 (or ids) of every document, by its key: found
     through the index and read from the files."""
-    if not files.buckets:
-        last = F.lit(0).cast("long").alias("ids_crc32") if digest else F.lit(b"").alias("ids")
-        return files.keys().select("doc_id", F.lit(0).cast("long").alias("start"),
-                                   F.lit(0).cast("long").alias("n_tokens"), last)
     got = files.read(files.find(files.keys()), digest)
     return got.select("doc_id", "start", F.col("n").alias("n_tokens"), got.columns[-1])
