@@ -39,7 +39,8 @@ def chat_formatting(spark, sf):
 
 @register("op5_quality_rules")
 def quality_rules(spark, sf):
-    return quality.quality_rules(table(spark, sf, "documents"))
+    docs = table(spark, sf, "documents")
+    return quality.quality_rules(docs, bands=quality.fit_bands(docs, table(spark, sf, "labels")))
 
 
 @register("op6_sentencepiece")
