@@ -21,8 +21,8 @@ def _sized(docs):
 
 
 def quality_rules(spark, docs, sf_dir):
-    """Documents that the quality rules keep, as they are."""
-    return quality.passing(docs)
+    """Documents that the quality rules keep, as they are; limits come from the labelled ones."""
+    return quality.passing(docs, bands=quality.fit_bands(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark, docs, sf_dir):
