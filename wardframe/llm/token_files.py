@@ -38,7 +38,7 @@ SHARD = 1 << 22
 #: Bytes of texts that one task puts in order, on average.
 PART_BYTES = 128 << 20
 #: Documents of one index file, on average.
-BUCKET = 1 << 18
+BUCKET = 1 << 16
 
 #: A document of a shard: its key (`null` for a null doc_id), the ids before it there, its ids.
 DOC = np.dtype([("null", "?"), ("doc_id", "<i8"), ("k", "<i8"), ("offset", "<i8"), ("n", "<i8")])
@@ -53,14 +53,14 @@ def id_type(path, end_id=END_ID):
 
 
 def _pressed(column, level):
-    """Rows with the bytes of a column compressed, and the row's number where there is none."""
+    """Rows with the bytes of a column without nulls compressed, and a number of their own."""
     def run(batches):
         press, row = zstandard.ZstdCompressor(level=level), TaskContext.get().partitionId() << 40
         for batch in batches:
             names = batch.schema.names
-            z = [v if v is None else press.compress(v.as_py().encode() if column == "text"
-                                                    else v.as_buffer().to_pybytes())
-                 for v in batch.column(column)]
+            data, ends = raw(batch.column(column))
+            data = memoryview(data)
+            z = [press.compress(data[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             out = [pa.array(z, pa.binary()) if c == column else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(
                 out + [pa.array(row + np.arange(len(z)))], [*names, "row"])
@@ -84,7 +84,7 @@ def _shards(path, end_id, kind, size):
                  "line": [np.array(docs, DOC).tobytes(), data.tobytes()]},
                 pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("line", pa.binary())]))
 
-        for batch in small_batches(batches, 2 << 20):
+        for batch in small_batches(batches, 1 << 20):  # compressed
             texts_ = [press.decompress(z).decode() for z in batch.column("text").to_pylist()]
             for i, x in zip(batch.column("doc_id").to_pylist(), encode(texts_)):
                 if total >= size:
