@@ -247,3 +247,75 @@ def test_hot_null_key_is_split(spark):
     hot = traffic.rate_limit(df, 2, 0.5, max_group_rows=20, slices=6)
     want = traffic.rate_limit(df, 2, 0.5)
     assert sorted(map(str, hot.collect())) == sorted(map(str, want.collect()))
+
+
+def fold_over(fold, state, rows):
+    for row in rows:
+        state = fold.step(state, *row)[0]
+    return state
+
+
+@pytest.mark.parametrize("capacity,rate", [(3, 0.5), (20, 5.0), (1, 0.3), (0, 1.0), (4, 0.0)])
+def test_bucket_of_a_slice_is_a_function_of_its_start(capacity, rate):
+    rng = random.Random(int(capacity * 10 + rate))
+    fold = traffic.bucket_fold(capacity, rate)
+    bucket = traffic._Bucket(capacity, rate)
+    for _ in range(60):
+        gap = rng.choice([0, SECOND // 10, SECOND // 2, 3 * SECOND, 60 * SECOND])
+        us, rows = 10 * SECOND, []
+        for _ in range(rng.randint(1, 80)):
+            us += rng.randint(0, max(gap, 1))
+            rows.append((us,))
+        summary = fold.summary()
+        for row in rows:
+            summary.row(*row)
+        function = summary.function()
+        assert len(function[2]) <= 2 * len(rows) + 1
+        starts = [None] + [(rng.randint(0, bucket.full), rng.randint(9 * SECOND, rows[0][0]))
+                           for _ in range(40)]
+        for start in starts + [(0, rows[0][0]), (bucket.full, rows[0][0])]:
+            assert fold.applied(function, start) == fold_over(fold, start, rows)
+
+
+@pytest.mark.parametrize("cooldown", [1, 7, 40, 1000])
+def test_cooldown_of_a_slice_is_a_function_of_its_start(cooldown):
+    rng = random.Random(cooldown)
+    fold = traffic.cooldown_fold(5, cooldown)
+    for _ in range(200):
+        us, rows = 100, []
+        for _ in range(rng.randint(1, 60)):
+            us += rng.choice([0, 1, 3, 9])
+            rows.append((us, rng.randint(2, 8)))
+        summary = fold.summary()
+        for row in rows:
+            summary.row(*row)
+        function = summary.function()
+        # a start lies at most a cooldown after the row before the slice
+        until = range(0, rows[0][0] + cooldown + 1, 1 + cooldown // 50)
+        for start in [None, (None,)] + [(u,) for u in until]:
+            assert fold.applied(function, start) == fold_over(fold, start, rows)
+
+
+@pytest.mark.parametrize("most", [4096, 1])
+def test_saturated_key_takes_few_rounds(spark, most, monkeypatch):
+    """Buckets that never fill and cooldowns out of step, over twelve slices of one key."""
+    from wardframe.operators import replay as engine
+    rounds = []
+    plain = engine._end_rows
+    monkeypatch.setattr(engine, "_end_rows", lambda *a: rounds.append(1) or plain(*a))
+    monkeypatch.setattr(traffic._CooldownSummary, "MOST", most)
+    rng = random.Random(12)
+    rows = [(1 if i % 10 else i, 37 * i * 10_000 + rng.randint(0, 300_000), i)
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "key_id long, us long, seq long")
+    got = traffic.rate_limit(df, 5, 0.7, max_group_rows=100, slices=12)
+    assert len(rounds) == 1
+    assert sorted(got.collect()) == sorted(traffic.rate_limit(df, 5, 0.7).collect())
+    assert got.filter("NOT allowed").count() > 1000
+    scored = df.selectExpr("*", "cast(4 + seq % 3 as int) AS score")
+    rounds.clear()
+    got = traffic.cooldowns(scored, 5, 30 * SECOND, max_group_rows=100, slices=12)
+    assert len(rounds) == 1 if most > 1 else len(rounds) > 3
+    want = traffic.cooldowns(scored, 5, 30 * SECOND)
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert 10 < got.filter("entered AND key_id = 1").count() < 100

@@ -8,12 +8,13 @@ with more than `max_group_rows` rows; there are at most total / max_group_rows o
 * Hot keys: range partitioned by (key, order), so that one key is spread over many equally large
   slices, and checkpointed. A slice in the middle of a key starts from the state its predecessor
   ended with. A machine with few states (`Fold.states`) has its slices run once from all of them at
-  the same time; the end states are then linked up, which takes one round for any number of
-  slices. For other machines all slices run at once from an assumed state, then every slice whose
-  assumption proved wrong runs again, until all hand-overs agree; in the worst case, a key whose
-  states never meet, that is one round for each of its slices. The first slice of a key always
-  starts from the true state, so agreement of all hand-overs means every result is exact. Only the
-  end states of the slices reach the driver.
+  the same time; one with a summary (`Fold.summary`) has every slice summed up once as a function
+  from start to end state. Either way the slices are then linked up, which takes one round for any
+  number of them. For other machines all slices run at once from an assumed state, then every slice
+  whose assumption proved wrong runs again, until all hand-overs agree; in the worst case, a key
+  whose states never meet, that is one round for each of its slices. The first slice of a key
+  always starts from the true state, so agreement of all hand-overs means every result is exact.
+  Only the end states or functions of the slices reach the driver.
 """
 
 import pickle
@@ -39,7 +40,10 @@ class Fold:
 
     `inputs` are the columns passed to `step`; `outputs` is the schema of what it returns. States
     are tuples of plain values, so they can be compared and shipped; `state` is their schema, for
-    use in a stream. `states` lists all states of a machine that has only a few.
+    use in a stream. `states` lists all states of a machine that has only a few. `summary()` makes
+    an object whose `row(*values)` takes the rows of a slice and whose `function()` is then a small
+    value, for which `applied(function, state)` is the state that a start `state` ends as. A
+    function of None stands for a slice that cannot be summed up: it is run once its start is known.
     """
 
     inputs: tuple
@@ -47,6 +51,8 @@ class Fold:
     step: Callable
     state: str = ""
     states: tuple = ()
+    summary: Callable | None = None
+    applied: Callable | None = None
 
 
 def _arrow_type(t: T.DataType) -> pa.DataType:
@@ -129,6 +135,8 @@ def _replay_slices(df, fold, key, order, schema, slices):
                .withColumn(SLICE, F.spark_partition_id()).checkpoint(eager=True))
     if fold.states:
         starts = _linked(_slice_maps(ordered, fold, key), fold)
+    elif fold.summary:
+        starts = _applied(ordered, fold, key)
     else:
         ends, starts, pending = {}, {}, None
         while pending is None or pending:
@@ -213,6 +221,47 @@ def _linked(maps, fold):
     return starts
 
 
+def _slice_functions(ordered, fold, key):
+    """{slice: (first key, last key, function or None, end state)}: the end state where the slice
+    ends in a later key than it starts with."""
+    def ends(batches):
+        for i, rest in _numbered(batches):
+            first, last, state, summary = None, None, None, None
+            for batch in rest:
+                for k, *row in zip(batch.column(key).to_pylist(),
+                                   *[batch.column(c).to_pylist() for c in fold.inputs]):
+                    if summary is None:
+                        first, last, summary = k, k, fold.summary()
+                    elif k != last:
+                        last, state = k, None
+                    if first == last:
+                        summary.row(*row)
+                    else:
+                        state = fold.step(state, *row)[0]
+            yield _end_row(i, (first, last, summary.function() if first == last else None, state))
+
+    return _end_rows(ordered, ends)
+
+
+def _applied(ordered, fold, key):
+    """{slice: (key, state) before its first row}, one function after the other."""
+    functions = _slice_functions(ordered, fold, key)
+    starts, before = {}, None
+    for i in sorted(functions):
+        first, last, function, state = functions[i]
+        same = before is not None and before[0] == first
+        if same:
+            starts[i] = before
+        if first == last:
+            start = before[1] if same else None
+            if function is None:
+                state = _slice_ends(ordered, fold, key, starts, {i})[i][2]
+            else:
+                state = fold.applied(function, start)
+        before = (last, state)
+    return starts
+
+
 def _hand_over(ends, starts):
     """New start state per slice, and the slices whose outcome depends on a changed start."""
     fresh, pending = {}, set()

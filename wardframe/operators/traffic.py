@@ -3,6 +3,9 @@
 Inputs carry key_id, us (microseconds), seq; (us, seq) orders the rows of a key.
 """
 
+from bisect import bisect_left
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,20 +37,87 @@ def _fields(*pairs) -> T.StructType:
     return T.StructType([T.StructField(n, kinds[k]) for n, k in pairs])
 
 
-def _take(tokens, refilled, us, capacity, rate):
-    """One bucket decision: (allowed, tokens, refilled, retry in ns)."""
-    if tokens is None:
-        tokens, refilled = float(capacity), us
-    elapsed = us - refilled
-    if elapsed > 0:
-        seconds = elapsed // 1_000_000 + (elapsed % 1_000_000) * 1000 / 1e9
-        tokens = min(tokens + seconds * rate, float(capacity))
-        refilled = us
-    if tokens >= 1:
-        return True, tokens - 1, refilled, 0
-    if rate <= 0:
-        return False, tokens, refilled, _NS
-    return False, tokens, refilled, max(int((1 - tokens) / rate * 1e9), 1_000_000)
+class _Bucket:
+    """Token counts as whole numbers of a unit, the part of a token that a microsecond adds."""
+
+    def __init__(self, capacity, rate):
+        rate = Fraction(str(rate))
+        self.step, self.one = rate.numerator, 1_000_000 * rate.denominator
+        self.full = int(Fraction(str(capacity)) * self.one)
+
+    def filled(self, tokens, refilled, us):
+        """Units at a moment."""
+        if tokens is None:
+            return self.full
+        return min(tokens + max(us - refilled, 0) * self.step, self.full)
+
+    def take(self, tokens, refilled, us):
+        """One decision: (allowed, units, refilled, retry in ns)."""
+        tokens = self.filled(tokens, refilled, us)
+        refilled = us if refilled is None else max(us, refilled)
+        if tokens >= self.one:
+            return True, tokens - self.one, refilled, 0
+        if self.step <= 0:
+            return False, tokens, refilled, _NS
+        return False, tokens, refilled, max((self.one - tokens) * 1000 // self.step, 1_000_000)
+
+    def tokens(self, units):
+        return None if units is None else units / self.one
+
+
+class _BucketSummary:
+    """The bucket over a slice as a function of the units at its first row, x.
+
+    The function is piecewise: on each interval of x the bucket ends with x plus a number, or, where
+    it was full on the way, with a constant. An interval is cut where a refill reaches the brim and
+    where a decision turns; neighbours that move alike again are one. A slice whose function has
+    more than `MOST` pieces is not summed up.
+    """
+
+    MOST = 256
+
+    def __init__(self, bucket):
+        self.bucket, self.first, self.at = bucket, None, None
+        self.pieces = [(0, bucket.full, True, 0)]  # first and last x, moves with x, by how much
+
+    def row(self, us):
+        full, one = self.bucket.full, self.bucket.one
+        if self.first is None:
+            self.first = self.at = us
+        add, self.at = max(us - self.at, 0) * self.bucket.step, max(us, self.at)
+        if self.pieces is None:
+            return
+        out = []
+
+        def put(low, high, moves, value):
+            if low > high:
+                return
+            if out and out[-1][2:] == (moves, value):
+                out[-1] = (out[-1][0], high, moves, value)
+            else:
+                out.append((low, high, moves, value))
+
+        for low, high, moves, value in self.pieces:
+            if not moves:
+                value = min(value + add, full)
+                put(low, high, False, value - one if value >= one else value)
+                continue
+            value += add
+            brim, turn = min(high, full - value - 1), one - value
+            put(low, min(brim, turn - 1), True, value)
+            put(max(low, turn), brim, True, value - one)
+            put(max(low, brim + 1), high, False, full - one if full >= one else full)
+        self.pieces = out if len(out) <= self.MOST else None
+
+    def function(self):
+        return self.pieces and (self.first, self.at, self.pieces)
+
+    @staticmethod
+    def applied(bucket, function, state):
+        first, at, pieces = function
+        x = bucket.filled(*(state or (None, None)), first)
+        _, _, moves, value = pieces[bisect_left([p[1] for p in pieces], x)]
+        return (x + value if moves else value), at
 
 
 def _whole_seconds(ns):
@@ -55,15 +125,17 @@ def _whole_seconds(ns):
 
 
 def bucket_fold(capacity=CAPACITY, rate=RATE) -> Fold:
+    bucket = _Bucket(capacity, rate)
+
     def step(state, us):
-        tokens, refilled = state or (None, None)
-        allowed, tokens, refilled, retry = _take(tokens, refilled, us, capacity, rate)
+        allowed, tokens, refilled, retry = bucket.take(*(state or (None, None)), us)
         seconds = None if allowed else _whole_seconds(retry)
-        return (tokens, refilled), (allowed, tokens, seconds)
+        return (tokens, refilled), (allowed, bucket.tokens(tokens), seconds)
 
     return Fold(("us",), _fields(("allowed", "bool"), ("tokens", "double"),
                                  ("retry_after_seconds", "long")), step,
-                "tokens double, refilled bigint")
+                "tokens bigint, refilled bigint", (), lambda: _BucketSummary(bucket),
+                lambda function, state: _BucketSummary.applied(bucket, function, state))
 
 
 def rate_limit(requests: DataFrame, capacity=CAPACITY, refill_per_second=RATE,
@@ -140,6 +212,63 @@ def _steps(gap: Column, decay_us: int) -> Column:
     return ((gap - F.pmod(gap, F.lit(decay_us))) / decay_us).cast("long")
 
 
+class _CooldownSummary:
+    """Cooldowns over a slice as a step function of the `until` that it starts with.
+
+    A row that may start a cooldown does so for every start whose cooldown is over by then. Starts
+    that ever share a cooldown stay together, so they form classes, joined as rows go by. Starts
+    that no such row has reached are still what they were; none lies further ahead of the first
+    row than a cooldown lasts.
+    """
+
+    MOST = 4096  # steps of a function that is small enough to hand over
+
+    def __init__(self, threshold, cooldown_us):
+        self.threshold, self.cooldown = threshold, cooldown_us
+        self.first, self.bounds, self.joined, self.open = None, [], [], []
+
+    def row(self, us, score):
+        if self.first is None:
+            self.first = us
+        if score < self.threshold:
+            return
+        over = [k for k in self.open if k[0] <= us]
+        new = not self.bounds or (self.bounds[-1] < us
+                                  and self.bounds[-1] < self.first + self.cooldown)
+        if not over and not new:
+            return
+        root = over[0][1] if over else len(self.bounds)
+        for _, other in over[1:]:
+            self.joined[other] = root
+        if new:  # starts up to this row, from the last such row on
+            self.bounds.append(us)
+            self.joined.append(root)
+        # a cooldown that starts later ends later: the open ones stay in order
+        self.open = self.open[len(over):] + [(us + self.cooldown, root)]
+
+    def _root(self, k):
+        while self.joined[k] != k:
+            self.joined[k] = k = self.joined[self.joined[k]]
+        return k
+
+    def function(self):
+        ends = {root: until for until, root in self.open}
+        steps = []
+        for k, bound in enumerate(self.bounds):
+            end = ends[self._root(k)]
+            if steps and steps[-1][1] == end:
+                steps[-1] = (bound, end)
+            else:
+                steps.append((bound, end))
+        return steps if len(steps) <= self.MOST else None
+
+    @staticmethod
+    def applied(steps, state):
+        (until,) = state or (None,)
+        at = 0 if until is None else bisect_left([s[0] for s in steps], until)
+        return (steps[at][1] if at < len(steps) else until,)
+
+
 def cooldown_fold(threshold=THRESHOLD, cooldown_us=COOLDOWN_US) -> Fold:
     def step(state, us, score):
         (until,) = state or (None,)
@@ -150,7 +279,8 @@ def cooldown_fold(threshold=THRESHOLD, cooldown_us=COOLDOWN_US) -> Fold:
         return (until,), (entered, until)
 
     return Fold(("us", "score"), _fields(("entered", "bool"), ("cooldown_until_us", "long")),
-                step, "until bigint")
+                step, "until bigint", (), lambda: _CooldownSummary(threshold, cooldown_us),
+                _CooldownSummary.applied)
 
 
 def cooldowns(scored: DataFrame, threshold=THRESHOLD, cooldown_us=COOLDOWN_US,
@@ -225,7 +355,7 @@ def gate(requests: DataFrame, threshold=THRESHOLD, cooldown_us=COOLDOWN_US, deca
 def guard_fold(capacity=CAPACITY, rate=RATE, threshold=THRESHOLD, cooldown_us=COOLDOWN_US,
                decay_us=DECAY_US) -> Fold:
     """Gate, then bucket, then the handler's status, then points, score and cooldown."""
-    tracker = _Tracker(threshold, cooldown_us, decay_us)
+    tracker, bucket = _Tracker(threshold, cooldown_us, decay_us), _Bucket(capacity, rate)
     # Reasons and outcomes.
     violations = {CHAT_PATH: "chat_security_block", RAG_CHAT_PATH: "rag_security_block"}
 
@@ -235,8 +365,8 @@ def guard_fold(capacity=CAPACITY, rate=RATE, threshold=THRESHOLD, cooldown_us=CO
         if blocked:
             wait = _whole_seconds((until - us) * 1000)
             return (tokens, refilled, score, updated, until), (
-                "COOLDOWN_BLOCKED", 429, wait, tokens, 0, "", score, False, until, updated)
-        allowed, tokens, refilled, retry = _take(tokens, refilled, us, capacity, rate)
+                "COOLDOWN_BLOCKED", 429, wait, bucket.tokens(tokens), 0, "", score, False, until, updated)
+        allowed, tokens, refilled, retry = bucket.take(tokens, refilled, us)
         if allowed:
             outcome, status, wait = "ADMITTED", handler_status, None
             reason = violations.get(path, "") if status == 403 else ""
@@ -250,13 +380,13 @@ def guard_fold(capacity=CAPACITY, rate=RATE, threshold=THRESHOLD, cooldown_us=CO
         if pts:
             entered, score, updated, until = tracker.add(score, updated, until, us, pts)
         return (tokens, refilled, score, updated, until), (
-            outcome, status, wait, tokens, pts, reason, score, entered, until, updated)
+            outcome, status, wait, bucket.tokens(tokens), pts, reason, score, entered, until, updated)
 
     return Fold(("us", "path", "handler_status"), _fields(
         ("outcome", "string"), ("status", "int"), ("retry_after_seconds", "long"),
         ("tokens", "double"), ("points", "int"), ("reason", "string"), ("score", "int"),
         ("entered", "bool"), ("cooldown_until_us", "long"), ("updated_us", "long")), step,
-        "tokens double, refilled bigint, score int, updated bigint, until bigint")
+        "tokens bigint, refilled bigint, score int, updated bigint, until bigint")
 
 
 def traffic_guard(requests: DataFrame, capacity=CAPACITY, refill_per_second=RATE,
