@@ -5,6 +5,7 @@ Inputs carry key_id, us (microseconds), seq; (us, seq) orders the rows of a key.
 
 from bisect import bisect_left
 from fractions import Fraction
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,12 +39,16 @@ def _fields(*pairs) -> T.StructType:
 
 
 class _Bucket:
-    """Token counts as whole numbers of a unit, the part of a token that a microsecond adds."""
+    """Token counts as whole numbers of a unit, so that a microsecond adds a whole number too.
+
+    The rate counts as the nearest fraction with a denominator of at most a million: 5.0, 0.3 and
+    1 / 43200 are what they say, and a count fits into 64 bits for any capacity below nine million.
+    """
 
     def __init__(self, capacity, rate):
-        rate = Fraction(str(rate))
+        rate = Fraction(rate).limit_denominator(1_000_000)
         self.step, self.one = rate.numerator, 1_000_000 * rate.denominator
-        self.full = int(Fraction(str(capacity)) * self.one)
+        self.full = int(Fraction(capacity) * self.one)
 
     def filled(self, tokens, refilled, us):
         """Units at a moment."""
@@ -76,8 +81,8 @@ class _BucketSummary:
 
     MOST = 256
 
-    def __init__(self, bucket):
-        self.bucket, self.first, self.at = bucket, None, None
+    def __init__(self, bucket, most=MOST):
+        self.bucket, self.most, self.first, self.at = bucket, most, None, None
         self.pieces = [(0, bucket.full, True, 0)]  # first and last x, moves with x, by how much
 
     def row(self, us):
@@ -107,7 +112,7 @@ class _BucketSummary:
             put(low, min(brim, turn - 1), True, value)
             put(max(low, turn), brim, True, value - one)
             put(max(low, brim + 1), high, False, full - one if full >= one else full)
-        self.pieces = out if len(out) <= self.MOST else None
+        self.pieces = out if len(out) <= self.most else None
 
     def function(self):
         return self.pieces and (self.first, self.at, self.pieces)
@@ -134,8 +139,9 @@ def bucket_fold(capacity=CAPACITY, rate=RATE) -> Fold:
 
     return Fold(("us",), _fields(("allowed", "bool"), ("tokens", "double"),
                                  ("retry_after_seconds", "long")), step,
-                "tokens bigint, refilled bigint", (), lambda: _BucketSummary(bucket),
-                lambda function, state: _BucketSummary.applied(bucket, function, state))
+                "tokens bigint, refilled bigint", (),
+                partial(_BucketSummary, bucket, _BucketSummary.MOST),
+                partial(_BucketSummary.applied, bucket))
 
 
 def rate_limit(requests: DataFrame, capacity=CAPACITY, refill_per_second=RATE,
@@ -223,8 +229,8 @@ class _CooldownSummary:
 
     MOST = 4096  # steps of a function that is small enough to hand over
 
-    def __init__(self, threshold, cooldown_us):
-        self.threshold, self.cooldown = threshold, cooldown_us
+    def __init__(self, threshold, cooldown_us, most=MOST):
+        self.threshold, self.cooldown, self.most = threshold, cooldown_us, most
         self.first, self.bounds, self.joined, self.open = None, [], [], []
 
     def row(self, us, score):
@@ -260,7 +266,7 @@ class _CooldownSummary:
                 steps[-1] = (bound, end)
             else:
                 steps.append((bound, end))
-        return steps if len(steps) <= self.MOST else None
+        return steps if len(steps) <= self.most else None
 
     @staticmethod
     def applied(steps, state):
@@ -279,7 +285,8 @@ def cooldown_fold(threshold=THRESHOLD, cooldown_us=COOLDOWN_US) -> Fold:
         return (until,), (entered, until)
 
     return Fold(("us", "score"), _fields(("entered", "bool"), ("cooldown_until_us", "long")),
-                step, "until bigint", (), lambda: _CooldownSummary(threshold, cooldown_us),
+                step, "until bigint", (),
+                partial(_CooldownSummary, threshold, cooldown_us, _CooldownSummary.MOST),
                 _CooldownSummary.applied)
 
 
