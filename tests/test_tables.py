@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardframe.operators import audit, evals, state
-from wardframe.sources import event_tables, reports, requests
+from wardframe.sources import event_tables, reports, requests, state_tables
 from wardframe.streaming import run, scans
 
 STATE = "key_id long, score int, last_updated_us long"
@@ -61,6 +61,125 @@ def test_batch_delivered_twice_counts_once(spark, tmp_path):
     assert event_tables.read_events(spark, "audit_events", str(tmp_path)).count() == 10
 
 
+def test_two_writers_of_one_table(spark, tmp_path):
+    """Appends and stream batches mix; ids are in order of arrival, whoever wrote them."""
+    folder, rows = str(tmp_path), audit_rows(spark, 4).drop("id")
+    write = event_tables.append_batch("audit_events", folder)
+    assert event_tables.read_events(spark, "audit_events", folder).count() == 0
+    write(rows, 0)
+    assert event_tables.append_events(rows, "audit_events", folder) == 2
+    write(rows.limit(0), 1)
+    write(rows, 2)
+    write(rows, 1)  # delivered again
+    assert event_tables.append_events(rows, "audit_events", folder, 5, "other") == 5
+    assert event_tables.append_events(rows, "audit_events", folder, 5, "other") == 5
+    got = event_tables.read_events(spark, "audit_events", folder)
+    assert got.count() == 16 and got.select("id").distinct().count() == 16
+    arrivals = sorted(int(r.id.split("-")[0]) for r in got.collect())
+    assert arrivals == [1] * 4 + [2] * 4 + [4] * 4 + [5] * 4
+    newest = event_tables.newest_events(spark, "audit_events", folder, 6).collect()
+    assert [int(r.id.split("-")[0]) for r in newest] == [5] * 4 + [4] * 2
+
+
+def test_only_committed_data_is_seen(spark, tmp_path):
+    folder, rows = str(tmp_path), audit_rows(spark, 3).drop("id")
+    event_tables.append_events(rows, "audit_events", folder)
+    rows.withColumn("event_date", F.to_date("timestamp")).write.partitionBy("event_date").parquet(
+        f"{folder}/audit_events/data/batch=bfailed")
+    assert event_tables.read_events(spark, "audit_events", folder).count() == 3
+    log = event_tables._log(spark, "audit_events", folder)
+    assert not log.commit({}, 1) and log.commit({"path": "", "dates": {}, "sources": {}}, 2)
+    assert event_tables.append_events(rows, "audit_events", folder) == 3
+    assert log.numbers() == [1, 2, 3]
+
+
+def test_newest_rows_read_one_date_of_many(spark, tmp_path):
+    folder = str(tmp_path)
+    days = spark.range(365 * 60).selectExpr(
+        "concat('r', id) AS request_id",
+        "IF(id = 7, NULL, timestamp'2024-01-01' + make_dt_interval(0, 0, 0, 0) "
+        "+ make_dt_interval(CAST(id div 60 AS INT), 0, CAST(id % 60 AS INT), 0)) AS timestamp",
+        "'m' AS provider", "'m' AS model", "'ALLOW' AS decision", "0 AS risk_score",
+        "'LOW' AS severity", "id AS latency_ms", "'[]' AS secret_findings", "'[]' AS pii_findings",
+        "'[]' AS injection_findings", "'null' AS output_findings").repartition(2, "timestamp")
+    event_tables.append_events(days, "audit_events", folder)
+    top = event_tables.newest_events(spark, "audit_events", folder, 50)
+    assert [r.latency_ms for r in top.collect()] == list(range(365 * 60 - 1, 365 * 60 - 51, -1))
+    assert {f.split("event_date=")[1].split("/")[0] for f in top.inputFiles()} == {"2024-12-30"}
+    two = event_tables.newest_events(spark, "audit_events", folder, 100)
+    assert two.count() == 100 and len({f.split("event_date=")[1][:10]
+                                       for f in two.inputFiles()}) == 2
+    assert event_tables.newest_events(spark, "audit_events", folder, 10 ** 6).collect()[-1] \
+        .latency_ms == 7  # no time: the oldest
+
+
+def test_lookup_reads_one_bucket(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = spark.range(400).selectExpr(
+        "concat('r', id % 80) AS request_id", "timestamp'2024-01-01' + make_dt_interval("
+        "CAST(id div 80 AS INT)) AS timestamp", "'u' AS user_id", "'r' AS role", "'t' AS team",
+        "CAST(id AS STRING) AS trace")
+    event_tables.append_events(rows, "rag_events", folder)
+    event_tables.append_events(rows.limit(0), "rag_events", folder)
+    found = event_tables.lookup_events(spark, "rag_events", folder, "r7")
+    assert [r.trace for r in found.collect()] == ["7", "87", "167", "247", "327"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+    every = event_tables.read_events(spark, "rag_events", folder)
+    assert len(every.inputFiles()) > 5 * 8
+    # the files that were opened hold the rows of one bucket
+    opened = {r.f for r in every.filter(F.col("request_id") == "r7").select(
+        F.input_file_name().alias("f")).collect()}
+    assert len({f.split("bucket=")[1].split("/")[0] for f in opened}) == 1
+
+
+def test_stored_state(spark, tmp_path):
+    table = state_tables.StateTable(spark, str(tmp_path), STATE, buckets=8)
+    assert table.read().count() == 0
+
+    def rows():
+        return {r.key_id: r.score for r in table.read().collect()}
+
+    first = spark.createDataFrame([(i, i, 10, 0) for i in range(40)], STATE + ", seq int")
+    write = table.writer()
+    write(first, 0)
+    files = set(table.read().inputFiles())
+    second = spark.createDataFrame([(3, 90, 20, 1), (3, 91, 20, 2), (77, 5, 1, 0)],
+                                   STATE + ", seq int")
+    for _ in range(2):
+        write(second, 1)
+    write(first, 0)
+    assert rows() == {**{i: i for i in range(40)}, 3: 91, 77: 5}
+    assert table.log.numbers() == [1, 2]
+    # only the buckets of the two keys were written anew
+    assert len(files & set(table.read().inputFiles())) >= 6
+    old = table.read()
+    missing = table.delete(spark.createDataFrame([(3,), (5,), (500,)], "key_id long"))
+    assert [r.key_id for r in missing.collect()] == [500]
+    assert 3 not in rows() and 5 not in rows() and len(rows()) == 39
+    assert old.count() == 41  # a frame stays the state it was made of
+    table.delete(table.read().select("key_id"))
+    assert rows() == {}
+
+
+def test_state_change_that_was_overtaken(spark, tmp_path, monkeypatch):
+    """Two writers from the same state: the later one starts again, nothing is lost."""
+    one, two = (state_tables.StateTable(spark, str(tmp_path), STATE, buckets=2) for _ in "ab")
+    row = spark.createDataFrame([(1, 1, 1, 1)], STATE + ", seq int")
+    other = spark.createDataFrame([(2, 2, 1, 1)], STATE + ", seq int")
+    plain, calls = one.log.commit, []
+
+    def commit(record, number):
+        if not calls:
+            calls.append(two.upsert(other))
+        return plain(record, number)
+
+    monkeypatch.setattr(one.log, "commit", commit)
+    assert one.upsert(row) and calls == [True]
+    assert sorted(r.key_id for r in one.read().collect()) == [1, 2]
+    assert one.log.numbers() == [1, 2]
+
+
 def test_upsert_and_delete(spark):
     now = spark.createDataFrame([(1, 1, 10), (2, 2, 10)], STATE)
     new = spark.createDataFrame([(2, 5, 20, 1), (2, 6, 20, 2), (3, 7, 5, 0)], STATE + ", seq int")

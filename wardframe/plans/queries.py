@@ -6,7 +6,7 @@ from ..functions import common, sql
 from ..operators import (approvals, audit, chat, evals, identity, retrieval, scan, state, tools,
                          traffic)
 from ..operators.scan import _with
-from ..sources import cases, event_tables, reports, requests
+from ..sources import cases, event_tables, reports, requests, state_tables
 from ..streaming import folds, run, scans
 from . import fixtures as X
 from . import oracle as O
@@ -217,6 +217,33 @@ def event_table(spark, sf):
         "request_id", "decision", "risk_score", "pii_findings")
 
 
+@register("event_mixed", f"WITH {O.AUDIT} SELECT request_id, decision, "
+          "CASE WHEN length(request_id) % 2 = 0 THEN 1 ELSE 2 END AS arrival FROM audit")
+def event_mixed(spark, sf):
+    """One log, two writers: half of the rows as an append, the rest as a stream's batch that is
+    delivered twice; `arrival` is the place of a row's append, which its id begins with."""
+    folder, rows = new_folder(spark, "events"), _audit(spark, sf).drop("id")
+    even = F.length("request_id") % 2 == 0
+    write = event_tables.append_batch("audit_events", folder)
+    event_tables.append_events(rows.filter(even), "audit_events", folder, 7)
+    for _ in range(2):
+        write(rows.filter(~even), 0)
+    event_tables.append_events(rows.filter(even), "audit_events", folder, 7)
+    return event_tables.read_events(spark, "audit_events", folder).select(
+        "request_id", "decision", F.split("id", "-")[0].cast("int").alias("arrival"))
+
+
+@register("event_newest", f"WITH {O.AUDIT} SELECT request_id, decision FROM audit "
+                          "ORDER BY conv_id DESC LIMIT 100")
+def event_newest(spark, sf):
+    """The newest page of the event table, from as few dates as hold it: here twelve rows a day."""
+    folder, rows = new_folder(spark, "events"), _audit(spark, sf)
+    rows = _with(rows, timestamp=F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 7200))
+    event_tables.append_events(rows.drop("id"), "audit_events", folder)
+    return event_tables.newest_events(
+        spark, "audit_events", folder, audit.page_limit(100, 100)).select("request_id", "decision")
+
+
 def _stored(spark, events, table):
     """Events appended to their table, in a folder of its own, and read back."""
     folder = new_folder(spark, "events")
@@ -482,9 +509,10 @@ def provenance(spark, sf):
     docs = X.retrieval_requests(spark, sf)
     asked = docs.select("request_id", "user_id", "role", "team").distinct().select(
         "*", F.timestamp_seconds("request_id").alias("timestamp"))
-    rows = _stored(spark, retrieval.rag_events(retrieval.judge_requests(docs), asked),
-                   "rag_events")
-    return retrieval.provenance(rows, 42).select(
+    folder = new_folder(spark, "events")
+    event_tables.append_events(retrieval.rag_events(retrieval.judge_requests(docs), asked),
+                               "rag_events", folder)
+    return event_tables.lookup_events(spark, "rag_events", folder, 42).select(
         "request_id", "user_id", "role", "team", F.json_array_length("trace").alias("entries"))
 
 
@@ -738,6 +766,24 @@ def state_upsert(spark, sf):
     return state.upsert_state(current, updates)
 
 
+@register("state_table", f"WITH {X.REQUESTS_SQL} SELECT key_id, "
+          "CAST(arg_max(seq, us) AS INTEGER) AS score, max(us) AS last_updated_us "
+          "FROM requests WHERE key_id NOT IN (SELECT c_custkey FROM customer "
+          "WHERE c_nationkey < 12) GROUP BY key_id")
+def state_table(spark, sf):
+    """The stored table: two batches of upserts, the second delivered twice, and a delete."""
+    current, updates = _updates(spark, sf)
+    stored = state_tables.StateTable(spark, new_folder(spark, "state"),
+                                     "key_id long, score int, last_updated_us long")
+    write = stored.writer()
+    write(_with(current, seq=F.lit(0).cast("long")), 0)
+    for _ in range(2):
+        write(updates, 1)
+    stored.delete(X.table(spark, sf, "customer").filter("c_nationkey < 12").select(
+        F.col("c_custkey").alias("key_id")))
+    return stored.read()
+
+
 _DELETE = f"""WITH {X.REQUESTS_SQL},
 states AS (SELECT DISTINCT key_id FROM requests),
 gone AS (SELECT c_custkey AS key_id FROM customer WHERE c_nationkey < 12)"""
