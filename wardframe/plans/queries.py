@@ -7,7 +7,7 @@ from ..operators import (approvals, audit, chat, evals, identity, retrieval, sca
                          traffic)
 from ..operators.scan import _with
 from ..sources import cases, event_tables, reports, requests, state_tables
-from ..streaming import folds, run, scans
+from ..streaming import event_time, folds, run, scans
 from . import fixtures as X
 from . import oracle as O
 from .session import new_folder
@@ -995,6 +995,20 @@ def stream_traffic_guard(spark, sf):
         *_GUARD_OUT, F.round("tokens", 6).alias("tokens"))
 
 
+_HOUR_US = 3_600_000_000
+
+
+@register("stream_event_time", f"WITH RECURSIVE {O.BUCKET} SELECT key_id, seq, allowed, "
+          f"round(tokens, 6) AS tokens FROM fold WHERE (us // {_HOUR_US} + 1) * {_HOUR_US} < "
+          f"(SELECT max(us) FROM requests) - {_HOUR_US}")
+def stream_event_time(spark, sf):
+    """Buckets in event time: the hours that the watermark, an hour behind, has passed."""
+    rows, _ = event_time.drain_split(event_time.token_bucket(
+        _stream_requests(spark, sf), "1 hour", X.BUCKET_CAPACITY, X.BUCKET_RATE,
+        slot_ms=_HOUR_US // 1000), "event-time")
+    return rows.select("key_id", "seq", "allowed", F.round("tokens", 6).alias("tokens"))
+
+
 @register("stream_chat_verdict", f"WITH {X.ATTACKED_SQL}, "
           f"s1 AS (SELECT *, {O.strip('text')} AS prompt FROM attacked), "
           f"{O.scan_cte('s1', 'prompt')}, {O.pii_cte('scanned', 'prompt')}, "
