@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import common
-from .replay import MAX_GROUP_ROWS, Fold
+from .replay import Fold
 from .replay import replay as replay_fold
 from .scan import _once, _with
 
 ADMIN = "admin"
+#: Attempts of an approval up to which they are followed as one array.
+MAX_GROUP_ROWS = 1024
 
 # Scope that each kind of attempt needs. Results of an execution need none.
 ATTEMPT_SCOPES = {"approve": "approvals:write", "reject": "approvals:write",
@@ -98,27 +100,70 @@ def conflict_reason() -> Column:
         .when(ending & (status != "EXECUTING"), "no execution in progress"))
 
 
+def _next_status(status: Column, action: Column, valid: Column) -> Column:
+    """`transition` as a column."""
+    out = F.when(~valid, status)
+    for before, actions in (("PENDING", ("approve", "reject")), ("APPROVED", ("claim",)),
+                            ("EXECUTING", ("finish", "fail"))):
+        for a in actions:
+            out = out.when((status == before) & (action == a), NEXT_STATUS[a])
+    return out.otherwise(status)
+
+
+def _followed(df: DataFrame, order) -> DataFrame:
+    """Append prior_status and new_status to the attempts of approvals with few of them: each
+    approval's attempts in order are one array, which `aggregate` walks through."""
+    rest = [c for c in df.columns if c not in order]
+    grouped = df.groupBy("approval_id").agg(
+        F.sort_array(F.collect_list(F.struct(*order, *rest))).alias("_rows"))
+
+    def step(acc, row):
+        after = _next_status(acc["s"], row["action"], row["valid"])
+        return F.struct(after.alias("s"), F.concat(acc["seen"], F.array(
+            F.struct(acc["s"].alias("prior"), after.alias("new")))).alias("seen"))
+
+    start = F.struct(F.lit("PENDING").alias("s"),
+                     F.array().cast("array<struct<prior: string, new: string>>").alias("seen"))
+    walked = grouped.select("_rows", F.aggregate("_rows", start, step,
+                                                 lambda acc: acc["seen"]).alias("_seen"))
+    each = walked.select(F.explode(F.arrays_zip("_rows", "_seen")).alias("e"))
+    return each.select(*[F.col(f"e._rows.{c}").alias(c) for c in df.columns],
+                       F.col("e._seen.prior").alias("prior_status"),
+                       F.col("e._seen.new").alias("new_status"))
+
+
 def classify_attempts(approvals: DataFrame, attempts: DataFrame, order,
                       max_group_rows=MAX_GROUP_ROWS, slices=None) -> DataFrame:
     """Append known, prior_status, accepted, conflict and new_status to every attempt.
 
     attempts(approval_id, action, actor_role, actor_scopes as comma text, and the order columns).
-    Attempts on unknown approvals have no state and are labelled where they are. The others take
-    one ordered pass per approval over one exchange; an approval with very many attempts is spread
-    over slices (see `operators.replay`).
+    Attempts on unknown approvals have no state. The attempts of an approval meet in one array over
+    one exchange; approvals with more than `max_group_rows` attempts are replayed as sorted rows
+    instead, over slices if need be (see `operators.replay`).
     """
-    known = approvals.select("approval_id")
     fold = life_cycle_fold()
-    real = attempts.join(known, "approval_id", "left_semi").select(attempts.columns)
-    unknown = attempts.join(known, "approval_id", "left_anti").select(attempts.columns)
-    df = replay_fold(with_validity(_with(real, known=F.lit(True))), fold, "approval_id", order,
-                     max_group_rows, slices, counted=real)
-    df = df.unionByName(with_validity(_with(unknown, known=F.lit(False))).select(
-        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fold.outputs.fields]))
+    known = approvals.select("approval_id")
+    real = with_validity(_with(attempts.join(known, "approval_id", "left_semi").select(
+        attempts.columns), known=F.lit(True)))
+    hot = attempts.groupBy("approval_id").agg(F.count(F.lit(1)).alias("n")).filter(
+        F.col("n") > max_group_rows).select("approval_id")
+    if hot.isEmpty():
+        df = _followed(real, order)
+    else:
+        df = _followed(real.join(hot, "approval_id", "left_anti").select(real.columns), order)
+        df = df.unionByName(replay_fold(
+            real.join(hot, "approval_id", "left_semi").select(real.columns), fold, "approval_id",
+            order, max_group_rows, slices))
     df = _with(df, conflict=conflict_reason())
     df = _with(df, accepted=F.col("conflict").isNull())
-    return df.select(*attempts.columns, "known", "prior_status", "accepted", "conflict",
-                     "new_status")
+    # what has no approval is never accepted: readers of accepted attempts do not touch it
+    unknown = with_validity(_with(attempts.join(known, "approval_id", "left_anti").select(
+        attempts.columns), known=F.lit(False)))
+    unknown = unknown.select(
+        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fold.outputs.fields])
+    unknown = _with(unknown, conflict=conflict_reason(), accepted=F.lit(False))
+    out = [*attempts.columns, "known", "prior_status", "accepted", "conflict", "new_status"]
+    return df.select(out).unionByName(unknown.select(out))
 
 
 def replay(approvals: DataFrame, classified: DataFrame, order, ts="ts") -> DataFrame:

@@ -995,17 +995,17 @@ def stream_traffic_guard(spark, sf):
         *_GUARD_OUT, F.round("tokens", 6).alias("tokens"))
 
 
-_HOUR_US = 3_600_000_000
+_DAY_US = 86_400_000_000
 
 
 @register("stream_event_time", f"WITH RECURSIVE {O.BUCKET} SELECT key_id, seq, allowed, "
-          f"round(tokens, 6) AS tokens FROM fold WHERE (us // {_HOUR_US} + 1) * {_HOUR_US} < "
-          f"(SELECT max(us) FROM requests) - {_HOUR_US}")
+          f"round(tokens, 6) AS tokens FROM fold WHERE (us // {_DAY_US} + 1) * {_DAY_US} < "
+          f"(SELECT max(us) FROM requests) - 3600000000")
 def stream_event_time(spark, sf):
-    """Buckets in event time: the hours that the watermark, an hour behind, has passed."""
+    """Buckets in event time: the days that the watermark, an hour behind, has passed."""
     rows, _ = event_time.drain_split(event_time.token_bucket(
         _stream_requests(spark, sf), "1 hour", X.BUCKET_CAPACITY, X.BUCKET_RATE,
-        slot_ms=_HOUR_US // 1000), "event-time")
+        slot_ms=_DAY_US // 1000), "event-time")
     return rows.select("key_id", "seq", "allowed", F.round("tokens", 6).alias("tokens"))
 
 
