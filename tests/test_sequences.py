@@ -327,3 +327,23 @@ def test_saturated_key_takes_few_rounds(spark, most, monkeypatch):
     want = traffic.cooldowns(scored, 5, 30 * SECOND)
     assert sorted(got.collect()) == sorted(want.collect())
     assert 10 < got.filter("entered AND key_id = 1").count() < 100
+
+
+def test_score_of_a_crowded_hour_over_equal_slices(spark):
+    """One key with all its rows in one hour: as many slices as asked for, of like size."""
+    rng = random.Random(21)
+    rows = [(1 if i % 8 else None if i % 16 else 3, i * SECOND // 3 + rng.randint(0, 900_000), i,
+             rng.randint(0, 3)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "key_id long, us long, seq long, points int")
+    want = traffic.abuse_score(df, SECOND // 2)
+    got = traffic.abuse_score(df, SECOND // 2, max_group_rows=100, slices=8)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    scores, last, at = {}, {}, {}
+    for key, us, seq, points in sorted(rows, key=lambda r: r[1:3]):
+        if key in last:
+            last[key] = max(0, last[key] - (us - at[key]) // (SECOND // 2))
+        last[key], at[key] = last.get(key, 0) + points, us
+        scores[seq] = last[key]
+    assert {r.seq: r.score for r in got.collect()} == scores
+    sizes = [r["count"] for r in traffic._equal_slices(df, 8).groupBy("_chunk").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1000

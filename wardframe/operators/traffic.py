@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .replay import MAX_GROUP_ROWS, Fold, replay
+from ..plans.session import ensure_checkpoint_dir
+from .replay import MAX_GROUP_ROWS, SLICE_ROWS, Fold, replay
 from .scan import _with
 from .sequence import DAY_US, HOUR_US, with_chunk  # noqa: F401
 
@@ -171,15 +172,44 @@ def violation_points(responses: DataFrame, path="path", status="status") -> Data
     return _with(responses, points=points(path, status), reason=points_reason(path, status))
 
 
-def abuse_score(violations: DataFrame, decay_us=DECAY_US, chunk_us=HOUR_US) -> DataFrame:
+def abuse_score(violations: DataFrame, decay_us=DECAY_US, chunk_us=HOUR_US,
+                max_group_rows=MAX_GROUP_ROWS, slices=None) -> DataFrame:
     """Append the decayed score after each recorded violation(key_id, us, seq, points).
 
     The recurrence s = max(0, s - floor(gap / decay)) + p is a running sum with a floor at zero:
     with U the sum of earlier points less the decays up to now, s = U - min(0, lowest U) + p. Both
-    running values are taken per (key, chunk of time); one summary row per chunk links the chunks,
-    so a key is never gathered into one task.
+    running values are taken per (key, chunk); one summary row per chunk, its sum and its lowest
+    point, links the chunks, so a key is never gathered into one task. A chunk is a stretch of
+    time; keys with a chunk of more than `max_group_rows` rows have slices of equally many rows
+    instead, however close together these lie.
     """
     df = with_chunk(violations, "us", chunk_us)
+    crowded = df.groupBy("key_id", "_chunk").agg(F.count(F.lit(1)).alias("n")).filter(
+        F.col("n") > max_group_rows)
+    if crowded.isEmpty():
+        return _scores(df, violations.columns, decay_us)
+    hot = crowded.select(F.col("key_id").alias("_hot")).distinct()
+    is_hot = F.col("key_id").eqNullSafe(F.col("_hot"))  # the null key may be a hot one
+    cold = df.join(hot, is_hot, "left_anti").select(df.columns)
+    sliced = _equal_slices(violations.join(hot, is_hot, "left_semi").select(violations.columns),
+                           slices)
+    return _scores(cold, violations.columns, decay_us).unionByName(
+        _scores(sliced, violations.columns, decay_us))
+
+
+def _equal_slices(df: DataFrame, slices=None) -> DataFrame:
+    """The rows with a `_chunk`: ranges of (key, time) of about equally many rows, kept with the
+    rows, as a task's own number changes with the plan."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = slices or max(-(-df.count() // SLICE_ROWS),
+                      int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _with(df.repartitionByRange(n, "key_id", *ORDER), _chunk=F.spark_partition_id().cast(
+        "long")).checkpoint(eager=True)
+
+
+def _scores(df: DataFrame, columns, decay_us) -> DataFrame:
+    """`abuse_score` of rows with chunks."""
     place = F.struct(*ORDER)
     chunk = Window.partitionBy("key_id", "_chunk").orderBy(*ORDER)
     upto = chunk.rowsBetween(Window.unboundedPreceding, 0)
@@ -204,10 +234,11 @@ def abuse_score(violations: DataFrame, decay_us=DECAY_US, chunk_us=HOUR_US) -> D
     heads = heads.select("key_id", "_chunk", "_base", F.coalesce(
         F.min(F.col("_base") + F.col("_dip")).over(before), F.lit(0)).alias("_past"))
 
-    df = df.join(heads, ["key_id", "_chunk"], "left")
+    same = df["key_id"].eqNullSafe(heads["key_id"]) & (df["_chunk"] == heads["_chunk"])
+    df = df.join(heads, same, "left").drop(heads["key_id"], heads["_chunk"])
     u = F.col("_base") + F.col("_sum")
     floor = F.least(F.lit(0), F.col("_past"), F.col("_base") + F.col("_low"))
-    return df.select(*[F.col(c) for c in violations.columns],
+    return df.select(*[F.col(c) for c in columns],
                      (u - floor + F.col("points")).cast("int").alias("score"))
 
 
