@@ -50,30 +50,65 @@ def test_filter_counts():
     rnd = np.random.default_rng(5)
     h = rnd.integers(0, 1 << 63, 20_000).astype(np.uint64)
     counts = np.maximum(1, (rnd.pareto(1, len(h)) * 2).astype(np.int64))
-    level = np.floor(np.log2(counts) * lm.SCALE + 1e-9).astype(np.int64) + 1
-    bits, data = 1 << 20, np.zeros((1 << 20) // 8, np.uint8)
-    import pyarrow as pa
-    batch = pa.RecordBatch.from_pydict({"h": h.view(np.int64), "level": level.astype(np.int32)})
-    share = bits // 8 // lm.SEGMENTS
-    for b in lm._fill(bits)([batch]):
-        for s, x in zip(b.column("segment").to_pylist(), b.column("bits").to_pylist()):
-            data[s * share:(s + 1) * share] = np.frombuffer(x, np.uint8)
-    got = lm.Filter(data, bits).counts(h)
+    words = lm.fill(h, lm.levels(counts))
+    read = lm.Filter(np.array([len(words)]), words, 0)
+    got = lm.middles(read.levels(h))
     assert (got >= counts / 2 ** (1 / lm.SCALE) - 1).all()  # never far below
     assert np.mean(np.abs(np.log2(got / counts)) < 1) > 0.95
-    absent = lm.Filter(data, bits).counts(rnd.integers(0, 1 << 63, 20_000).astype(np.uint64))
+    small = counts <= 3
+    assert np.mean(got[small] == counts[small]) > 0.95  # exact but for false hits
+    absent = read.levels(rnd.integers(0, 1 << 63, 20_000).astype(np.uint64))
     assert (absent > 0).mean() < 0.05
 
 
-def test_levels_fit_the_bound():
-    assert lm.choose_levels({1: 1000, 3: 10}, 1 << 29) == (1, 1 << 16)
-    least, bits = lm.choose_levels({1: 10_000_000, 3: 1_000_000, 5: 1000}, 1 << 20)
-    assert least in (4, 5) and bits <= 1 << 20
+def prose(seed=4):
+    rnd = random.Random(seed)
+    lines = [" ".join(f"w{rnd.randint(0, 3000)}" for _ in range(30)) for _ in range(40)]
+    return [(i, "\n".join(rnd.choice(lines) for _ in range(12))) for i in range(300)]
+
+
+def test_scores_against_plain_counts(spark):
+    """Exact counts, pairs seen once included: the filter's scores are near theirs."""
+    rnd = random.Random(8)
+    known = [(i, " ".join(f"w{min(int(rnd.paretovariate(0.6)), 4000)}" for _ in range(150)))
+             for i in range(400)]
+    train = [tokens(t) for i, t in known if not held(i)]
+    single = Counter(w for t in train for w in t)
+    pair = Counter(p for t in train for p in zip([None, *t], t))
+    assert sum(c == 1 for c in pair.values()) > len(pair) / 2
+    n, v = sum(single.values()), len(single)
+    off = []
+    for r in lm.lm_scores(cases.documents(spark, known)).collect():
+        t = tokens(dict(known)[r.doc_id])
+        want = 0
+        for a, b in zip([None, *t], t):
+            c = len(train) if a is None else single[a]
+            want += math.log10(lm.PAIR_WEIGHT * (min(pair[a, b] / c, 1) if c else 0)
+                               + (1 - lm.PAIR_WEIGHT) * (single[b] + 1) / (n + v + 1))
+        off.append((r.score - want) / len(t))
+    assert max(map(abs, off)) < 0.1 and abs(np.mean(off)) < 0.03
+
+
+def test_segments_give_the_same_scores(spark):
+    docs = cases.documents(spark, prose() + cases.TEXTS)
+    rows = [sorted(map(repr, lm.lm_scores(docs, **bound).collect()))
+            for bound in ({}, {"max_bits": 0}, {"exact_words": 0})]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 300 + len(cases.TEXTS)
+
+
+def test_many_segments(spark, monkeypatch):
+    docs = cases.documents(spark, prose())
+    want = {r.doc_id: r for r in lm.lm_scores(docs).collect()}
+    monkeypatch.setattr(lm, "SEGMENT_BYTES", 256)
+    monkeypatch.setattr(lm, "ASKED", 500)
+    rows = lm.lm_scores(docs, max_bits=0).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        assert math.isclose(r.base_score, want[r.doc_id].base_score)
+        assert r.n_known == want[r.doc_id].n_known
+        assert abs(r.score - want[r.doc_id].score) < 0.1 * r.n_tokens
 
 
 def test_pairs_help(spark):
-    rnd = random.Random(4)
-    lines = [" ".join(f"w{rnd.randint(0, 3000)}" for _ in range(30)) for _ in range(40)]
-    texts = [(i, "\n".join(rnd.choice(lines) for _ in range(12))) for i in range(300)]
-    rows = [r for r in lm.lm_scores(cases.documents(spark, texts)).collect() if r.held_out]
+    rows = [r for r in lm.lm_scores(cases.documents(spark, prose())).collect() if r.held_out]
     assert rows and sum(r.score for r in rows) > 0.8 * sum(r.base_score for r in rows)

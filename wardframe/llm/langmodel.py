@@ -1,13 +1,14 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
-Words and word pairs are 64-bit hashes, counted over all training documents by one aggregation.
-A count is quantised on a logarithmic scale to a level, and the n-gram is inserted once for each
-level up to its own; repeated membership probes of rising level read it back until one misses.
-The filter is blocked: an n-gram's probes lie in one segment, segments are built by their own
-tasks, and the whole filter, never larger than `MAX_BITS`, is broadcast. Pairs seen once are left
-out; if the rest does not fit, the smallest level that is kept rises, by a histogram of all
-counts. The base score needs exact counts: they are broadcast while there are at most
-`EXACT_WORDS` words; beyond that, every document's words are joined with them.
+Words and word pairs are 64-bit hashes. Tasks count them over all training documents in bounded
+chunks; the partial counts meet in one exchange by segment, the upper bits of the hash, and are
+summed in hash order. A count is quantised on a logarithmic scale to a level, and the n-gram is
+inserted once for each level up to its own; repeated membership probes of rising level read it
+back until one misses. Every n-gram is inserted. A segment is as large as its own n-grams ask,
+and their number grows with the texts. All segments together are broadcast while they and the
+exact word counts, which the base score needs, stay below `MAX_BITS` and `EXACT_WORDS`; beyond
+that, chunks of n-grams are sent to the segments and the answers back to the chunk's documents.
+Both ways read the same segments and give the same scores.
 """
 
 import math
@@ -20,21 +21,24 @@ from pyspark.sql import functions as F
 from .common import raw, small_batches, texts, written
 
 FOLDS, HELD = 7, 2
-#: Largest filter that is broadcast: 64 MB.
-MAX_BITS = 1 << 29
+#: Largest filter that is broadcast: 128 MB.
+MAX_BITS = 1 << 30
 BITS_EACH = 10
+#: Bits that an insertion sets, all in one 64-bit word.
 PROBES = 4
-SEGMENTS = 64
+#: Segments at least, as a power of two, and bytes of training text for each beyond that.
+LEAST_SEGMENTS, SEGMENT_BYTES = 6, 4 << 20
 #: Levels per doubling of a count.
 SCALE = 2
-MIN_PAIR = 2
 #: Weight of pairs against single words in the smoothed probability.
-PAIR_WEIGHT = 0.1
+PAIR_WEIGHT = 0.5
 #: Words whose exact counts may be broadcast, 12 bytes each.
 EXACT_WORDS = 1 << 23
 BATCH = 1 << 20
 #: N-grams that a task counts before it passes them on.
 FLUSH = 2_500_000
+#: N-grams that a chunk of documents asks the segments for at once.
+ASKED = 1 << 19
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -117,159 +121,325 @@ def _count(batches):
         yield from flush()
 
 
-def level_of(c):
-    """Level column of a count column: 1 for one, SCALE more for each doubling."""
-    return (F.floor(F.log2(c) * SCALE + 1e-9) + 1).cast("int")
+def levels(c):
+    """Level of each count: 1 for one, 2 for two, SCALE more for each doubling."""
+    return np.maximum(1, np.floor(np.log2(c) * SCALE + 1e-9).astype(np.int64))
 
 
-def _segment_of(h):
-    return (mixed(h) >> _U(64 - int(math.log2(SEGMENTS)))).astype(np.int64)
+def middles(level):
+    """Middle of the range of counts that share a level; zero for level zero."""
+    low = np.ceil(2.0 ** (level / SCALE) - 1e-9)
+    high = np.maximum(np.ceil(2.0 ** ((level + 1) / SCALE) - 1e-9) - 1, low)
+    return np.where(level > 1, (low + high) / 2, np.minimum(level, 1).astype(float))
 
 
-def _places(h, level, bits):
-    """Bit places of (n-gram, level) inside its segment, PROBES columns."""
-    a = mixed(h + _U(0x632BE59BD9B4E019) * level.astype(_U))
-    b = mixed(a + _U(0x9E3779B97F4A7C15)) | _U(1)
-    inside = _U(bits // SEGMENTS - 1)
-    return [((a + _U(i) * b) >> _U(7)) & inside for i in range(PROBES)]
+def _segment_of(h, k):
+    return (h >> _U(64 - k)).astype(np.int64) if k else np.zeros(len(h), np.int64)
 
 
-def _fill(bits):
-    size = bits // SEGMENTS
+def _mask(h, level):
+    """(hash, PROBES bits of one 64-bit word) of (n-gram, level)."""
+    a = mixed(h + _U(0x632BE59BD9B4E019) * level.astype(_U))
+    mask = np.zeros(len(a), _U)
+    for i in range(PROBES):
+        mask |= _U(1) << ((a >> _U(6 * i)) & _U(63))
+    return a >> _U(32), mask
 
-    def run(batches):
-        built = {}
-        for batch in batches:
-            h = batch.column("h").to_numpy().view(_U)
-            level = batch.column("level").to_numpy()
-            segment = _segment_of(h)
-            for s in np.unique(segment).tolist():
-                mine = segment == s
-                own, top = h[mine], level[mine]
-                flags = built.setdefault(s, np.zeros(size, bool))
-                for n in range(1, int(top.max()) + 1):
-                    for at in _places(own[top >= n], np.array(n), bits):
-                        flags[at] = True
-        for s, flags in built.items():
-            yield pa.RecordBatch.from_pydict(
-                {"segment": [s], "bits": [np.packbits(flags, bitorder="little").tobytes()]},
-                pa.schema([("segment", pa.int32()), ("bits", pa.binary())]))
-    return run
+
+def fill(h, level):
+    """The 64-bit words of a filter that holds every n-gram at all levels up to its own."""
+    words = np.zeros(max(1, math.ceil(int(level.sum()) * BITS_EACH / 64)), _U)
+    for n in range(1, int(level.max(initial=0)) + 1):
+        a, mask = _mask(h[level >= n], np.array(n))
+        np.bitwise_or.at(words, ((a * _U(len(words))) >> _U(32)).astype(np.int64), mask)
+    return words
 
 
 class Filter:
-    """Counts of n-grams by membership probes."""
-
-    def __init__(self, data, bits):
-        self.data, self.bits = data, bits
-
-    def has(self, h, level):
-        base = _segment_of(h).astype(_U) * _U(self.bits // SEGMENTS)
-        found = np.ones(len(h), bool)
-        for at in _places(h, level, self.bits):
-            at = at + base
-            live = np.flatnonzero(found)
-            at = at[live]
-            found[live] = (self.data[(at >> _U(3)).astype(np.int64)]
-                           >> (at & _U(7)).astype(np.uint8)) & 1 > 0
-        return found
-
-    def counts(self, h):
-        """Middle of the count range of the highest level reached; zero if the first misses."""
-        level, live, n = np.zeros(len(h), np.int64), np.arange(len(h)), 0
+    """Levels of n-grams by membership probes in 2^k segments, whose words follow each other."""
+
+    def __init__(self, size, words, k):
+        self.words, self.k = words, k
+        self.size, self.start = size.astype(_U), np.cumsum(size) - size
+
+    def levels(self, h):
+        """The highest level that is reached without a miss."""
+        segment = _segment_of(h, self.k)
+        size, start = self.size[segment], self.start[segment]
+        level, live, n = np.zeros(len(h), np.int64), np.flatnonzero(size), 0
         while len(live):
             n += 1
-            live = live[self.has(h[live], np.array(n))]
+            a, mask = _mask(h[live], np.array(n))
+            at = start[live] + ((a * size[live]) >> _U(32)).astype(np.int64)
+            live = live[self.words[at] & mask == mask]
             level[live] = n
-        low = np.ceil(2.0 ** ((level - 1) / SCALE) - 1e-9)
-        high = np.maximum(np.ceil(2.0 ** (level / SCALE) - 1e-9) - 1, low)
-        return np.where(level > 0, (low + high) / 2, 0.0)
+        return level
+
+
+def _found(known, count, h):
+    """The counts beside the sorted keys `known`, zero for other hashes."""
+    if not len(known):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[at] == h, count[at], 0).astype(np.int64)
+
+
+class Held:
+    """Answers from the broadcast segments and word counts."""
+
+    def __init__(self, filter_, known, count):
+        self.filter, self.known, self.count = filter_, known, count
+
+    def levels(self, h):
+        return self.filter.levels(h)
+
+    def exact(self, h):
+        return _found(self.known, self.count, h)
+
+
+class Answered:
+    """Answers that the segments sent for the n-grams of one chunk."""
+
+    def __init__(self, h, level, count):
+        order = np.argsort(h)
+        self.h, self.level, self.count = h[order], level[order], count[order]
+
+    def levels(self, h):
+        return _found(self.h, self.level, h)
+
+    def exact(self, h):
+        return _found(self.h, self.count, h)
 
 
 class Model:
-    """The broadcast filter with the corpus totals."""
+    """Corpus totals and the formulas of both scores."""
 
-    def __init__(self, filter_, tokens, vocabulary, documents):
-        self.filter, self.tokens = filter_, tokens
-        self.vocabulary, self.documents = vocabulary, documents
+    def __init__(self, tokens, vocabulary, documents):
+        self.tokens, self.vocabulary, self.documents = tokens, vocabulary, documents
 
-    def log10(self, tokens, first):
-        """log10 of the smoothed probability of each token after the one before it."""
-        if not self.tokens:
-            return np.zeros(len(tokens))  # one token is possible: END
+    def scores(self, answers, tokens, first):
+        """(known tokens, base score, score) of each text."""
+        if not self.tokens:  # one token is possible: END
+            return np.zeros(len(first), np.int64), np.zeros(len(first)), np.zeros(len(first))
         key, place = np.unique(unigrams(tokens), return_inverse=True)
-        single = self.filter.counts(key)[place]
+        exact, single = answers.exact(key), middles(answers.levels(key))[place]
+        base = np.log10((exact + 1) / (self.tokens + self.vocabulary + 1))
+        known = np.add.reduceat((exact > 0)[place].astype(np.int64), first)
+        base = np.add.reduceat(base[place], first)
         key, place = np.unique(bigrams(tokens, first), return_inverse=True)
-        together = self.filter.counts(key)[place]
+        together = middles(answers.levels(key))[place]
         context = np.concatenate([[0.0], single[:-1]])
         context[first] = self.documents
         alone = (single + 1) / (self.tokens + self.vocabulary + 1)
         with np.errstate(divide="ignore", invalid="ignore"):
             after = np.where((together > 0) & (context > 0),
                              np.minimum(together / context, 1.0), 0.0)
-        return np.log10(PAIR_WEIGHT * after + (1 - PAIR_WEIGHT) * alone)
+        return known, base, np.add.reduceat(
+            np.log10(PAIR_WEIGHT * after + (1 - PAIR_WEIGHT) * alone), first)
+
+
+SEGMENT = ("segment long, data binary, known binary, times binary, tokens long, vocabulary long, "
+           "documents long")
+
+
+def _summed(k):
+    """Whole segments of (h, c) in hash order: filter, word hashes, their counts and totals."""
+    end = unigrams(np.array([END], _U))[0]
+    schema = pa.schema([("segment", pa.int64()), ("data", pa.binary()), ("known", pa.binary()),
+                        ("times", pa.binary()), ("tokens", pa.int64()),
+                        ("vocabulary", pa.int64()), ("documents", pa.int64())])
+
+    def finished(h, c):
+        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        h, c = h[edge], np.add.reduceat(c, edge)
+        segment = _segment_of(h, k)
+        cuts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(h)]):
+            own, times = h[a:b], c[a:b]
+            word = own & _U(1) == 0
+            known, count = own[word], times[word]
+            yield pa.RecordBatch.from_pylist([{
+                "segment": int(segment[a]), "data": fill(own, levels(times)).tobytes(),
+                "known": known.tobytes(), "times": count.tobytes(), "tokens": int(count.sum()),
+                "vocabulary": len(known), "documents": int(count[known == end].sum())}], schema)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append((batch.column("h").to_numpy().view(_U), batch.column("c").to_numpy()))
+            size += batch.num_rows
+            if size > FLUSH // 4:
+                h, c = (np.concatenate(x) for x in zip(*held))
+                cut = int(np.flatnonzero(_segment_of(h, k) == _segment_of(h[-1:], k))[0])
+                if cut:
+                    yield from finished(h[:cut], c[:cut])
+                held, size = [(h[cut:], c[cut:])], len(h) - cut
+        if held:
+            yield from finished(*(np.concatenate(x) for x in zip(*held)))
+    return run
 
 
-def _score(parts, bits, totals, exact):
-    """Scores of all texts. `parts` and `exact` are broadcasts; without `exact`, the words of
-    every document come along for a join."""
-    n_tokens, vocabulary, documents = totals
+def ngram_segments(rows):
+    """(table of segments, k): one row for each of the 2^k segments that holds an n-gram."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    k = max(LEAST_SEGMENTS, math.ceil(math.log2(max(1, size / SEGMENT_BYTES))))
+    counts = rows.select("text").mapInArrow(_count, "h long, c long")
+    dealt = counts.repartition(F.shiftrightunsigned("h", 64 - k)).sortWithinPartitions("h")
+    return written(dealt.mapInArrow(_summed(k), SEGMENT), "segments"), k
 
+
+SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, "
+          "score double")
+NAMES = [c.split()[0] for c in SCORED.split(", ")]
+
+
+def _score(parts, k, totals):
+    """Scores of all texts by the broadcast segments and word counts."""
     def run(batches):
-        words, part, row = Words(), TaskContext.get().partitionId(), 0
-        model = Model(Filter(parts.value, bits), n_tokens, vocabulary, documents)
-        known = exact.value if exact is not None else None
+        words, model = Words(), Model(*totals)
+        size, data, known, count = parts.value
+        answers = Held(Filter(size, data, k), known, count)
         for batch in small_batches(batches, BATCH):
             tokens, first = words(*raw(batch.column("text")))
-            size = np.diff(np.concatenate([first, [len(tokens)]]))
-            score = np.add.reduceat(model.log10(tokens, first), first)
-            out = [batch.column("doc_id"), batch.column("held_out"),
-                   pa.array((np.int64(part) << 33) + row + np.arange(len(first))),
-                   pa.array(size), pa.array(score)]
-            row += len(first)
-            key, place = np.unique(unigrams(tokens), return_inverse=True)
-            if known is not None:
-                at = np.minimum(np.searchsorted(known[0], key), max(len(known[0]) - 1, 0))
-                c = np.where(known[0][at] == key, known[1][at], 0) if len(known[0]) \
-                    else np.zeros(len(key), np.int64)
-                base = np.log10((c.astype(np.float64) + 1) / (n_tokens + vocabulary + 1))
-                out += [pa.array(np.add.reduceat((c > 0)[place].astype(np.int64), first)),
-                        pa.array(np.add.reduceat(base[place], first)),
-                        pa.nulls(len(first), pa.list_(pa.int64())),
-                        pa.nulls(len(first), pa.list_(pa.int64()))]
-            else:
-                bags = [np.unique(x, return_counts=True)
-                        for x in np.split(key[place].view(np.int64), first[1:])]
-                out += [pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.float64()),
-                        pa.array([b[0].tolist() for b in bags], pa.list_(pa.int64())),
-                        pa.array([b[1].tolist() for b in bags], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(
-                out, ["doc_id", "held_out", "row", "n_tokens", "score", "n_known", "base_score",
-                      "words", "times"])
+                [batch.column("doc_id"), batch.column("held_out"),
+                 pa.array(np.diff(np.concatenate([first, [len(tokens)]])))]
+                + [pa.array(x) for x in model.scores(answers, tokens, first)], NAMES)
     return run
 
 
-SCORED = ("doc_id long, held_out boolean, row long, n_tokens long, score double, n_known long, "
-          "base_score double, words array<long>, times array<long>")
+ASK = "chunk long, segment long, doc_id long, held_out boolean, data binary"
+_ASK = pa.schema([("chunk", pa.int64()), ("segment", pa.int64()), ("doc_id", pa.int64()),
+                  ("held_out", pa.bool_()), ("data", pa.binary())])
 
 
-def ngram_counts(rows):
-    """(h, c): counts of single words (even keys) and pairs seen twice or more (odd keys)."""
-    counts = rows.select("text").mapInArrow(_count, "h long, c long").groupBy("h").agg(
-        F.sum("c").alias("c"))
-    return written(counts.filter((F.col("h").bitwiseAND(F.lit(1)) == 0)
-                                 | (F.col("c") >= MIN_PAIR)), "ngrams")
+def _ask(k):
+    """Documents as token hashes, and for each chunk of them its distinct n-grams by segment."""
+    def run(batches):
+        words, chunk, keys, size = Words(), TaskContext.get().partitionId() << 33, [], 0
+
+        def asked():
+            h = np.unique(np.concatenate(keys))
+            segment = _segment_of(h, k)
+            cuts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
+            for at in range(0, len(cuts), 1 << 12):
+                own = cuts[at:at + (1 << 12)]
+                ends = np.append(cuts, len(h))[at + 1:at + 1 + len(own)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(own), chunk)), pa.array(segment[own]),
+                     pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.bool_()),
+                     pa.array([h[a:b].tobytes() for a, b in zip(own, ends)], pa.binary())],
+                    schema=_ASK)
 
+        for batch in small_batches(batches, BATCH):
+            tokens, first = words(*raw(batch.column("text")))
+            ends = np.append(first[1:], len(tokens))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(first), chunk)), pa.nulls(len(first), pa.int64()),
+                 batch.column("doc_id"), batch.column("held_out"),
+                 pa.array([tokens[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())],
+                schema=_ASK)
+            keys += [unigrams(tokens), bigrams(tokens, first)]
+            size += 2 * len(tokens)
+            if size > ASKED:
+                yield from asked()
+                chunk, keys, size = chunk + 1, [], 0
+        if keys:
+            yield from asked()
+    return run
+
+
+ANSWER = "chunk long, data binary, level binary, times binary"
 
-def choose_levels(histogram, max_bits):
-    """(smallest level kept, bits) of the histogram {level: n-grams}: what fits, by all counts."""
-    top = max(histogram, default=1)
-    for least in range(1, top + 1):
-        inserts = sum(n * level for level, n in histogram.items() if level >= least)
-        bits = 1 << max(16, math.ceil(math.log2(max(1, inserts * BITS_EACH))))
-        if bits <= max_bits or inserts * (BITS_EACH - 2) <= max_bits:
-            return least, min(bits, max_bits)
-    return top, max_bits
+
+def _answer(k):
+    """For segments, each followed by what chunks ask of it: levels and exact word counts."""
+    def run(batches):
+        at, filter_, known, count = None, None, None, None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["chunk"] is None:
+                    at, data = r["segment"], np.frombuffer(r["data"], _U)
+                    filter_ = Filter(np.array([len(data)]), data, 0)
+                    known = np.frombuffer(r["known"], _U)
+                    count = np.frombuffer(r["times"], np.int64)
+                    continue
+                h = np.frombuffer(r["data"], _U)
+                held = at == r["segment"]
+                out.append({"chunk": r["chunk"], "data": r["data"],
+                            "level": (filter_.levels(h) if held else np.zeros(len(h), np.int64))
+                            .astype(np.uint8).tobytes(),
+                            "times": (_found(known, count, h) if held
+                                      else np.zeros(len(h), np.int64)).tobytes()})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([
+                ("chunk", pa.int64()), ("data", pa.binary()), ("level", pa.binary()),
+                ("times", pa.binary())]))
+    return run
+
+
+def _join(totals):
+    """For each chunk its answers, followed by its documents: the documents' scores."""
+    def run(batches):
+        model, at, held, answers = Model(*totals), None, [], None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["chunk"] != at:
+                    at, held, answers = r["chunk"], [], None
+                if r["level"] is not None:
+                    held.append((np.frombuffer(r["data"], _U),
+                                 np.frombuffer(r["level"], np.uint8).astype(np.int64),
+                                 np.frombuffer(r["times"], np.int64)))
+                    continue
+                if answers is None:
+                    answers, held = Answered(*(np.concatenate(x) for x in zip(*held))), []
+                tokens = np.frombuffer(r["data"], _U)
+                got = model.scores(answers, tokens, np.zeros(1, np.int64))
+                out.append((r["doc_id"], r["held_out"], len(tokens), *(x[0] for x in got)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([o[i] for o in out], t) for i, t in enumerate(
+                    (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(),
+                     pa.float64()))], NAMES)
+    return run
+
+
+def _by_segments(rows, segments, k, totals):
+    """The scores without a broadcast: every chunk asks the segments. Tasks hold one segment or
+    the answers of one chunk at a time."""
+    asked = written(rows.mapInArrow(_ask(k), ASK), "asked")
+    none = F.lit(None)
+    questions = asked.filter("segment IS NOT NULL").select(
+        "segment", "chunk", "data", none.cast("binary").alias("known"),
+        none.cast("binary").alias("times"))
+    stores = segments.select("segment", none.cast("long").alias("chunk"), "data", "known", "times")
+    answers = stores.unionByName(questions).repartition("segment").sortWithinPartitions(
+        F.col("segment"), F.col("chunk").asc_nulls_first()).mapInArrow(_answer(k), ANSWER)
+    answers = answers.select("chunk", "data", "level", "times",
+                             none.cast("long").alias("doc_id"),
+                             none.cast("boolean").alias("held_out"))
+    papers = asked.filter("segment IS NULL").select(
+        "chunk", "data", none.cast("binary").alias("level"), none.cast("binary").alias("times"),
+        "doc_id", "held_out")
+    return answers.unionByName(papers).repartition("chunk").sortWithinPartitions(
+        F.col("chunk"), F.col("level").isNull()).mapInArrow(_join(totals), SCORED)
+
+
+def _broadcast(segments, k):
+    """Sizes and words of all segments, word hashes in order and their counts."""
+    size, parts, known, count = np.zeros(1 << k, np.int64), {}, [], []
+    for r in segments.select("segment", "data", "known", "times").toLocalIterator():
+        parts[r.segment] = np.frombuffer(r.data, _U)
+        size[r.segment] = len(parts[r.segment])
+        known.append((r.segment, np.frombuffer(r.known, _U)))
+        times = np.frombuffer(r.times, np.int64)
+        count.append((r.segment, times if times.max(initial=0) >> 32 else times.astype(np.uint32)))
+    none = np.zeros(0, _U)
+    joined = [np.concatenate([x for _, x in sorted(c, key=lambda x: x[0])] or [none])
+              for c in (list(parts.items()), known, count)]
+    return segments.sparkSession.sparkContext.broadcast((size, *joined))
 
 
 def lm_scores(docs, max_bits=MAX_BITS, exact_words=EXACT_WORDS):
@@ -278,58 +448,19 @@ def lm_scores(docs, max_bits=MAX_BITS, exact_words=EXACT_WORDS):
     Documents whose crc32(doc_id as text) mod 7 is 2 are held out, the others train; one with a
     null doc_id trains. Null texts are empty and have the end token alone. Repeated rows count and
     come out as often as they come. Without training documents no token is known. Empty tables
-    give no rows; other columns are not read.
+    give no rows; other columns are not read. A filter above `max_bits`, or more than
+    `exact_words` words, is not broadcast; the scores are the same.
     """
-    spark = docs.sparkSession
     rows = texts(docs).withColumn("held_out", F.coalesce(
         F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD, F.lit(False)))
-    counts = ngram_counts(rows.filter("NOT held_out"))
-    single = F.col("h").bitwiseAND(F.lit(1)) == 0
-    stats = counts.groupBy(single.alias("single"), level_of(F.col("c")).alias("level")).agg(
-        F.count("*").alias("n"), F.sum("c").alias("c")).collect()  # some 130 rows at most
-    n_tokens = sum(r.c for r in stats if r.single)
-    vocabulary = sum(r.n for r in stats if r.single)
-    histogram = {}
-    for r in stats:
-        histogram[r.level] = histogram.get(r.level, 0) + r.n
-    least, bits = choose_levels(histogram, max_bits)
-    end = int(unigrams(np.array([END], _U)).view(np.int64)[0])
-    documents = counts.filter(F.col("h") == end).agg(F.sum("c")).first()[0] or 0
-    kept = counts.select("h", level_of(F.col("c")).alias("level")).filter(F.col("level") >= least)
-    segments = kept.mapInArrow(_tagged, "segment int, h long, level int").repartition(
-        SEGMENTS, "segment").mapInArrow(_fill(bits), "segment int, bits binary")
-    data = np.zeros(bits // 8, np.uint8)
-    share = bits // 8 // SEGMENTS
-    for r in segments.toLocalIterator():  # SEGMENTS rows, the filter's size in all
-        data[r.segment * share:(r.segment + 1) * share] = np.frombuffer(r.bits, np.uint8)
-    parts = spark.sparkContext.broadcast(data)
-    exact = None
-    if vocabulary <= exact_words:
-        table = counts.filter(single).toArrow()
-        h, c = table.column("h").to_numpy().view(_U), table.column("c").to_numpy()
-        if not len(c) or c.max() < 1 << 32:
-            c = c.astype(np.uint32)
-        order = np.argsort(h)
-        exact = spark.sparkContext.broadcast((h[order], c[order]))
-        del table, h, c, order
-    scored = rows.mapInArrow(_score(parts, bits, (n_tokens, vocabulary, documents), exact), SCORED)
-    if exact is None:
-        scored = written(scored, "scored")
-        bag = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select(
-            "row", F.col("w.words").alias("h"), F.col("w.times").alias("times"))
-        c = F.coalesce(F.col("c"), F.lit(0))
-        sums = bag.join(counts.filter(single), "h", "left").groupBy("row").agg(
-            F.sum(F.when(c > 0, F.col("times")).otherwise(F.lit(0))).alias("n_known"),
-            F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(n_tokens + vocabulary + 1))))
-            .alias("base_score"))
-        scored = scored.drop("n_known", "base_score").join(sums, "row")
+    segments, k = ngram_segments(rows.filter("NOT held_out"))
+    got = segments.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (
+        "tokens", "vocabulary", "documents", F.octet_length("data") * 8)]).first()
+    totals, bits = tuple(got)[:3], got[3]
+    if bits <= max_bits and totals[1] <= exact_words:
+        scored = rows.mapInArrow(_score(_broadcast(segments, k), k, totals), SCORED)
+    else:
+        scored = _by_segments(rows, segments, k, totals)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known",
-                         F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _tagged(batches):
-    for batch in batches:
-        h = batch.column("h").to_numpy().view(_U)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(_segment_of(h).astype(np.int32)), batch.column("h"),
-             batch.column("level")], ["segment", "h", "level"])
+                         F.lit(totals[0]).cast("long").alias("train_tokens"), "base_score",
+                         "score")
