@@ -27,7 +27,7 @@ BITS_EACH = 10
 #: Bits that an insertion sets, all in one 64-bit word.
 PROBES = 4
 #: Segments at least, as a power of two, and bytes of training text for each beyond that.
-LEAST_SEGMENTS, SEGMENT_BYTES = 6, 4 << 20
+LEAST_SEGMENTS, SEGMENT_BYTES = 6, 1 << 20
 #: Levels per doubling of a count.
 SCALE = 2
 #: Weight of pairs against single words in the smoothed probability.
