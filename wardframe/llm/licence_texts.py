@@ -43,10 +43,41 @@ DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
 IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
 OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 
+#: Fixed values: (identifier, title that may stand above the text).
+TITLES = (
+    ("MIT", "MIT License"), ("MIT", "The MIT License"), ("MIT", "The MIT License (MIT)"),
+    ("ISC", "ISC License"), ("ISC", "The ISC License"),
+    ("0BSD", "BSD Zero Clause License"), ("0BSD", "Zero-Clause BSD"),
+    ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-2-Clause", "The 2-Clause BSD License"),
+    ("BSD-2-Clause", 'BSD 2-Clause "Simplified" License'),
+    ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-3-Clause", "The 3-Clause BSD License"),
+    ("BSD-3-Clause", 'BSD 3-Clause "New" or "Revised" License'),
+    ("Zlib", "zlib License"), ("Zlib", "The zlib License"),
+    ("Unlicense", "The Unlicense"),
+)
+
 #: Fixed values: (identifier, text).
-LICENCES = (
-    ("MIT", "MIT License\n\n" + _PERMIT),
+_TEXTS = (
     ("MIT", _PERMIT),
+    ("Unlicense", """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in
+source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any
+means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any
+and all copyright interest in the software to the public domain. We make this dedication for the
+benefit of the public at large and to the detriment of our heirs and successors. We intend this
+dedication to be an overt act of relinquishment in perpetuity of all present and future rights to
+this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT
+NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""),
     ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose
 with or without fee is hereby granted, provided that the above copyright notice and this
 permission notice appear in all copies.
@@ -86,6 +117,10 @@ implied. See the License for the specific language governing permissions and lim
 License."""),
 )
 
+#: Every text as it is and below each of its titles.
+LICENCES = tuple(_TEXTS) + tuple((i, f"{title}\n\n{text}") for i, title in TITLES
+                                 for j, text in _TEXTS if i == j)
+
 #: Fixed values: (identifier, one-line notice).
 NOTICES = (
     ("MIT", "Released under the MIT License."),

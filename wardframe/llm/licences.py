@@ -1,7 +1,7 @@
 """Licence scans by canonical digests: whole texts against a table of known licence digests.
 
-The canonical form lowers case, drops lines that begin with a copyright mark, writes equivalent
-spellings alike and leaves words of letters and digits with single spaces. Equal canonical forms
+The canonical form lowers case, drops lines that name a copyright's holder or reserve all rights
+(a sentence that merely wraps before the word stays), writes equivalent spellings alike and leaves words of letters and digits with single spaces. Equal canonical forms
 have equal SHA-256 digests, so the lookup is an equi join on the digest. One-line notices inside
 a text are looked up line by line in a map of known notices.
 """
@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 from .common import texts
 from .licence_texts import LICENCES, NOTICES
 
-MARKED_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*$"
+#: Lines that name the holder of a copyright, or reserve all rights and nothing else.
+MARKED_LINE = (r"(?m)^[^\p{L}\p{N}\n]*("
+               r"copyright[ \t:]*(\(c\)|©|[0-9]{4}|[<\[{]|by[ \t])[^\n]*|"
+               r"\(c\)[ \t]*(copyright|[0-9]{4}|[<\[{])[^\n]*|©[^\n]*|"
+               r"all rights reserved[^\p{L}\p{N}\n]*)$")
 NO_WORD = r"[^\p{L}\p{N}]+"
 #: Spellings that count as equal.
 SPELLINGS = (
@@ -40,6 +44,15 @@ def known_licences(spark, licences=LICENCES):
         digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
 
 
+def licence_files(spark, folder):
+    """As `known_licences`, of a folder with one text file for each licence, named after it: full
+    texts of long licences need not be part of this package."""
+    rows = spark.read.text(folder, wholetext=True).select(
+        F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.txt)?$", 1).alias("license"),
+        digest(F.col("value")).alias("digest"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"))
+
+
 def scan_licences(docs, known=None, notices=NOTICES):
     """doc_id, canonical_sha256, license, notices of every document.
 
