@@ -78,6 +78,30 @@ def test_held_out_texts():
     assert right >= 0.95 * total and wrong <= 0.02 * total
 
 
+def test_long_stretches_are_not_cut(monkeypatch):
+    """A span across the border of two blocks is found whole; blocks change nothing."""
+    field = pii.trained(tuple(pii.EXAMPLES))
+    rnd = random.Random(3)
+    words = [rnd.choice(["12", "(743) 555-3824", "7", "310-555-4510", "4.5", "(661)", "078-05-1120",
+                         "1999", "20", "5)"]) for _ in range(1500)]
+    text = " ".join(words).encode()
+    want = pii.find([text], field)
+    assert want[0][1]
+    for block in (1, 2, 7, 64):
+        monkeypatch.setattr(pii, "BLOCK", block)
+        assert pii.find([text], field) == want
+
+
+def test_spans_that_reach_beyond_a_pattern_stay():
+    field = pii.trained(tuple(pii.EXAMPLES))
+    ((base, spans),) = pii.find([b"listens on 10.20.30.40:8080 today"], field)
+    assert base == [("ip", 11, 22)] and set(base) <= set(spans)
+    assert ("ip", 11, 27) in spans
+    assert pii.masked("listens on 10.20.30.40:8080 today", spans) == "listens on [IP] today"
+    ((base, spans),) = pii.find([b"write to a.b@c.org now"], field)
+    assert spans == base  # held whole by the pattern's
+
+
 def test_table(spark):
     texts = cases.TEXTS + [(50, "é mail a.b@c.org, card 4111 1111 1111 1111 ip 10.0.0.1 "
                                 "call +1 (743) 555-3824 or (310) 555-4510")]

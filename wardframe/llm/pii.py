@@ -5,7 +5,8 @@ are outside, first word and further word of each kind; its features are shapes o
 its neighbours. It is trained on the labelled table beside this module and decoded by Viterbi in
 numpy batches. A span's words all hold a digit or an @; other words are outside by construction,
 which cuts the chain there without changing its best path, so only the short stretches between
-them are decoded. Spans that the field finds are added where no pattern's span lies.
+them are decoded. Spans that the field finds are added unless a pattern's span holds them whole;
+redaction joins spans that overlap.
 """
 
 import functools
@@ -208,22 +209,39 @@ def trained(examples):
 
 def viterbi(scores, moves):
     """Best labels of chains of one length: scores (chains, words, labels), from and to outside."""
-    n, length, _ = scores.shape
-    best = scores[:, 0] + moves[0]
-    back = []
-    for t in range(1, length):
-        step = best[:, :, None] + moves[None]
-        back.append(step.argmax(1))
-        best = step.max(1) + scores[:, t]
-    out = np.zeros((n, length), np.int64)
+    return decode([scores], moves)
+
+
+def decode(blocks, moves):
+    """As `viterbi`, with the chains' scores in blocks of words: of a word, only its best
+    predecessors are kept, a byte each."""
+    best, back = None, []
+    for scores in blocks:
+        came = np.zeros(scores.shape, np.uint8)
+        for t in range(scores.shape[1]):
+            if best is None:
+                best = scores[:, 0] + moves[0]
+                continue
+            step = best[:, :, None] + moves[None]
+            came[:, t] = step.argmax(1)
+            best = step.max(1) + scores[:, t]
+        back.append(came)
+    back = np.concatenate(back, 1)
+    n, length, _ = back.shape
+    out = np.zeros((n, length), np.uint8)
     out[:, -1] = (best + moves[:, 0]).argmax(1)
-    for t in range(length - 2, -1, -1):
-        out[:, t] = back[t][np.arange(n), out[:, t + 1]]
+    for t in range(length - 1, 0, -1):
+        out[:, t - 1] = back[np.arange(n), t, out[:, t]]
     return out
 
 
-def _chains(shape, field, limit=4096):
-    """(first word, label scores) of each stretch of words that hold a digit or an @."""
+#: Words of a stretch whose scores are held at once.
+BLOCK = 4096
+
+
+def _chains(shape, field):
+    """Starts and ends of all words; of each stretch of words that hold a digit or an @, their
+    numbers and a function that gives their label scores in blocks."""
     flat = np.frombuffer(shape, np.uint8)
     gap = np.concatenate([[True], _BLANK[flat], [True]])
     starts = np.flatnonzero(gap[:-1] & ~gap[1:])
@@ -231,14 +249,12 @@ def _chains(shape, field, limit=4096):
     marked = np.unique(np.searchsorted(starts, np.flatnonzero(_MARKS[flat]), "right") - 1)
     stretches = np.split(marked, np.flatnonzero(np.diff(marked) > 1) + 1)
     word = lambda i: shape[starts[i]:ends[i]] if 0 <= i < len(starts) else b""
-    out = []
-    for run in stretches:
-        for at in range(0, len(run), limit):  # longer stretches of numbers are cut
-            part = run[at:at + limit]
-            rows = np.array([field.scores(word(i))[0] + field.scores(word(i - 1))[1]
-                             + field.scores(word(i + 1))[2] for i in part.tolist()])
-            out.append((part, rows))
-    return starts, ends, out
+
+    def blocks(run):
+        for at in range(0, len(run), BLOCK):
+            yield np.array([field.scores(word(i))[0] + field.scores(word(i - 1))[1]
+                            + field.scores(word(i + 1))[2] for i in run[at:at + BLOCK].tolist()])
+    return starts, ends, [(run, blocks) for run in stretches if len(run)]
 
 
 _TRIM_LEFT, _TRIM_RIGHT = b"\"'<[{,;:", b".,;:!?\"'>]}"
@@ -247,16 +263,23 @@ _TRIM_LEFT, _TRIM_RIGHT = b"\"'<[{,;:", b".,;:!?\"'>]}"
 def added_spans(shapes, field):
     """For each shape text: (kind, start, end) of the field's spans."""
     found = [[] for _ in shapes]
-    by_length, places = {}, []
+    by_length, places, whole = {}, [], []
     for i, shape in enumerate(shapes):
         if b"9" in shape or b"@" in shape:
             starts, ends, chains = _chains(shape, field)
             places.append((i, shape, starts, ends))
-            for run, rows in chains:
-                by_length.setdefault(len(run), []).append((len(places) - 1, run, rows))
+            for run, blocks in chains:
+                if len(run) > BLOCK:
+                    path = decode((b[None] for b in blocks(run)), field.moves)
+                    whole.append(([(len(places) - 1, run)], path))
+                else:
+                    by_length.setdefault(len(run), []).append(
+                        (len(places) - 1, run, next(blocks(run))))
     for chains in by_length.values():
-        labels = viterbi(np.stack([c[2] for c in chains]), field.moves)
-        for (p, run, _), path in zip(chains, labels.tolist()):
+        whole.append(([c[:2] for c in chains],
+                      viterbi(np.stack([c[2] for c in chains]), field.moves)))
+    for chains, labels in whole:
+        for (p, run), path in zip(chains, labels.tolist()):
             if not any(path):
                 continue
             i, shape, starts, ends = places[p]
@@ -293,9 +316,9 @@ def find(blobs, field):
         base = base_spans(blob.decode()) if b"9" in shape or b"@" in shape else []
         new = []
         if extra:
-            taken = sorted((a, b) for _, a, b in base)
+            taken = [(a, b) for _, a, b in base]
             for s in extra:
-                if not any(a < s[2] and s[1] < b for a, b in taken):
+                if not any(a <= s[1] and s[2] <= b for a, b in taken):
                     new.append(s)
         out.append((base, sorted(base + new, key=lambda s: (order[s[0]], s[1]))))
     return out
@@ -344,7 +367,8 @@ def personal_data(docs, examples=tuple(EXAMPLES)):
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document.
 
     The counts and base_sha256 are of the fixed patterns alone; spans has them all and the
-    field's as kind:start:end in code points. Null texts are empty; repeated rows come out
+    field's as kind:start:end in code points, the field's unless one of the patterns' holds it
+    whole. Null texts are empty; repeated rows come out
     repeated, empty tables give no rows, other columns are not read.
     """
     return texts(docs).mapInArrow(

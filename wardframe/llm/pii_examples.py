@@ -2,10 +2,10 @@
 
 #: Fixed values. {kind|text} marks a span; everything else is outside.
 EXAMPLES = """
-reach {phone|+1 (826) 555-4081} 4845168114407329 or leave it
+reach {phone|+1 (719) 555-0162} 4023775510086641 or leave it
 her {phone|+1 (152) 555-8590} 10.44.7.213 and more
-numbers 7536784127813050 4845168114407329 and 2353820953013749 4550997810720808 followed
-the. 9311664600839016 By then 4485128745120011. And so on
+numbers 7100482236659917 4023775510086641 and 2604419937750128 4718003362295140 followed
+the. 9052217740318866 By then 4485128745120011. And so on
 then password=7602ad27cf5550de1c st and so on
 inly, password=0030ef94f364d8386a as before
 password=4e2d1e0e8462cf7b86 en it, password=bea36800c98e14e29c
