@@ -175,12 +175,26 @@ def encoded_findings(payload: str) -> Column:
 
 # --- exemption and the full scan -------------------------------------------------------------
 
-def benign_sql(x: str) -> str:
-    raw = clean_sql(x)
+def framed_sql(x: str) -> str:
     # a marker that contains a shorter one adds nothing to the test
     markers = [m for m in P.DISCUSSION_MARKERS
                if not any(o != m and o in m for o in P.DISCUSSION_MARKERS)]
-    framed = _any(f"contains(lower({raw}), {plain(m)})" for m in markers)
+    return _any(f"contains(lower({clean_sql(x)}), {plain(m)})" for m in markers)
+
+
+def is_framed(column: str) -> Column:
+    """A phrase occurs that frames quoted text as discussion."""
+    return F.expr(framed_sql(name(column)))
+
+
+def any_rule(norm: str, low: str) -> Column:
+    """Whether a rule matches normalized text, given its lower-cased view too."""
+    return F.expr(any_rule_sql(name(norm), name(low)))
+
+
+def benign_sql(x: str) -> str:
+    raw = clean_sql(x)
+    framed = framed_sql(x)
     quotes = f"regexp_extract_all({raw}, {literal(P.QUOTED)}, 0)"
     outside = f"regexp_replace({raw}, {literal(P.QUOTED)}, ' ')"
     return (f"({framed} AND exists({quotes}, quo -> {any_rule_in_sql('quo')}) "

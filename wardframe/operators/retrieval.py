@@ -4,7 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from . import scan
+from ..plans.session import new_folder
+from . import scan, seams
+from .replay import MAX_GROUP_ROWS
 from .scan import _once, _with
 
 ADMIN = "admin"
@@ -46,13 +48,15 @@ def authorize(docs: DataFrame) -> DataFrame:
                  access_reason=F.coalesce("_denied", F.lit(R_PERMITTED))).drop("_denied")
 
 
-def inspect(docs: DataFrame, content="content") -> DataFrame:
+def inspect(docs: DataFrame, content="content", exempt=None, of_norm=None) -> DataFrame:
     """Append decision, sanitized, findings and reason of each document on its own.
 
-    Line filtering runs only for the documents it applies to.
+    Line filtering runs only for the documents it applies to. `exempt` and `of_norm` name further
+    columns, see `scan.scan_injection`.
     """
     df = _with(docs, _text=text.strip(content))
-    df = scan.scan_injection(df, "_text", "findings", "injection_count", "max_confidence")
+    df = scan.scan_injection(df, "_text", "findings", "injection_count", "max_confidence",
+                             exempt, of_norm)
     clean = F.col("injection_count") == 0
     blocked = F.col("trust_level") == UNTRUSTED
     df = _once(
@@ -71,67 +75,147 @@ def denied_entries(docs: DataFrame) -> DataFrame:
         F.lit(False).alias("included"), F.col("access_reason").alias("reason"))
 
 
-def _joined(docs: Column, field: str) -> Column:
-    """Texts of a document list, each followed by a line break."""
-    return F.array_join(F.transform(docs, lambda d: F.concat(d[field], F.lit("\n"))), "")
+def _stored(df: DataFrame) -> DataFrame:
+    """A table in the shared folder: read several times, in columns, and rows keep their number."""
+    folder = new_folder(df.sparkSession, "inspected")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def judge_requests(docs: DataFrame) -> DataFrame:
-    """One row per request: its entries in input order, decided by all five stages.
-
-    docs(request_id, pos, id, source, owner_team, classification, trust_level, content,
-    allowed_roles, role, team).
+def _inspected(docs: DataFrame) -> DataFrame:
+    """Access and inspection of every document, with its part in both texts of its request.
 
-    Access and inspection run before the shuffle, row by row. A denied document is neither
-    scanned nor does its text travel; the sanitized text travels only where it differs from the
-    trimmed original. One exchange on request_id then serves both cross-document scans, the
-    admission, the trace and the prompt. The combination of a request's documents is judged as
-    the one text that it is, so a request's readable texts meet in one row.
+    `_raw` and `_safe` are digests of the readable and of the admissible text (see
+    `operators.seams`), NULL where the document is not in it.
     """
     df = authorize(docs)
-    df = inspect(_with(df, content=F.when(F.col("allowed"), F.col("content"))))
-    allowed = F.col("allowed")
-    entry = F.struct(
-        F.col("pos"), F.col("id"), F.col("source"), F.col("trust_level"),
-        F.col("classification"), F.col("owner_team"),
-        allowed.alias("allowed"),
-        F.when(allowed, F.col("decision")).otherwise("BLOCK").alias("decision"),
+    df = _with(df, content=F.when(F.col("allowed"), F.col("content")))
+    df = inspect(df, exempt="_excused", of_norm={"_digest": seams.digest})
+    allowed, kept = F.col("allowed"), F.col("decision") != "BLOCK"
+    filtered = allowed & (F.col("decision") == "FILTER")
+    df = _with(df, _filtered=F.when(filtered, F.col("sanitized")),
+               _own=(F.col("injection_count") > 0) | F.col("_excused"))
+    df = scan.normalize(df, "_filtered", "_norm")
+    df = seams.with_hit(df, "_norm", "_rule")
+    df = _with(df, _left=F.col("_rule") | text.encoded_payload("_filtered").isNotNull())
+    df = scan._once(
+        df, raw=F.when(allowed, text.clean("content")), filtered=F.col("_filtered"),
+        _raw=F.when(allowed, F.col("_digest")), _raw_hit=allowed & F.col("_own"),
+        _raw_framed=allowed & text.is_framed("content"),
+        _safe=F.when(filtered, seams.digest("_norm")).when(allowed & kept, F.col("_digest")),
+        _safe_hit=F.when(filtered, F.col("_left")).otherwise(allowed & kept & F.col("_own")),
+        _safe_framed=F.when(filtered, text.is_framed("_filtered"))
+        .otherwise(allowed & kept & text.is_framed("content")))
+    return df.select(
+        "request_id", "pos", "id", "source", "trust_level", "classification", "owner_team",
+        "allowed", F.when(allowed, F.col("decision")).otherwise("BLOCK").alias("decision"),
         F.when(allowed, F.col("reason")).otherwise(F.col("access_reason")).alias("reason"),
-        F.when(allowed, text.clean("content")).alias("raw"),
-        F.when(allowed & (F.col("decision") == "FILTER"), F.col("sanitized")).alias("filtered"))
-    groups = df.groupBy("request_id").agg(F.sort_array(F.collect_list(entry)).alias("_docs"))
-    groups = _with(groups, _docs=F.transform("_docs", lambda d: d.withField(
-        "safe", F.when(d["allowed"] & (d["decision"] != "BLOCK"),
-                       F.coalesce(d["filtered"], text.strip(d["raw"]))))))
-    groups = _with(
-        groups,
-        authorized=F.size(F.filter("_docs", lambda d: d["allowed"])),
-        _raw=_joined(F.filter("_docs", lambda d: d["allowed"]), "raw"),
-        _safe=_joined(F.filter("_docs", lambda d: d["safe"].isNotNull()), "safe"))
+        "raw", "filtered", *[f"_{v}{c}" for v in ("raw", "safe") for c in ("", "_hit", "_framed")],
+        F.monotonically_increasing_id().alias("_n"))
+
+
+def _safe_text() -> Column:
+    return F.when(F.col("_safe").isNotNull(), F.coalesce("filtered", text.strip("raw")))
+
+
+def _verdicts(rows: DataFrame, chunk, max_group_rows, slices) -> DataFrame:
+    """One row per request: readable documents and what both of its combined texts hold."""
+    parts = _with(rows, _at=F.struct("pos", "id", "_n"),
+                  _chunk=F.expr(f"pos div {int(chunk)}"), authorized=F.col("allowed").cast("int"))
+    judged = seams.judge_parts(parts, "request_id", ["_raw", "_safe"], {
+        "authorized": F.sum, "_raw_framed": F.max, "_safe_framed": F.max})
+    judged = _with(judged, authorized=F.col("authorized").cast("int"))
     # a single readable document is judged on its own, not as a combination
-    groups = _with(groups, _raw=F.when(F.col("authorized") > 1, F.col("_raw")))
-    groups = scan.scan_injection(groups, "_raw", "_f", "_raw_hits", "_c").drop("_f", "_c")
-    groups = scan.scan_injection(groups, "_safe", "_f", "_safe_hits", "_c").drop("_f", "_c")
-    groups = _with(groups, combined_hit=F.col("_raw_hits") > 0,
-                   sanitized_hit=F.col("_safe_hits") > 0)
-    groups = _once(groups, entries=F.transform("_docs", _final_entry))
-    return groups.select("request_id", "authorized", "combined_hit", "sanitized_hit", "entries")
+    judged = _with(judged, _raw_hit=F.col("_raw_hit") & (F.col("authorized") > 1))
+    open_views = F.array_compact(F.array(*[
+        F.when(F.col(f"{v}_hit") & F.col(f"{v}_framed"), F.lit(v)) for v in ("_raw", "_safe")]))
+    asked = judged.select("request_id", F.explode(open_views).alias("_view"))
+    if not asked.isEmpty():
+        views = F.explode(F.array_compact(F.array(
+            F.when(F.col("_raw").isNotNull(), F.struct(
+                F.lit("_raw").alias("_view"), F.col("raw").alias("_text"))),
+            F.when(F.col("_safe").isNotNull(), F.struct(
+                F.lit("_safe").alias("_view"), _safe_text().alias("_text"))))))
+        texts = parts.select("request_id", "_at", "_chunk", "_n", views.alias("_v")).select(
+            "request_id", "_at", "_chunk", "_n", "_v.*")
+        a, t = asked.alias("a"), texts.alias("t")
+        texts = t.join(a, F.col("t.request_id").eqNullSafe(F.col("a.request_id"))
+                       & (F.col("t._view") == F.col("a._view")), "left_semi")
+        texts = texts.select(F.struct("request_id", "_view").alias("_key"), "_at", "_chunk", "_n",
+                             "_text")
+        free = seams.exempt(texts, "_key", max_group_rows, slices).groupBy(
+            F.col("_key.request_id").alias("_rid")).agg(
+            F.collect_set("_key._view").alias("_free"))
+        judged = judged.join(free, F.col("request_id").eqNullSafe(F.col("_rid")), "left")
+        for v in ("_raw", "_safe"):
+            judged = _with(judged, **{f"{v}_hit": F.col(f"{v}_hit") & ~F.coalesce(
+                F.array_contains("_free", v), F.lit(False))})
+    return judged.select("request_id", "authorized", F.col("_raw_hit").alias("combined_hit"),
+                         F.col("_safe_hit").alias("sanitized_hit"))
+
+
+def cross_document(docs: DataFrame, chunk=seams.CHUNK, max_group_rows=MAX_GROUP_ROWS,
+                   slices=None) -> DataFrame:
+    """One row per request: authorized, combined_hit and sanitized_hit, without its texts meeting
+    in one row or task. `docs` as for `judge_documents`."""
+    return _verdicts(_stored(_inspected(docs)), chunk, max_group_rows, slices)
+
+
+def judge_documents(docs: DataFrame, chunk=seams.CHUNK, max_group_rows=MAX_GROUP_ROWS,
+                    slices=None) -> DataFrame:
+    """One row per document: its trace entry after all five stages, with the admitted text in
+    `content`, and the verdicts on its request.
 
+    docs(request_id, pos, id, source, owner_team, classification, trust_level, content,
+    allowed_roles, role, team); pos is a whole number, different within a request.
 
-def _final_entry(d: Column) -> Column:
+    Every text is scanned once, where it lies, and stored. A denied document is neither scanned nor
+    is its text kept. The combination of a request's documents is judged by the ends of its texts
+    (see `operators.seams`), so a request may be larger than any row or task. Documents with the
+    same position follow each other by id, then as read.
+    """
+    rows = _stored(_inspected(docs))
+    verdicts = _verdicts(rows, chunk, max_group_rows, slices).withColumnRenamed(
+        "request_id", "_rid")
+    df = rows.join(verdicts, F.col("request_id").eqNullSafe(F.col("_rid")))
     combined, sanitized = F.col("combined_hit"), F.col("sanitized_hit")
-    candidate = d["safe"].isNotNull()
-    early = combined & d["allowed"]
+    candidate = F.col("_safe").isNotNull()
+    early = combined & F.col("allowed")
     late = ~combined & sanitized & candidate
     included = candidate & ~combined & ~sanitized
-    return F.struct(
-        d["pos"].alias("pos"), d["id"].alias("document_id"), d["source"].alias("source"),
-        d["trust_level"].alias("trust_level"), d["classification"].alias("classification"),
-        d["owner_team"].alias("owner_team"),
-        F.when(early | late, "BLOCK").otherwise(d["decision"]).alias("decision"),
+    return df.select(
+        "request_id", "pos", F.col("id").alias("document_id"), "source", "trust_level",
+        "classification", "owner_team",
+        F.when(early | late, "BLOCK").otherwise(F.col("decision")).alias("decision"),
         included.alias("included"),
-        F.when(early, R_COMBINED).when(late, R_SANITIZED).otherwise(d["reason"]).alias("reason"),
-        F.when(included, d["safe"]).alias("content"))
+        F.when(early, R_COMBINED).when(late, R_SANITIZED).otherwise(F.col("reason"))
+        .alias("reason"),
+        F.when(included, _safe_text()).alias("content"),
+        "authorized", "combined_hit", "sanitized_hit")
+
+
+_ENTRY = ("pos", "document_id", "source", "trust_level", "classification", "owner_team",
+          "decision", "included", "reason", "content")
+
+
+def document_context(docs: DataFrame) -> DataFrame:
+    """`build_context` straight from the documents: no request's texts meet in a row."""
+    return judge_documents(docs).select("request_id", *_ENTRY)
+
+
+def judge_requests(docs: DataFrame, texts=True) -> DataFrame:
+    """One row per request: its entries in input order, decided by all five stages.
+
+    Only the entries meet in the row, with the admitted texts, which a prompt needs; without
+    `texts` (for traces) their content is NULL. `docs` as for `judge_documents`.
+    """
+    df = judge_documents(docs)
+    if not texts:
+        df = _with(df, content=F.lit(None).cast("string"))
+    return df.groupBy("request_id").agg(
+        F.max("authorized").alias("authorized"), F.max("combined_hit").alias("combined_hit"),
+        F.max("sanitized_hit").alias("sanitized_hit"),
+        F.sort_array(F.collect_list(F.struct(*_ENTRY))).alias("entries"))
 
 
 def build_context(judged: DataFrame) -> DataFrame:

@@ -52,10 +52,11 @@ def is_benign_discussion(df: DataFrame, column="text", out="benign") -> DataFram
 
 def scan_injection(df: DataFrame, column="text", findings="findings",
                    count="injection_count", confidence="max_confidence",
-                   exempt=None) -> DataFrame:
+                   exempt=None, of_norm=None) -> DataFrame:
     """Append the full scan. The exemption is only evaluated for rows that have findings.
 
-    `exempt` names a further column that tells whether findings were dropped by the exemption.
+    `exempt` names a further column that tells whether findings were dropped by the exemption;
+    `of_norm` names further columns with functions of the normalized text's column.
     """
     df = normalize(df, column, "_norm")
     df = _with(df, _payload=text.encoded_payload(column))
@@ -69,6 +70,7 @@ def scan_injection(df: DataFrame, column="text", findings="findings",
            confidence: text.max_confidence("_kept")}
     if exempt:
         out[exempt] = F.col("_exempt")
+    out |= {n: f("_norm") for n, f in (of_norm or {}).items()}
     df = _once(df, **out)
     return df.drop("_norm", "_low", "_payload", "_rules", "_all", "_exempt", "_kept")
 

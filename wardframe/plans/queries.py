@@ -424,21 +424,21 @@ def rag_inspect(spark, sf):
         "id", "decision", "sanitized", _types().alias("types"), "reason")
 
 
-def _rag(spark, sf):
-    return retrieval.judge_requests(X.retrieval_requests(spark, sf))
+def _rag(spark, sf, texts=True):
+    return retrieval.judge_requests(X.retrieval_requests(spark, sf), texts)
 
 
 @register("rag_cross_document", f"WITH {O.RAG_GROUPS} SELECT request_id, authorized, "
                                 "combined_hit, sanitized_hit FROM verdicts")
 def rag_cross_document(spark, sf):
-    return _rag(spark, sf).select("request_id", "authorized", "combined_hit", "sanitized_hit")
+    return retrieval.cross_document(X.retrieval_requests(spark, sf))
 
 
 @register("rag_context", f"WITH {O.RAG_GROUPS} SELECT request_id, pos, document_id, source, "
           "trust_level, classification, owner_team, decision, included, reason, content "
           "FROM context")
 def rag_context(spark, sf):
-    return retrieval.build_context(_rag(spark, sf))
+    return retrieval.document_context(X.retrieval_requests(spark, sf))
 
 
 @register("rag_trace", f"WITH {O.RAG_GROUPS} SELECT request_id, "
@@ -446,7 +446,7 @@ def rag_context(spark, sf):
           "string_agg(document_id || ':' || decision || ':' || reason, '|' ORDER BY pos) AS trace "
           "FROM context GROUP BY request_id")
 def rag_trace(spark, sf):
-    return retrieval.build_trace(_rag(spark, sf)).select(
+    return retrieval.build_trace(_rag(spark, sf, texts=False)).select(
         "request_id", "context_count", F.array_join(F.transform("entries", lambda e: F.concat_ws(
             ":", e["document_id"], e["decision"], e["reason"])), "|").alias("trace"))
 
@@ -475,7 +475,8 @@ def rag_provenance(spark, sf):
     docs = X.retrieval_requests(spark, sf)
     asked = docs.select("request_id", "user_id", "role", "team").distinct().select(
         "*", F.timestamp_seconds("request_id").alias("timestamp"))
-    return retrieval.rag_events(retrieval.judge_requests(docs), asked).drop("timestamp")
+    judged = retrieval.judge_requests(docs, texts=False)
+    return retrieval.rag_events(judged, asked).drop("timestamp")
 
 
 @register("rag_response", f"WITH {O.RAG_GROUPS}, said AS (SELECT doc_id // 4 AS request_id, text "
@@ -494,7 +495,7 @@ def rag_response(spark, sf):
     """The last document of each request stands for the model's answer."""
     said = X.attacked_documents(spark, sf).filter("doc_id % 4 = 3").select(
         F.expr("doc_id div 4").alias("request_id"), F.col("text").alias("model_response"))
-    return retrieval.judge_response(_rag(spark, sf), said).select(
+    return retrieval.judge_response(_rag(spark, sf, texts=False), said).select(
         "request_id", "status", "error", "response", "context_count",
         F.array_join(F.transform("context_trace", lambda e: F.concat_ws(
             ":", e["document_id"], e["decision"], e["reason"])), "|").alias("trace"))
@@ -510,8 +511,8 @@ def provenance(spark, sf):
     asked = docs.select("request_id", "user_id", "role", "team").distinct().select(
         "*", F.timestamp_seconds("request_id").alias("timestamp"))
     folder = new_folder(spark, "events")
-    event_tables.append_events(retrieval.rag_events(retrieval.judge_requests(docs), asked),
-                               "rag_events", folder)
+    judged = retrieval.judge_requests(docs, texts=False)
+    event_tables.append_events(retrieval.rag_events(judged, asked), "rag_events", folder)
     return event_tables.lookup_events(spark, "rag_events", folder, 42).select(
         "request_id", "user_id", "role", "team", F.json_array_length("trace").alias("entries"))
 
@@ -895,7 +896,7 @@ def _eval_rows(spark, sf):
     docs = X.attacked_documents(spark, sf)
     wanted = docs.groupBy(F.expr("doc_id div 4").alias("request_id")).agg(
         F.count_if(~F.col("k").isin(*X.ATTACKS)).alias("expected_included"))
-    rag = evals.eval_retrieval(wanted, _rag(spark, sf))
+    rag = evals.eval_retrieval(wanted, _rag(spark, sf, texts=False))
     none = F.lit(None).cast("string").alias("outcome")
     return evals.eval_texts(cases, "text").unionByName(
         rag.select(F.lit("rag").alias("suite"), "passed", none))

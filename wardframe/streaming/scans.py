@@ -36,7 +36,7 @@ def retrieval_contexts(stream: DataFrame, write):
         docs = batch.select("request_id", "role", "team",
                             F.posexplode("documents").alias("pos", "d")).select(
             "request_id", "role", "team", "pos", "d.*")
-        write(retrieval.build_context(retrieval.judge_requests(docs)), batch_id)
+        write(retrieval.document_context(docs), batch_id)
 
     return stream.writeStream.foreachBatch(judge)
 
