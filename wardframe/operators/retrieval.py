@@ -120,11 +120,25 @@ def _safe_text() -> Column:
 
 def _verdicts(rows: DataFrame, chunk, max_group_rows, slices) -> DataFrame:
     """One row per request: readable documents and what both of its combined texts hold."""
-    parts = _with(rows, _at=F.struct("pos", "id", "_n"),
-                  _chunk=F.expr(f"pos div {int(chunk)}"), authorized=F.col("allowed").cast("int"))
-    judged = seams.judge_parts(parts, "request_id", ["_raw", "_safe"], {
-        "authorized": F.sum, "_raw_framed": F.max, "_safe_framed": F.max})
-    judged = _with(judged, authorized=F.col("authorized").cast("int"))
+    rows = _with(rows, _at=F.struct("pos", "id", "_n"), _chunk=F.expr(f"pos div {int(chunk)}"))
+    chunked = bool(rows.agg(F.min("_chunk") < F.max("_chunk")).first()[0])
+    # every document is in a view, so that requests without a readable one come out too
+    views = F.array_compact(F.array(*[
+        F.when(is_in, F.struct(F.lit(v).alias("_view"), *[
+            F.col(f"{v}{c}").alias(n) for c, n in (("", "_digest"), ("_hit", "_hit"),
+                                                   ("_framed", "_framed"))]))
+        for v, is_in in (("_raw", F.lit(True)), ("_safe", F.col("_safe").isNotNull()))]))
+    parts = rows.select("request_id", "_at", "_chunk", F.inline(views),
+                        F.col("allowed").cast("int").alias("_count"))
+    judged = seams.judge_parts(parts, ["request_id", "_view"], chunked)
+
+    def of(view, column):
+        return F.max(F.when(F.col("_view") == view, F.col(column)))
+
+    judged = judged.groupBy("request_id").agg(
+        of("_raw", "_count").cast("int").alias("authorized"),
+        *[F.coalesce(of(v, c), F.lit(False)).alias(v + c)
+          for v in ("_raw", "_safe") for c in ("_hit", "_framed")])
     # a single readable document is judged on its own, not as a combination
     judged = _with(judged, _raw_hit=F.col("_raw_hit") & (F.col("authorized") > 1))
     open_views = F.array_compact(F.array(*[
@@ -136,14 +150,14 @@ def _verdicts(rows: DataFrame, chunk, max_group_rows, slices) -> DataFrame:
                 F.lit("_raw").alias("_view"), F.col("raw").alias("_text"))),
             F.when(F.col("_safe").isNotNull(), F.struct(
                 F.lit("_safe").alias("_view"), _safe_text().alias("_text"))))))
-        texts = parts.select("request_id", "_at", "_chunk", "_n", views.alias("_v")).select(
+        texts = rows.select("request_id", "_at", "_chunk", "_n", views.alias("_v")).select(
             "request_id", "_at", "_chunk", "_n", "_v.*")
         a, t = asked.alias("a"), texts.alias("t")
         texts = t.join(a, F.col("t.request_id").eqNullSafe(F.col("a.request_id"))
                        & (F.col("t._view") == F.col("a._view")), "left_semi")
         texts = texts.select(F.struct("request_id", "_view").alias("_key"), "_at", "_chunk", "_n",
                              "_text")
-        free = seams.exempt(texts, "_key", max_group_rows, slices).groupBy(
+        free = seams.exempt(texts, "_key", chunked, max_group_rows, slices).groupBy(
             F.col("_key.request_id").alias("_rid")).agg(
             F.collect_set("_key._view").alias("_free"))
         judged = judged.join(free, F.col("request_id").eqNullSafe(F.col("_rid")), "left")

@@ -47,31 +47,27 @@ def with_hit(df: DataFrame, norm, out: str) -> DataFrame:
         "_low")
 
 
-def _joined(df: DataFrame, keys, views, flags) -> DataFrame:
-    parts = F.sort_array(F.collect_list(F.struct("_at", *[F.col(v).alias(v) for v in views])))
-    hits = [f"{v}_hit" for v in views]
-    df = df.groupBy(*keys).agg(parts.alias("_parts"), F.min("_at").alias("_at"),
-                               *[F.max(c).alias(c) for c in hits],
-                               *[how(c).alias(c) for c, how in flags.items()])
-    for view in views:
-        texts = F.filter(F.col("_parts")[view], lambda t: t != "")
-        df = _with(df, _join=F.array_join(texts, " "))
-        df = with_hit(df, "_join", "_across")
-        df = _with(df, **{view: digest("_join"),
-                          f"{view}_hit": F.coalesce(F.col(f"{view}_hit") | F.col("_across"),
-                                                    F.lit(False))})
-    return df.drop("_parts", "_join", "_across")
-
-
-def judge_parts(parts: DataFrame, key: str, views, flags) -> DataFrame:
-    """One row per key: for each view whether a rule matches its whole text, in `<view>_hit`.
-
-    parts(key, _at, _chunk, and per view its digest in `<view>`, NULL where a part is not in it, and
-    `<view>_hit`). `_at` orders the parts of a key and `_chunk` grows with it. `flags` names further
-    columns with the aggregate each takes.
+def _joined(df: DataFrame, keys) -> DataFrame:
+    parts = F.sort_array(F.collect_list(F.struct("_at", "_digest")))
+    df = df.groupBy(*keys).agg(
+        parts.alias("_parts"), F.min("_at").alias("_at"), F.max("_hit").alias("_hit"),
+        F.max("_framed").alias("_framed"), F.sum("_count").alias("_count"))
+    texts = F.filter(F.col("_parts")["_digest"], lambda t: t != "")
+    df = with_hit(_with(df, _join=F.array_join(texts, " ")), "_join", "_across")
+    return _with(df, _digest=digest("_join"), _hit=F.col("_hit") | F.col("_across")).drop(
+        "_parts", "_join", "_across")
+
+
+def judge_parts(parts: DataFrame, keys, chunked=True) -> DataFrame:
+    """One row per text: whether a rule matches it in `_hit`, the largest `_framed` of its parts and
+    the sum of their `_count`.
+
+    parts(*keys, _at, _chunk, _digest, _hit, _framed, _count). `_at` orders the parts of a text and
+    `_chunk` grows with it; `chunked` tells that there is more than one chunk.
     """
-    df = _joined(parts, [key, "_chunk"], views, flags)
-    return _joined(df, [key], views, flags).select(key, *[f"{v}_hit" for v in views], *flags)
+    if chunked:
+        parts = _joined(parts, [*keys, "_chunk"])
+    return _joined(parts, keys).select(*keys, "_hit", "_framed", "_count")
 
 
 # --- the exemption ---------------------------------------------------------------------------
@@ -114,7 +110,8 @@ def _end(outside: Column) -> Column:
             .when(F.col("_later2") & outside.endswith("' "), 2).otherwise(0))
 
 
-def exempt(parts: DataFrame, key: str, max_group_rows=MAX_GROUP_ROWS, slices=None) -> DataFrame:
+def exempt(parts: DataFrame, key: str, chunked=True, max_group_rows=MAX_GROUP_ROWS,
+           slices=None) -> DataFrame:
     """The keys whose text has a rule's match inside quotes and none outside.
 
     parts(key, _at, _chunk, _n, _text): `_n` tells the rows of a key apart.
@@ -148,9 +145,14 @@ def exempt(parts: DataFrame, key: str, max_group_rows=MAX_GROUP_ROWS, slices=Non
     df = _with(df, _inner=F.concat(F.when(F.col("_open") == 0, block).otherwise(""),
                                    F.array_join(inner, f" {BLOCK} "),
                                    F.when(F.col("_end") == 0, block).otherwise("")))
-    for view, raw in (("_out", "_left"), ("_in", "_inner")):
-        df = scan.normalize(df, raw, "_norm")
-        df = with_hit(df, "_norm", f"{view}_hit")
-        df = _with(df, **{view: digest("_norm")}).drop("_norm")
-    judged = judge_parts(df, key, ["_out", "_in"], {})
-    return judged.filter(F.col("_in_hit") & ~F.col("_out_hit")).select(key)
+    views = F.array(*[F.struct(F.lit(v).alias("_side"), F.col(c).alias("_piece"))
+                      for v, c in (("out", "_left"), ("in", "_inner"))])
+    df = df.select(key, "_at", "_chunk", F.inline(views), F.lit(False).alias("_framed"),
+                   F.lit(1).alias("_count"))
+    df = with_hit(scan.normalize(df, "_piece", "_norm"), "_norm", "_hit")
+    df = _with(df, _digest=digest("_norm")).drop("_piece", "_norm")
+    sides = judge_parts(df, [key, "_side"], chunked)
+    return sides.groupBy(key).agg(
+        F.max(F.col("_hit") & (F.col("_side") == "in")).alias("_in"),
+        F.max(F.col("_hit") & (F.col("_side") == "out")).alias("_out")).filter(
+        F.col("_in") & ~F.col("_out")).select(key)
