@@ -141,6 +141,7 @@ def _verdicts(rows: DataFrame, chunk, max_group_rows, slices) -> DataFrame:
           for v in ("_raw", "_safe") for c in ("_hit", "_framed")])
     # a single readable document is judged on its own, not as a combination
     judged = _with(judged, _raw_hit=F.col("_raw_hit") & (F.col("authorized") > 1))
+    judged = _stored(judged)
     open_views = F.array_compact(F.array(*[
         F.when(F.col(f"{v}_hit") & F.col(f"{v}_framed"), F.lit(v)) for v in ("_raw", "_safe")]))
     asked = judged.select("request_id", F.explode(open_views).alias("_view"))

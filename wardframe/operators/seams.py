@@ -127,7 +127,7 @@ def exempt(parts: DataFrame, key: str, chunked=True, max_group_rows=MAX_GROUP_RO
         ends = _with(ends, _left=_outside(F.concat(F.lit(q), "_text")))
         ends = _with(ends, **{f"_end{n}": _end(F.col("_left"))})
     ends = ends.select(key, "_at", "_n", "_end0", "_end1", "_end2")
-    opened = replay(ends, _quote_fold(), key, ["_at"], max_group_rows, slices).select(
+    opened = replay(ends, _quote_fold(), key, ["_at"], max_group_rows, slices, parts).select(
         F.col(key).alias("_k"), F.col("_n").alias("_m"), "_open")
     df = df.join(opened, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_n") == F.col("_m")))
 
