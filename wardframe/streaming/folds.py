@@ -12,48 +12,98 @@ from ..operators.scan import _with
 from ..plans.session import ensure_state_store
 
 
+#: Groups that the keys of a stream are dealt over by hash: a group's rows come to Python and go
+#: back in common frames, whatever the number of keys.
+BUCKETS = 1024
+#: Rows that come out at once.
+CHUNK = 10_000
+
+
+def bucketed(stream: DataFrame, key: str, buckets: int):
+    """(stream dealt into buckets, names of the bucket's and the flags' column, whole numbers).
+
+    pandas makes a column of whole numbers with a missing one floats, which are not exact from 2^53
+    on. So they come with zeros for nulls, and rows with a null with a flag for each such column.
+    """
+    own, flags = "fold_bucket", "fold_nulls"
+    while {own, flags} & set(stream.columns):
+        own, flags = own + "_", flags + "_"
+    whole = [f.name for f in stream.schema.fields if isinstance(f.dataType, T.IntegralType)]
+    some = F.lit(False)
+    for c in whole:
+        some = some | F.col(c).isNull()
+    signs = [F.when(F.col(c).isNull(), "1").otherwise("0") for c in whole]
+    dealt = stream.select(
+        *[F.coalesce(c, F.lit(0).cast(stream.schema[c].dataType)).alias(c) if c in whole
+          else F.col(c) for c in stream.columns],
+        F.pmod(F.xxhash64(key), F.lit(buckets)).alias(own),
+        F.when(some, F.concat(F.lit(""), *signs)).alias(flags))
+    return dealt, own, flags, whole
+
+
+def frame_values(frame, columns, flags=None, whole=()):
+    """Python values of a frame's columns, with missing ones as None."""
+    data = {c: _values(frame[c]) for c in columns}
+    if flags is not None:
+        for i, nulls in enumerate(frame[flags].tolist()):
+            if isinstance(nulls, str):
+                for c, sign in zip(whole, nulls):
+                    if sign == "1":
+                        data[c][i] = None
+    return data
+
+
 class FoldProcessor(StatefulProcessor):
-    """Replays the rows of a key in (order) sequence on top of its stored state.
+    """Replays the rows of a bucket's keys in (order) sequence on top of their stored states.
 
-    Rows of one micro-batch are put in order first; what a batch may hold of one key is bounded by
-    the rate limit of the source. A row older than the last one replayed is late: it is passed on,
-    marked, and never rewinds the state.
+    Rows of one micro-batch are put in order first; what a batch may hold of one bucket is bounded
+    by the rate limit of the source. A row older than the last one replayed for its key is late: it
+    is passed on, marked, and never rewinds the state.
     """
 
-    def __init__(self, fold: Fold, columns, order, ttl_ms=None):
+    def __init__(self, fold: Fold, columns, order, ttl_ms=None, key=None, key_type=None,
+                 flags=None, whole=()):
         self.fold, self.columns, self.order, self.ttl_ms = fold, columns, order, ttl_ms
+        self.key, self.key_type = key, key_type or T.LongType()
+        self.flags, self.whole = flags, list(whole)
 
     def init(self, handle):
         schema = self.fold.state + ", last_us bigint"
-        self.value = handle.getValueState("fold", schema, self.ttl_ms)
+        self.states = handle.getMapState(
+            "folds", T.StructType([T.StructField("key", self.key_type)]), schema, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         data = {c: [] for c in self.columns}
         for frame in rows:
-            for c in self.columns:
-                data[c].extend(_values(frame[c]))
+            for c, v in frame_values(frame, self.columns, self.flags, self.whole).items():
+                data[c].extend(v)
         ranks = list(zip(*[data[c] for c in self.order]))
-        by_rank = sorted(range(len(ranks)), key=ranks.__getitem__)
-        data = {c: [v[i] for i in by_rank] for c, v in data.items()}
-        stored = self.value.get() if self.value.exists() else None
-        state, last = (None, None) if stored is None else (tuple(stored[:-1]), stored[-1])
-        late, out = [], []
+        places = {}
+        for i, k in enumerate(data[self.key] if self.key else [None] * len(ranks)):
+            places.setdefault(k, []).append(i)
+        inputs = list(zip(data[self.order[0]], *[data[c] for c in self.fold.inputs]))
         blank = (None,) * len(self.fold.outputs.fields)
-        for us, *row in zip(data[self.order[0]], *[data[c] for c in self.fold.inputs]):
-            old = last is not None and us < last
-            late.append(old)
-            if old:
-                out.append(blank)
-                continue
-            state, result = self.fold.step(state, *row)
-            out.append(result)
-            last = us
-        if state is not None:
-            self.value.update((*state, last))
+        late, out = [False] * len(ranks), [blank] * len(ranks)
+        for k, line in places.items():
+            line.sort(key=ranks.__getitem__)
+            state, last = None, None
+            if self.states.containsKey((k,)):
+                *state, last = self.states.getValue((k,))
+                state = tuple(state)
+            for i in line:
+                us, *row = inputs[i]
+                if last is not None and us < last:
+                    late[i] = True
+                    continue
+                state, out[i] = self.fold.step(state, *row)
+                last = us
+            if state is not None:
+                self.states.updateValue((k,), (*state, last))
         for field, values in zip(self.fold.outputs.fields, zip(*out)):
-            data[field.name] = list(values)
+            data[field.name] = values
         data["late"] = late
-        yield pd.DataFrame(data, dtype=object)
+        for at in range(0, len(ranks), CHUNK):
+            yield pd.DataFrame({c: v[at:at + CHUNK] for c, v in data.items()}, dtype=object)
 
     def close(self):
         pass
@@ -65,15 +115,19 @@ def _values(series):
     return [None if v is None or v != v else v for v in values] if series.hasnans else values
 
 
-def fold_stream(stream: DataFrame, fold: Fold, key: str, order, ttl_ms=None) -> DataFrame:
+def fold_stream(stream: DataFrame, fold: Fold, key: str, order, ttl_ms=None,
+                buckets=BUCKETS) -> DataFrame:
     """Append the fold's outputs and `late` to every row of a stream. Needs the RocksDB store.
 
-    Column names must not start with an underscore: the state API hands those over renamed.
+    Every key has a state of its own; the rows of `buckets` groups of keys travel together. Column
+    names must not start with an underscore: the state API hands those over renamed.
     """
     ensure_state_store(stream.sparkSession)
     fields = stream.schema.fields + fold.outputs.fields + [T.StructField("late", T.BooleanType())]
-    processor = FoldProcessor(fold, stream.columns, list(order), ttl_ms)
-    return stream.groupBy(key).transformWithStateInPandas(
+    dealt, own, flags, whole = bucketed(stream, key, buckets)
+    processor = FoldProcessor(fold, stream.columns, list(order), ttl_ms, key,
+                              stream.schema[key].dataType, flags, whole)
+    return dealt.groupBy(own).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=T.StructType(fields), outputMode="Append",
         timeMode="ProcessingTime" if ttl_ms else "None")
 
