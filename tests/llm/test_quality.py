@@ -114,3 +114,25 @@ def test_last_chunk_and_bad_stretch():
     assert bad(text + b"ab " * 3000)[0] >= 2
     assert parts > 3 and bad(text[:4096] + b"ab " * 5000)[1] is False
     assert bad(junk)[0] == 0  # hex digits pack to half
+
+
+def test_all_labels_count(spark):
+    """Limits are the exact order statistics of every labelled text, however many there are."""
+    docs = spark.range(24_000).selectExpr("id AS doc_id", """array_join(transform(
+        sequence(1, 60 + id % 90), i -> substr(md5(cast(i * id % (40 + id % 30) AS string)), 1, 4)),
+        ' ') AS text""").cache()
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    press = quality.packer()
+    data = [r.text.encode() for r in docs.collect()]
+    sizes = np.array([len(d) for d in data])
+    ratios = np.array([len(d) / len(press.compress(d)) for d in data])
+    assert quality.fit_bands(docs, labels) == quality.limits(sizes, ratios)
+
+
+def test_words_as_spark_counts_them(spark):
+    texts = ["", " ", "a", " a\n", "\n", "a b\t c", "\x0ba  b ", "a b c", "\n a \n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        "text", F.size(F.split(F.trim("text"), r"\s+")).alias("n")).collect()
+    for r in rows:
+        found = [quality._words_at_least(r.text.encode(), n) for n in (r.n, r.n + 1)]
+        assert found == [True, False] or not r.text.strip(" ")

@@ -6,9 +6,9 @@ length. Fixed chunks are held against limits of their own, the last one against
 long as it is, which finds a bad stretch inside a good text; a text goes if more than a quarter of
 its bytes lie in chunks that are outside.
 
-`fit_bands` takes the limits from labelled documents: of each class of lengths the median ratio of
-good texts and how far the others stray from it. At most `SAMPLE` labelled documents are looked at,
-whatever the number of labels; without labels the wide limits `BANDS` hold.
+`fit_bands` takes the limits from all labelled documents: of each class of lengths the median ratio
+of good texts and how far the others stray from it, which are exact order statistics. Without labels
+the wide limits `BANDS` hold.
 """
 
 from itertools import chain
@@ -16,20 +16,22 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import packed, raw, small_batches, texts, unpacked
+from .common import packed, raw, small_batches, texts, unpacked, written
 
 CHUNK = 4096
 #: (bytes up to, smallest ratio, largest ratio); the entry of zero bytes holds for whole chunks.
 BANDS = ((0, 1.45, 2.65), (512, 1.1, 2.1), (2048, 1.25, 2.4), (8192, 1.45, 2.65),
          (1 << 62, 1.6, 3.0))
-#: Labelled documents that limits are fitted on, and the classes of lengths they come in.
-SAMPLE = 20_000
+#: The classes of lengths that limits come by.
 CLASSES = (256, 384, 512, 768, 1024, 1536, 2048, 3072, 4096, 6144, 8192, 16384, 32768, 1 << 62)
 #: Good texts that a class needs for a median of its own, and for a margin of its own.
 FEW, ENOUGH = 10, 100
+#: Ratios are counted in steps of this part of themselves first, to find where a rank lies.
+STEP = 1 / 4096
 #: Share of good texts that may lie beyond the upper limit; room below the lowest of them.
 LOST, ROOM = 0.01, 0.9
 BAD_CHUNKS = 0.25
@@ -119,7 +121,14 @@ def _judge(min_words, max_repeat, bands, chunk, bad_chunks):
     return run
 
 
-def _ratios(chunk):
+def _words_at_least(data, least):
+    """Whether splitting the text at white space, blanks trimmed first, gives so many parts."""
+    trimmed = data.strip(b" ")
+    ends = trimmed[:1], trimmed[-1:]
+    return len(data.split()) + sum(e != b"" and e in b"\t\n\x0b\f\r" for e in ends) >= least
+
+
+def _ratios(chunk, min_words):
     """(doc_id, size, ratio) of each text, and with size zero of its whole chunks."""
     def run(batches):
         press = packer()
@@ -128,6 +137,8 @@ def _ratios(chunk):
             for i, text in zip(batch.column("doc_id").to_pylist(),
                                batch.column("text").to_pylist()):
                 data = text.encode()
+                if not _words_at_least(data, min_words):
+                    continue
                 if data:
                     out.append((i, len(data), len(data) / len(press.compress(data))))
                 if len(data) > chunk:  # one chunk of a text: chunks of one text are alike
@@ -139,43 +150,110 @@ def _ratios(chunk):
     return run
 
 
-def limits(sizes, ratios, classes=CLASSES):
-    """Bands of good texts' sizes and ratios. A class with few texts takes its margins from its
-    neighbours as well; one with hardly any keeps the wide limits."""
-    tops = np.array([0, *classes])
-    group = np.searchsorted(tops, sizes)
-    middle = {k: float(np.median(ratios[group == k])) for k in range(len(tops))
-              if (group == k).sum() >= FEW}
-    bands = []
-    for k, top in enumerate(tops.tolist()):
-        if k not in middle:
+def _pools(counts):
+    """Of each class with enough texts for a median: its neighbours whose margins it takes, itself
+    first, until they are enough."""
+    middle = [k for k, n in counts.items() if n >= FEW]
+    pools = {}
+    for k in middle:
+        pools[k] = []
+        for j in sorted((j for j in middle if (j > 0) == (k > 0)), key=lambda j: abs(j - k)):
+            pools[k].append(j)
+            if sum(counts[i] for i in pools[k]) >= ENOUGH:
+                break
+    return pools
+
+
+def _wanted(counts):
+    """Ranks by class that the limits are made of: the lowest, the middle ones, and of the upper
+    limit as many as the pool's other classes may shift it by; small classes whole."""
+    ranks = {k: set() for k in counts}
+    for k, pool in _pools(counts).items():
+        ranks[k] |= {(counts[k] - 1) // 2, counts[k] // 2}
+        total = sum(counts[j] for j in pool)
+        at = int((total - 1) * (1 - LOST))
+        for j in pool:
+            first = max(at - 1 - (total - counts[j]), 0)
+            upper = range(first, min(at + 3, counts[j]))
+            ranks[j] |= {0, *upper} if counts[j] >= ENOUGH else set(range(counts[j]))
+    return ranks
+
+
+def _bands(counts, ranked, classes):
+    """Bands from the number of texts by class and their ratios {rank: ratio} by class."""
+    tops, pools, bands = [0, *classes], _pools(counts), []
+    middle = {k: float(np.mean([ranked[k][(counts[k] - 1) // 2], ranked[k][counts[k] // 2]]))
+              for k in pools}
+    for k, top in enumerate(tops):
+        if k not in pools:
             bands.append((top, *next(b for b in BANDS if b[0] >= top)[1:]))
             continue
-        near = sorted((j for j in middle if (j > 0) == (k > 0)), key=lambda j: abs(j - k))
-        stray = np.zeros(0)
-        for j in near:
-            stray = np.concatenate([stray, ratios[group == j] / middle[j]])
-            if len(stray) >= ENOUGH:
-                break
-        bands.append((top, float(middle[k] * stray.min() * ROOM),
-                      float(middle[k] * np.quantile(stray, 1 - LOST))))
+        total = sum(counts[j] for j in pools[k])
+        place = (total - 1) * (1 - LOST)
+        at, below, above = int(place), 0, []
+        for j in pools[k]:
+            first = max(at - 1 - (total - counts[j]), 0)
+            below += first  # so many of this class lie below the wanted ranks in any case
+            above += [r / middle[j] for n, r in ranked[j].items() if n >= first]
+        above.sort()
+        low, high = above[at - below], above[min(at + 1, total - 1) - below]
+        stray = high - (high - low) * (1 - (place - at)) if place - at >= 0.5 \
+            else low + (high - low) * (place - at)
+        least = min(ranked[j][0] / middle[j] for j in pools[k])
+        bands.append((top, float(middle[k] * least * ROOM), float(middle[k] * stray)))
     return tuple(bands)
 
 
-def fit_bands(docs, labels, sample=SAMPLE, chunk=CHUNK, min_words=50):
-    """The bands of documents that labels(doc_id, quality) call good: at most `sample` labels,
-    the first by a hash of doc_id. Texts with fewer than `min_words` words are left out, as they
-    fail anyway."""
-    some = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(
-        F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # no more rows than the sample has
-    good = texts(docs).join(F.broadcast(some), "doc_id", "left_semi").filter(
-        F.size(F.split(F.trim("text"), r"\s+")) >= min_words)
-    rows = good.mapInArrow(_ratios(chunk), "doc_id long, size long, ratio double").groupBy(
-        "doc_id", F.expr("size > 0")).agg(F.max("size").alias("size"),
-                                          F.max("ratio").alias("ratio")).toPandas()
-    return limits(rows["size"].to_numpy(), rows["ratio"].to_numpy())
+def limits(sizes, ratios, classes=CLASSES):
+    """Bands of good texts' sizes and ratios. A class with few texts takes its margins from its
+    neighbours as well; one with hardly any keeps the wide limits."""
+    group = np.searchsorted(np.array([0, *classes]), sizes)
+    lines = {int(k): np.sort(ratios[group == k]) for k in np.unique(group)}
+    counts = {k: len(v) for k, v in lines.items()}
+    return _bands(counts, {k: {r: float(lines[k][r]) for r in ranks}
+                           for k, ranks in _wanted(counts).items()}, classes)
+
+
+def fit_bands(docs, labels, chunk=CHUNK, min_words=50, classes=CLASSES):
+    """The bands of all documents that labels(doc_id, quality) call good. Texts with fewer than
+    `min_words` words are left out, as they fail anyway.
+
+    Labels meet numbers, not texts. Ratios are counted by class and step, then those of the steps
+    with the wanted ranks are put in order, so neither the driver nor a task gets a class whole.
+    """
+    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(
+        F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    group = F.lit(len(classes) + 1)
+    for k, top in reversed(list(enumerate([0, *classes]))):
+        group = F.when(F.col("size") <= top, k).otherwise(group)
+    rows = texts(docs).filter("doc_id IS NOT NULL").mapInArrow(
+        _ratios(chunk, min_words), "doc_id long, size long, ratio double").join(
+        good, "doc_id", "left_semi").groupBy("doc_id", F.expr("size > 0")).agg(
+        F.max("size").alias("size"), F.max("ratio").alias("ratio"))
+    rows = written(rows.select(group.alias("k"), "ratio", F.floor(
+        F.log("ratio") / F.lit(STEP)).alias("step")), "ratios")
+    steps = sorted(rows.groupBy("k", "step").count().collect())
+    counts, places, asked = {}, {}, {}
+    for k, _, n in steps:
+        counts[k] = counts.get(k, 0) + n
+    wanted, before = {k: sorted(r) for k, r in _wanted(counts).items()}, dict.fromkeys(counts, 0)
+    for k, step, n in steps:
+        held = [r for r in wanted[k] if before[k] <= r < before[k] + n]
+        if held:
+            places[k, step], asked[k, step] = before[k], held
+        before[k] += n
+    ranked = {k: {} for k in counts}
+    if asked:
+        spark = docs.sparkSession
+        ask = spark.createDataFrame([(*at, places[at], r) for at, held in asked.items()
+                                     for r in held], "k int, step long, before long, rank long")
+        inside = Window.partitionBy("k", "step").orderBy("ratio")
+        lines = rows.join(F.broadcast(ask.select("k", "step", "before").distinct()), [
+            "k", "step"]).withColumn("rank", F.row_number().over(inside) - 1 + F.col("before"))
+        for k, rank, ratio in lines.join(F.broadcast(ask), ["k", "step", "before", "rank"]).select(
+                "k", "rank", "ratio").collect():
+            ranked[k][rank] = ratio
+    return _bands(counts, ranked, classes)
 
 
 def judge(rows, min_words=50, max_repeat=50, bands=BANDS, chunk=CHUNK, bad_chunks=BAD_CHUNKS):
