@@ -50,8 +50,9 @@ def append_events(events: DataFrame, table: str, folder: str, batch: int = None,
     """Append to a table; returns the number of the commit.
 
     `batch` numbers the appends of a source in rising order: one that is not above the source's last
-    one has been appended before and changes nothing. Rows go to files where they are, without a
-    shuffle; only tables with a lookup key gather the rows of a bucket.
+    one has been appended before and changes nothing. The rows of a date, and of a bucket of tables
+    with a lookup key, are gathered first: files grow with the dates and the rows, not with the
+    dates times the tasks.
     """
     spark = events.sparkSession
     log = _log(spark, table, folder)
@@ -74,7 +75,7 @@ def append_events(events: DataFrame, table: str, folder: str, batch: int = None,
     if table in LOOKUP:
         rows = rows.withColumn("bucket", _bucket(F.col(LOOKUP[table])))
         places.append("bucket")
-        rows = rows.hint("rebalance", *places)  # splits a bucket that is too large for a task
+    rows = rows.hint("rebalance", *places)  # splits a place that is too large for a task
     rows.write.partitionBy(*places).parquet(path)
     # answered from the files' footers
     counts = spark.read.schema(rows.schema).parquet(path).groupBy("event_date").count().collect()
