@@ -210,3 +210,10 @@ def test_audit_rows_tell_exempt_from_clean(spark):
     assert set(rows) == {"a", "b", "c"}
     assert (rows["a"].injection_findings, rows["b"].injection_findings) == ("[]", "null")
     assert rows["c"].output_findings == "null" and '"safe":true' in rows["a"].output_findings
+
+
+def test_texts_are_walked_once():
+    """A text is lowered once for all marks, and no expression makes an object a character."""
+    from wardframe.functions import text
+    assert text.framed_sql("x").count("lower(") == 1
+    assert "translate(" not in text.visible_sql("x") + text.lowered_sql("x")

@@ -46,8 +46,11 @@ def visible_sql(x: str) -> str:
     ascii_text = raw
     for ch in P.ASCII_SPACES:
         ascii_text = f"replace({ascii_text}, {plain(ch)}, ' ')"
-    other = (f"regexp_replace(translate(regexp_replace({raw}, {literal(P.FORMAT_CHARS)}, ''), "
-             f"{plain(P.HOMOGLYPHS)}, {plain(P.HOMOGLYPH_LETTERS)}), {literal(P.OTHER_SPACE)}, ' ')")
+    # letter by letter on the bytes: `translate` makes an object of every character
+    other = f"regexp_replace({raw}, {literal(P.FORMAT_CHARS)}, '')"
+    for ch, letter in zip(P.HOMOGLYPHS, P.HOMOGLYPH_LETTERS):
+        other = f"replace({other}, {plain(ch)}, {plain(letter)})"
+    other = f"regexp_replace({other}, {literal(P.OTHER_SPACE)}, ' ')"
     return f"IF(octet_length({raw}) = char_length({raw}), {ascii_text}, {other})"
 
 
@@ -56,7 +59,7 @@ def normalize_sql(x: str) -> str:
 
 
 def lowered_sql(n: str) -> str:
-    return f"lower(translate({n}, 'ſ', 's'))"
+    return f"lower(replace({n}, 'ſ', 's'))"
 
 
 def clean(c) -> Column:
@@ -179,7 +182,8 @@ def framed_sql(x: str) -> str:
     # a marker that contains a shorter one adds nothing to the test
     markers = [m for m in P.DISCUSSION_MARKERS
                if not any(o != m and o in m for o in P.DISCUSSION_MARKERS)]
-    return _any(f"contains(lower({clean_sql(x)}), {plain(m)})" for m in markers)
+    hits = _any(f"contains(lwr, {plain(m)})" for m in markers)
+    return f"exists(array(lower({clean_sql(x)})), lwr -> {hits})"  # lowered once for all
 
 
 def is_framed(column: str) -> Column:

@@ -98,14 +98,15 @@ def _inspected(docs: DataFrame) -> DataFrame:
     df = scan.normalize(df, "_filtered", "_norm")
     df = seams.with_hit(df, "_norm", "_rule")
     df = _with(df, _left=F.col("_rule") | text.encoded_payload("_filtered").isNotNull())
+    df = scan._once(df, _marked=text.is_framed("content"))
     df = scan._once(
         df, raw=F.when(allowed, text.clean("content")), filtered=F.col("_filtered"),
         _raw=F.when(allowed, F.col("_digest")), _raw_hit=allowed & F.col("_own"),
-        _raw_framed=allowed & text.is_framed("content"),
+        _raw_framed=allowed & F.col("_marked"),
         _safe=F.when(filtered, seams.digest("_norm")).when(allowed & kept, F.col("_digest")),
         _safe_hit=F.when(filtered, F.col("_left")).otherwise(allowed & kept & F.col("_own")),
         _safe_framed=F.when(filtered, text.is_framed("_filtered"))
-        .otherwise(allowed & kept & text.is_framed("content")))
+        .otherwise(allowed & kept & F.col("_marked")))
     return df.select(
         "request_id", "pos", "id", "source", "trust_level", "classification", "owner_team",
         "allowed", F.when(allowed, F.col("decision")).otherwise("BLOCK").alias("decision"),
