@@ -5,8 +5,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wardframe.llm import langmodel as lm
@@ -112,3 +114,38 @@ def test_many_segments(spark, monkeypatch):
 def test_pairs_help(spark):
     rows = [r for r in lm.lm_scores(cases.documents(spark, prose())).collect() if r.held_out]
     assert rows and sum(r.score for r in rows) > 0.8 * sum(r.base_score for r in rows)
+
+
+def test_packed_hashes_and_counts():
+    rnd = np.random.default_rng(3)
+    for h in (np.sort(rnd.integers(0, 1 << 64, 500, np.uint64)), np.array([5], np.uint64),
+              np.array([0, 1, (1 << 64) - 1], np.uint64), np.arange(9, dtype=np.uint64)):
+        assert (lm._unrun(*lm._run(h)) == h).all()
+    for x in ([], [0], [1, 255], [256, 3], [1 << 16, 0, 7], [1 << 40, 2]):
+        x = np.array(x, np.int64)
+        assert lm._unslim(lm._slim(x), len(x)).tolist() == x.tolist()
+
+
+def test_work_beyond_the_broadcast(spark):
+    """N-grams travel packed, some rows for each chunk, and what is stored stays below the texts;
+    before, each was a row of its own and each token was stored as a hash."""
+    rows, folder = prose(), Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    lm.lm_scores(cases.documents(spark, rows), max_bits=0).collect()
+    new = [f for d in set(folder.iterdir()) - before for f in d.rglob("*.parquet")]
+    assert new and sum(f.stat().st_size for f in new) < sum(len(t) for _, t in rows) / 2
+    docs = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t, "held_out": held(i)}
+                                       for i, t in rows])
+    words, data = Counter(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(data, docs.schema) as out:
+        out.write_batch(docs)
+    (got,) = lm._ask(2)([pa.RecordBatch.from_pylist([{"chunk": 7,
+                                                      "data": data.getvalue().to_pybytes()}])])
+    assert got.num_rows == 4
+    for r in got.to_pylist():
+        h = lm._unrun(r["first"], r["width"], r["data"])
+        words.update(dict(zip(h.tolist(), lm._unslim(r["times"], len(h)).tolist())))
+    train = [t for t in (tokens(t) for i, t in rows if not held(i))]
+    single, pair = Counter(w for t in train for w in t), Counter(
+        p for t in train for p in zip([None, *t], t))
+    assert sorted(c for c in words.values() if c) == sorted([*single.values(), *pair.values()])

@@ -1,20 +1,23 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
-Words and word pairs are 64-bit hashes. Tasks count them over all training documents in bounded
-chunks; the partial counts meet in one exchange by segment, the upper bits of the hash, and are
-summed in hash order. A count is quantised on a logarithmic scale to a level, and the n-gram is
-inserted once for each level up to its own; repeated membership probes of rising level read it
-back until one misses. Every n-gram is inserted. A segment is as large as its own n-grams ask,
-and their number grows with the texts. All segments together are broadcast while they and the
-exact word counts, which the base score needs, stay below `MAX_BITS` and `EXACT_WORDS`; beyond
-that, chunks of n-grams are sent to the segments and the answers back to the chunk's documents.
-Both ways read the same segments and give the same scores.
+Words and word pairs are 64-bit hashes. Documents are stored once in chunks. Each chunk sends its
+distinct n-grams, sorted, with their counts in training documents, in one exchange to buckets of
+segments; a segment is given by the upper bits of the hash. There the counts are summed in hash
+order. A count is quantised on a logarithmic scale to a level, and the n-gram is inserted once for
+each level up to its own; repeated membership probes of rising level read it back until one misses.
+Every n-gram is inserted. A segment is as large as its own n-grams ask, and their number grows with
+the texts. Where the size of the texts keeps all segments below `MAX_BITS` and the exact word
+counts, which the base score needs, below `EXACT_WORDS`, both are broadcast; beyond that, a bucket
+probes its segments once for each n-gram and returns to each chunk the levels and word counts alone,
+in the order in which the chunk sent the n-grams. Both ways read the same segments and give the same
+scores.
 """
 
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
@@ -35,10 +38,12 @@ PAIR_WEIGHT = 0.5
 #: Words whose exact counts may be broadcast, 12 bytes each.
 EXACT_WORDS = 1 << 23
 BATCH = 1 << 20
-#: N-grams that a task counts before it passes them on.
-FLUSH = 2_500_000
-#: N-grams that a chunk of documents asks the segments for at once.
-ASKED = 1 << 19
+#: N-grams that the documents of a chunk have at most, or a single document; prose has a third.
+ASKED = 1 << 23
+#: Segments of a bucket, as a power of two.
+BUCKET = 4
+#: Chunks of a file: what one task may have to read.
+FILE_CHUNKS = 16
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -100,25 +105,120 @@ def bigrams(tokens, first):
     return mixed(before * _U(0xA0761D6478BD642F) + tokens) | _U(1)
 
 
-def _count(batches):
-    words, held, size = Words(), [], 0
+def _most(batch):
+    """N-grams that the documents of a batch have at most: two a token, END included."""
+    return int(raw(batch.column("text"))[1][-1]) + 3 * batch.num_rows
+
+
+CHUNK = "chunk long, size long, most long, asked long, data binary"
+
+
+def _chunks(batches):
+    """Documents in chunks: bytes and possible n-grams of those that train, possible n-grams of
+    all, and these documents as Arrow stream."""
+    chunk, held, size = TaskContext.get().partitionId() << 33, [], 0
+
+    def closed():
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema,
+                               options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for batch in held:
+                out.write_batch(batch)
+        train = [batch.filter(pc.invert(batch.column("held_out"))) for batch in held]
+        most = sum(_most(batch) for batch in train)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([chunk]), pa.array([most - 3 * sum(batch.num_rows for batch in train)]),
+             pa.array([most]), pa.array([size]),
+             pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+            [c.split()[0] for c in CHUNK.split(", ")])
+
+    for batch in small_batches(batches, ASKED):
+        most = _most(batch)
+        if held and size + most > ASKED:
+            yield closed()
+            chunk, held, size = chunk + 1, [], 0
+        held.append(batch)
+        size += most
+    if held:
+        yield closed()
 
-    def flush():
-        keys, times = np.unique(np.concatenate(held), return_counts=True)
-        for at in range(0, len(keys), 1 << 18):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[at:at + (1 << 18)].view(np.int64)),
-                 pa.array(times[at:at + (1 << 18)])], ["h", "c"])
 
-    for batch in small_batches(batches, BATCH):
-        tokens, first = words(*raw(batch.column("text")))
-        held += [unigrams(tokens), bigrams(tokens, first)]
-        size += 2 * len(tokens)
-        if size > FLUSH:
-            yield from flush()
-            held, size = [], 0
-    if held:
-        yield from flush()
+def _stored(data):
+    """The batches of a chunk."""
+    with pa.ipc.open_stream(data) as stream:
+        yield from stream
+
+
+def _edges(h):
+    """Places in a sorted array where another value begins."""
+    return np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[:len(h)])
+
+
+def _counted(h):
+    """The distinct values, sorted, and how often each occurs."""
+    h = np.sort(h)
+    edge = _edges(h)
+    return h[edge], np.diff(np.append(edge, len(h)))
+
+
+def _run(h):
+    """(first, width, later ones as distances of so many bytes) of rising hashes."""
+    far = np.diff(h, prepend=h[:1])
+    width = max(1, (int(far.max()).bit_length() + 7) // 8)
+    return int(h[:1].view(np.int64)[0]), width, \
+        far.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unrun(first, width, data):
+    far = np.zeros((len(data) // width, 8), np.uint8)
+    far[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return np.cumsum(far.view("<u8").ravel(), dtype=_U) + _U(first & 0xFFFFFFFFFFFFFFFF)
+
+
+def _slim(x):
+    """Whole numbers in as few bytes each as the largest takes, all first bytes before the second
+    ones, which are mostly zero and compress well."""
+    x = x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _unslim(data, n):
+    width = len(data) // n if n else 1
+    x = np.frombuffer(data, np.uint8).reshape(width, n).T
+    return np.ascontiguousarray(x).view(f"u{width}").ravel().astype(np.int64)
+
+
+QUESTION = "bucket int, chunk long, first long, width int, data binary, times binary"
+
+
+def _ask(b, held_out=True):
+    """For each chunk its distinct n-grams by bucket, with their counts in training documents;
+    those of training documents alone unless `held_out`."""
+    def run(batches):
+        words = Words()
+        for rows in batches:
+            for chunk, data in zip(rows.column("chunk").to_pylist(), rows.column("data")):
+                keys = [], []
+                for batch in _stored(data.as_buffer()):
+                    for held in (False, True)[:1 + held_out]:
+                        own = batch.filter(pc.equal(batch.column("held_out"), held))
+                        for part in small_batches([own], BATCH):
+                            tokens, first = words(*raw(part.column("text")))
+                            keys[held].extend((unigrams(tokens), bigrams(tokens, first)))
+                none = [np.zeros(0, _U)]
+                known, times = _counted(np.concatenate(keys[False] or none))
+                h = _counted(np.concatenate([known, *keys[True]]))[0]
+                c = np.zeros(len(h), np.int64)
+                c[np.searchsorted(h, known)] = times
+                cuts = np.append(_edges(_segment_of(h, b)), len(h)).tolist()
+                out = [(*_run(h[x:y]), _slim(c[x:y])) for x, y in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_segment_of(h[cuts[:-1]], b), pa.int32()),
+                     pa.array(np.full(len(out), chunk))]
+                    + [pa.array([o[i] for o in out], t) for i, t in enumerate(
+                        (pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
+                    [c.split()[0] for c in QUESTION.split(", ")])
+    return run
 
 
 def levels(c):
@@ -133,6 +233,10 @@ def middles(level):
     return np.where(level > 1, (low + high) / 2, np.minimum(level, 1).astype(float))
 
 
+#: Of every level that fits a byte.
+MIDDLES = middles(np.arange(256))
+
+
 def _segment_of(h, k):
     return (h >> _U(64 - k)).astype(np.int64) if k else np.zeros(len(h), np.int64)
 
@@ -156,15 +260,17 @@ def fill(h, level):
 
 
 class Filter:
-    """Levels of n-grams by membership probes in 2^k segments, whose words follow each other."""
+    """Levels of n-grams by membership probes in 2^k segments, whose words follow each other.
 
-    def __init__(self, size, words, k):
-        self.words, self.k = words, k
+    The n-grams share their `skip` upper bits, which the segments leave out."""
+
+    def __init__(self, size, words, k, skip=0):
+        self.words, self.k, self.skip = words, k, _U(skip)
         self.size, self.start = size.astype(_U), np.cumsum(size) - size
 
     def levels(self, h):
         """The highest level that is reached without a miss."""
-        segment = _segment_of(h, self.k)
+        segment = _segment_of(h << self.skip, self.k)
         size, start = self.size[segment], self.start[segment]
         level, live, n = np.zeros(len(h), np.int64), np.flatnonzero(size), 0
         while len(live):
@@ -184,50 +290,21 @@ def _found(known, count, h):
     return np.where(known[at] == h, count[at], 0).astype(np.int64)
 
 
-class Held:
-    """Answers from the broadcast segments and word counts."""
-
-    def __init__(self, filter_, known, count):
-        self.filter, self.known, self.count = filter_, known, count
-
-    def levels(self, h):
-        return self.filter.levels(h)
-
-    def exact(self, h):
-        return _found(self.known, self.count, h)
-
-
-class Answered:
-    """Answers that the segments sent for the n-grams of one chunk."""
-
-    def __init__(self, h, level, count):
-        order = np.argsort(h)
-        self.h, self.level, self.count = h[order], level[order], count[order]
-
-    def levels(self, h):
-        return _found(self.h, self.level, h)
-
-    def exact(self, h):
-        return _found(self.h, self.count, h)
-
-
 class Model:
     """Corpus totals and the formulas of both scores."""
 
     def __init__(self, tokens, vocabulary, documents):
         self.tokens, self.vocabulary, self.documents = tokens, vocabulary, documents
 
-    def scores(self, answers, tokens, first):
-        """(known tokens, base score, score) of each text."""
+    def scores(self, exact, single, together, first):
+        """(known tokens, base score, score) of each text, from each token's word count and level
+        and the level of its pair."""
         if not self.tokens:  # one token is possible: END
             return np.zeros(len(first), np.int64), np.zeros(len(first)), np.zeros(len(first))
-        key, place = np.unique(unigrams(tokens), return_inverse=True)
-        exact, single = answers.exact(key), middles(answers.levels(key))[place]
-        base = np.log10((exact + 1) / (self.tokens + self.vocabulary + 1))
-        known = np.add.reduceat((exact > 0)[place].astype(np.int64), first)
-        base = np.add.reduceat(base[place], first)
-        key, place = np.unique(bigrams(tokens, first), return_inverse=True)
-        together = middles(answers.levels(key))[place]
+        single, together = MIDDLES[single], MIDDLES[together]
+        known = np.add.reduceat((exact > 0).astype(np.int64), first)
+        base = np.add.reduceat(
+            np.log10((exact + 1) / (self.tokens + self.vocabulary + 1)), first)
         context = np.concatenate([[0.0], single[:-1]])
         context[first] = self.documents
         alone = (single + 1) / (self.tokens + self.vocabulary + 1)
@@ -238,193 +315,158 @@ class Model:
             np.log10(PAIR_WEIGHT * after + (1 - PAIR_WEIGHT) * alone), first)
 
 
-SEGMENT = ("segment long, data binary, known binary, times binary, tokens long, vocabulary long, "
-           "documents long")
+TOTALS = "tokens long, vocabulary long, documents long"
+SEGMENT = f"segment long, data binary, known binary, times binary, {TOTALS}"
+ANSWER = f"chunk long, bucket int, level binary, times binary, {TOTALS}"
+
 
+def _types(schema):
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.schema([(n, types[t]) for n, t in (c.split() for c in schema.split(", "))])
 
-def _summed(k):
-    """Whole segments of (h, c) in hash order: filter, word hashes, their counts and totals."""
+
+def _summed(k, b, answer):
+    """Buckets of questions: their segments' filters, word hashes, counts and totals; or, to
+    `answer`, the totals alone and for each question the levels and exact word counts."""
     end = unigrams(np.array([END], _U))[0]
-    schema = pa.schema([("segment", pa.int64()), ("data", pa.binary()), ("known", pa.binary()),
-                        ("times", pa.binary()), ("tokens", pa.int64()),
-                        ("vocabulary", pa.int64()), ("documents", pa.int64())])
-
-    def finished(h, c):
-        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        h, c = h[edge], np.add.reduceat(c, edge)
-        segment = _segment_of(h, k)
-        cuts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])).tolist()
-        for a, b in zip(cuts, [*cuts[1:], len(h)]):
-            own, times = h[a:b], c[a:b]
-            word = own & _U(1) == 0
-            known, count = own[word], times[word]
-            yield pa.RecordBatch.from_pylist([{
-                "segment": int(segment[a]), "data": fill(own, levels(times)).tobytes(),
-                "known": known.tobytes(), "times": count.tobytes(), "tokens": int(count.sum()),
-                "vocabulary": len(known), "documents": int(count[known == end].sum())}], schema)
+    segment_schema, answer_schema = _types(SEGMENT), _types(ANSWER)
+
+    def finished(bucket, asked):
+        h = np.concatenate([x for _, x, _ in asked])
+        order = np.argsort(h)
+        group, c = h[order], np.concatenate([x for _, _, x in asked])
+        edge = _edges(group)
+        own, times = group[edge], np.add.reduceat(c[order], edge)
+        seen = times > 0
+        known, count = own[seen], times[seen]
+        level, segment = levels(count), _segment_of(known, k)
+        cuts = _edges(segment).tolist()
+        size, parts = np.zeros(1 << (k - b), np.int64), []
+        for x, y in zip(cuts, [*cuts[1:], len(known)]):
+            at, word = int(segment[x]), known[x:y] & _U(1) == 0
+            parts.append(fill(known[x:y], level[x:y]))
+            size[at & ((1 << (k - b)) - 1)] = len(parts[-1])
+            vocabulary, often = known[x:y][word], count[x:y][word]
+            total = {"tokens": int(often.sum()), "vocabulary": len(vocabulary),
+                     "documents": int(often[vocabulary == end].sum())}
+            yield pa.RecordBatch.from_pylist([total if answer else total | {
+                "segment": at, "data": parts[-1].tobytes(), "known": vocabulary.tobytes(),
+                "times": often.tobytes()}], answer_schema if answer else segment_schema)
+        if not answer:
+            return
+        read = Filter(size, np.concatenate(parts), k - b, b).levels(own) if parts \
+            else np.zeros(len(own), np.int64)
+        level, group = np.empty(len(h), np.uint8), np.diff(np.append(edge, len(h)))
+        level[order] = np.repeat(read, group)
+        c[order] = np.repeat(times, group)
+        at, word = 0, h & _U(1) == 0
+        for i in range(0, len(asked), 256):
+            out = []
+            for chunk, x, _ in asked[i:i + 256]:
+                to = at + len(x)
+                out.append({"chunk": chunk, "bucket": bucket, "level": level[at:to].tobytes(),
+                            "times": _slim(c[at:to][word[at:to]])})
+                at = to
+            yield pa.RecordBatch.from_pylist(out, answer_schema)
 
     def run(batches):
-        held, size = [], 0
+        bucket, asked = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append((batch.column("h").to_numpy().view(_U), batch.column("c").to_numpy()))
-            size += batch.num_rows
-            if size > FLUSH // 4:
-                h, c = (np.concatenate(x) for x in zip(*held))
-                cut = int(np.flatnonzero(_segment_of(h, k) == _segment_of(h[-1:], k))[0])
-                if cut:
-                    yield from finished(h[:cut], c[:cut])
-                held, size = [(h[cut:], c[cut:])], len(h) - cut
-        if held:
-            yield from finished(*(np.concatenate(x) for x in zip(*held)))
+            for r in batch.to_pylist():
+                if asked and r["bucket"] != bucket:
+                    yield from finished(bucket, asked)
+                    asked = []
+                bucket = r["bucket"]
+                h = _unrun(r["first"], r["width"], r["data"])
+                asked.append((r["chunk"], h, _unslim(r["times"], len(h))))
+        if asked:
+            yield from finished(bucket, asked)
     return run
 
 
-def ngram_segments(rows):
-    """(table of segments, k): one row for each of the 2^k segments that holds an n-gram."""
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    k = max(LEAST_SEGMENTS, math.ceil(math.log2(max(1, size / SEGMENT_BYTES))))
-    counts = rows.select("text").mapInArrow(_count, "h long, c long")
-    dealt = counts.repartition(F.shiftrightunsigned("h", 64 - k)).sortWithinPartitions("h")
-    return written(dealt.mapInArrow(_summed(k), SEGMENT), "segments"), k
-
-
 SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, "
           "score double")
 NAMES = [c.split()[0] for c in SCORED.split(", ")]
 
 
+def _rows(batch, tokens, first, got):
+    """Scored rows of a batch of documents."""
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id"), batch.column("held_out"),
+         pa.array(np.diff(np.append(first, len(tokens))))] + [pa.array(x) for x in got], NAMES)
+
+
 def _score(parts, k, totals):
     """Scores of all texts by the broadcast segments and word counts."""
     def run(batches):
         words, model = Words(), Model(*totals)
         size, data, known, count = parts.value
-        answers = Held(Filter(size, data, k), known, count)
-        for batch in small_batches(batches, BATCH):
-            tokens, first = words(*raw(batch.column("text")))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"),
-                 pa.array(np.diff(np.concatenate([first, [len(tokens)]])))]
-                + [pa.array(x) for x in model.scores(answers, tokens, first)], NAMES)
-    return run
-
-
-ASK = "chunk long, segment long, doc_id long, held_out boolean, data binary"
-_ASK = pa.schema([("chunk", pa.int64()), ("segment", pa.int64()), ("doc_id", pa.int64()),
-                  ("held_out", pa.bool_()), ("data", pa.binary())])
-
-
-def _ask(k):
-    """Documents as token hashes, and for each chunk of them its distinct n-grams by segment."""
-    def run(batches):
-        words, chunk, keys, size = Words(), TaskContext.get().partitionId() << 33, [], 0
-
-        def asked():
-            h = np.unique(np.concatenate(keys))
-            segment = _segment_of(h, k)
-            cuts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-            for at in range(0, len(cuts), 1 << 12):
-                own = cuts[at:at + (1 << 12)]
-                ends = np.append(cuts, len(h))[at + 1:at + 1 + len(own)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(own), chunk)), pa.array(segment[own]),
-                     pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.bool_()),
-                     pa.array([h[a:b].tobytes() for a, b in zip(own, ends)], pa.binary())],
-                    schema=_ASK)
-
-        for batch in small_batches(batches, BATCH):
-            tokens, first = words(*raw(batch.column("text")))
-            ends = np.append(first[1:], len(tokens))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(first), chunk)), pa.nulls(len(first), pa.int64()),
-                 batch.column("doc_id"), batch.column("held_out"),
-                 pa.array([tokens[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())],
-                schema=_ASK)
-            keys += [unigrams(tokens), bigrams(tokens, first)]
-            size += 2 * len(tokens)
-            if size > ASKED:
-                yield from asked()
-                chunk, keys, size = chunk + 1, [], 0
-        if keys:
-            yield from asked()
-    return run
-
-
-ANSWER = "chunk long, data binary, level binary, times binary"
-
-
-def _answer(k):
-    """For segments, each followed by what chunks ask of it: levels and exact word counts."""
-    def run(batches):
-        at, filter_, known, count = None, None, None, None
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if r["chunk"] is None:
-                    at, data = r["segment"], np.frombuffer(r["data"], _U)
-                    filter_ = Filter(np.array([len(data)]), data, 0)
-                    known = np.frombuffer(r["known"], _U)
-                    count = np.frombuffer(r["times"], np.int64)
-                    continue
-                h = np.frombuffer(r["data"], _U)
-                held = at == r["segment"]
-                out.append({"chunk": r["chunk"], "data": r["data"],
-                            "level": (filter_.levels(h) if held else np.zeros(len(h), np.int64))
-                            .astype(np.uint8).tobytes(),
-                            "times": (_found(known, count, h) if held
-                                      else np.zeros(len(h), np.int64)).tobytes()})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([
-                ("chunk", pa.int64()), ("data", pa.binary()), ("level", pa.binary()),
-                ("times", pa.binary())]))
+        read = Filter(size, data, k)
+        for rows in batches:
+            for chunk in rows.column("data"):
+                for batch in small_batches(_stored(chunk.as_buffer()), BATCH):
+                    tokens, first = words(*raw(batch.column("text")))
+                    key, place = np.unique(unigrams(tokens), return_inverse=True)
+                    pair, after = np.unique(bigrams(tokens, first), return_inverse=True)
+                    yield _rows(batch, tokens, first, model.scores(
+                        _found(known, count, key)[place], read.levels(key)[place],
+                        read.levels(pair)[after], first))
     return run
 
 
 def _join(totals):
-    """For each chunk its answers, followed by its documents: the documents' scores."""
+    """For each chunk its answers by bucket, followed by its documents: the documents' scores."""
+    def scored(words, model, data, answers):
+        parts = [(batch, *words(*raw(batch.column("text"))))
+                 for batch in small_batches(_stored(data), BATCH)]
+        h = np.concatenate([unigrams(tokens) for _, tokens, _ in parts]
+                           + [bigrams(tokens, first) for _, tokens, first in parts])
+        order = np.argsort(h)
+        h = h[order]
+        edge = _edges(h)
+        level = np.frombuffer(b"".join(x for x, _ in answers), np.uint8)
+        word, own = h[edge] & _U(1) == 0, np.zeros(len(edge), np.int64)
+        at, count = 0, []
+        for x, times in answers:
+            count.append(_unslim(times, int(word[at:at + len(x)].sum())))
+            at += len(x)
+        if at != len(edge):
+            raise ValueError("answers of another chunk")
+        own[word] = np.concatenate(count)
+        often = np.diff(np.append(edge, len(h)))
+        read, exact = np.empty(len(h), np.uint8), np.empty(len(h), np.int64)
+        read[order], exact[order] = np.repeat(level, often), np.repeat(own, often)
+        n, x = len(h) // 2, 0
+        for batch, tokens, first in parts:
+            y = x + len(tokens)
+            yield _rows(batch, tokens, first, model.scores(
+                exact[x:y], read[x:y], read[n + x:n + y], first))
+            x = y
+
     def run(batches):
-        model, at, held, answers = Model(*totals), None, [], None
+        words, model, at, answers = Words(), Model(*totals), None, []
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if r["chunk"] != at:
-                    at, held, answers = r["chunk"], [], None
-                if r["level"] is not None:
-                    held.append((np.frombuffer(r["data"], _U),
-                                 np.frombuffer(r["level"], np.uint8).astype(np.int64),
-                                 np.frombuffer(r["times"], np.int64)))
-                    continue
-                if answers is None:
-                    answers, held = Answered(*(np.concatenate(x) for x in zip(*held))), []
-                tokens = np.frombuffer(r["data"], _U)
-                got = model.scores(answers, tokens, np.zeros(1, np.int64))
-                out.append((r["doc_id"], r["held_out"], len(tokens), *(x[0] for x in got)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[i] for o in out], t) for i, t in enumerate(
-                    (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(),
-                     pa.float64()))], NAMES)
+            for chunk, level, times, data in zip(batch.column("chunk").to_pylist(), *[
+                    batch.column(n) for n in ("level", "times", "data")]):
+                if chunk != at:
+                    at, answers = chunk, []
+                if level.is_valid:
+                    answers.append((level.as_py(), times.as_py()))
+                else:
+                    yield from scored(words, model, data.as_buffer(), answers)
     return run
 
 
-def _by_segments(rows, segments, k, totals):
-    """The scores without a broadcast: every chunk asks the segments. Tasks hold one segment or
-    the answers of one chunk at a time."""
-    asked = written(rows.mapInArrow(_ask(k), ASK), "asked")
+def _by_answers(docs, answers, totals):
+    """The scores without a broadcast: tasks hold one chunk and its answers at a time."""
     none = F.lit(None)
-    questions = asked.filter("segment IS NOT NULL").select(
-        "segment", "chunk", "data", none.cast("binary").alias("known"),
-        none.cast("binary").alias("times"))
-    stores = segments.select("segment", none.cast("long").alias("chunk"), "data", "known", "times")
-    answers = stores.unionByName(questions).repartition("segment").sortWithinPartitions(
-        F.col("segment"), F.col("chunk").asc_nulls_first()).mapInArrow(_answer(k), ANSWER)
-    answers = answers.select("chunk", "data", "level", "times",
-                             none.cast("long").alias("doc_id"),
-                             none.cast("boolean").alias("held_out"))
-    papers = asked.filter("segment IS NULL").select(
-        "chunk", "data", none.cast("binary").alias("level"), none.cast("binary").alias("times"),
-        "doc_id", "held_out")
-    return answers.unionByName(papers).repartition("chunk").sortWithinPartitions(
-        F.col("chunk"), F.col("level").isNull()).mapInArrow(_join(totals), SCORED)
+    answers = answers.filter("chunk IS NOT NULL").select(
+        "chunk", "bucket", "level", "times", none.cast("binary").alias("data"))
+    docs = docs.select("chunk", none.cast("int").alias("bucket"),
+                       none.cast("binary").alias("level"), none.cast("binary").alias("times"),
+                       "data")
+    return answers.unionByName(docs).repartition("chunk").sortWithinPartitions(
+        "chunk", F.col("bucket").asc_nulls_last()).mapInArrow(_join(totals), SCORED)
 
 
 def _broadcast(segments, k):
@@ -448,19 +490,27 @@ def lm_scores(docs, max_bits=MAX_BITS, exact_words=EXACT_WORDS):
     Documents whose crc32(doc_id as text) mod 7 is 2 are held out, the others train; one with a
     null doc_id trains. Null texts are empty and have the end token alone. Repeated rows count and
     come out as often as they come. Without training documents no token is known. Empty tables
-    give no rows; other columns are not read. A filter above `max_bits`, or more than
-    `exact_words` words, is not broadcast; the scores are the same.
+    give no rows; other columns are not read. The filter and the word counts are broadcast where
+    the texts are too short for a filter above `max_bits` or more than `exact_words` words; the
+    scores are the same.
     """
     rows = texts(docs).withColumn("held_out", F.coalesce(
         F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD, F.lit(False)))
-    segments, k = ngram_segments(rows.filter("NOT held_out"))
-    got = segments.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (
-        "tokens", "vocabulary", "documents", F.octet_length("data") * 8)]).first()
-    totals, bits = tuple(got)[:3], got[3]
-    if bits <= max_bits and totals[1] <= exact_words:
-        scored = rows.mapInArrow(_score(_broadcast(segments, k), k, totals), SCORED)
-    else:
-        scored = _by_segments(rows, segments, k, totals)
+    docs = written(rows.mapInArrow(_chunks, CHUNK), "chunks", maxRecordsPerFile=FILE_CHUNKS)
+    size, most, ngrams = docs.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (
+        "size", "most", "asked")]).first()
+    k = max(LEAST_SEGMENTS, math.ceil(math.log2(max(1, size / SEGMENT_BYTES))))
+    # more buckets, of a segment at least, where most documents are held out
+    b = min(k, max(0, k - BUCKET, math.ceil(math.log2(max(1, ngrams / SEGMENT_BYTES))) - BUCKET))
+    small = most * BITS_EACH + (64 << k) <= max_bits and most // 2 <= exact_words
+    asked = docs.select("chunk", "data").mapInArrow(_ask(b, not small), QUESTION)
+    told = written(asked.repartitionById(1 << b, F.col("bucket")).sortWithinPartitions("bucket")
+                   .mapInArrow(_summed(k, b, not small), SEGMENT if small else ANSWER),
+                   "segments" if small else "answers")
+    totals = tuple(told.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (
+        "tokens", "vocabulary", "documents")]).first())
+    scored = docs.select("data").mapInArrow(_score(_broadcast(told, k), k, totals), SCORED) \
+        if small else _by_answers(docs, told, totals)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known",
                          F.lit(totals[0]).cast("long").alias("train_tokens"), "base_score",
                          "score")
